@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module that holds a function of that name.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op3_quality_rules": "quality_rules",
+    "op8_quality_classifier": "quality_pu",
 }
 
 
