@@ -7,7 +7,10 @@ from importlib import import_module
 #: Query name -> module that holds a function of that name.
 MODULES = {
     "op1_toxicity": "toxicity",
+    "op2_url_filter": "url_filter",
     "op3_quality_rules": "quality_rules",
+    "op6_mixing": "mixing",
+    "op7_secret_scans": "secrets",
     "op8_quality_classifier": "quality_pu",
 }
 
@@ -17,4 +20,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .url_filter import ORACLE
+
+    return {"op2_url_filter": ORACLE}
