@@ -12,6 +12,7 @@ MODULES = {
     "op6_mixing": "mixing",
     "op7_secret_scans": "secrets",
     "op8_quality_classifier": "quality_pu",
+    "op10_ngram_jaccard_join": "near_dups",
 }
 
 
