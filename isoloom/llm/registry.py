@@ -9,9 +9,12 @@ MODULES = {
     "op1_toxicity": "toxicity",
     "op2_url_filter": "url_filter",
     "op3_quality_rules": "quality_rules",
+    "op4_token_files": "token_files",
+    "op5_bpe_lexicon": "bpe_lexicon",
     "op6_mixing": "mixing",
     "op7_secret_scans": "secrets",
     "op8_quality_classifier": "quality_pu",
+    "op9_embedding_dups": "embedding_dups",
     "op10_ngram_jaccard_join": "near_dups",
 }
 
