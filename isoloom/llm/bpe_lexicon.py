@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -314,8 +315,6 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
 
 def encode_columns(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
     """docs with ids (array<long>) and decoded (string) beside its columns, under names that clash with none."""
-    import pandas as pd
-
     def free(name: str) -> str:
         while name.lower() in {c.lower() for c in docs.columns}:
             name += "_"

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import stored, table, words
 
 #: Fixed values of the contract.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -32,6 +32,8 @@ SEED = 17
 #: Words of budget that dynamic programming solves exactly.
 EXACT = 1 << 15
 SLICES = 128
+#: Rows of (doc_id, times) that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -148,6 +150,16 @@ def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).cast("int").alias("times"))
 
 
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id are taken alike, as often as
+    the one taken most."""
+    times = stored(draw(docs, seed).groupBy("doc_id").agg(F.max("times").alias("__times")).withColumnRenamed("doc_id", "__id"), "times")
+    if times.count() <= BROADCAST_ROWS:
+        times = F.broadcast(times)
+    met = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")))
+    return met.where("__times > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = draw(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))

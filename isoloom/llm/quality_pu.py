@@ -144,6 +144,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns."""
+    return with_stats(docs, whole=True).where(model.score() >= CUT).select("row.*")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -313,14 +313,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All columns of docs, each secret in text replaced; documents without secrets stay as they are."""
+    """All columns of docs, each secret in text replaced, n_chars counted anew; a text without secrets stays."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         scanner = _scanner()
         return pd.Series([mask(t, found) if isinstance(t, str) and (found := scanner.spans(t)[1]) else t for t in texts], dtype=object)
 
-    return docs.withColumn("text", masked(F.col("text")))
+    out = docs.withColumn("text", masked(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

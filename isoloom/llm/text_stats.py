@@ -43,14 +43,17 @@ def repeated_words(w: Column, window: int = REPEAT_WINDOW) -> Column:
     return let(let(F.transform(w, lambda x: F.xxhash64(x)), hashes), covered)
 
 
-def with_stats(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
+def with_stats(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id and the statistics of each whole text; a null text counts as an empty one.
 
+    With ``whole``, ``row`` holds all columns of docs as a struct, whatever their names.
+
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as the quality rules define them, and
     n_upper, n_marks, n_digits, n_lines, n_distinct (different words) besides.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col("doc_id"), t.alias("t")).withColumn("w", words(F.col("t")))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    base = docs.select(F.col("doc_id"), t.alias("t"), *row).withColumn("w", words(F.col("t")))
     t, w = F.col("t"), F.col("w")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     out = [
@@ -59,11 +62,11 @@ def with_stats(docs: DataFrame, text: str = "text", repeats: bool = True) -> Dat
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         _dropped(t, SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"), F.size(x).cast("long").alias("n"))).alias("l"),
-        (repeated_words(w) if repeats else F.lit(0)).cast("long").alias("n_repeat_words"),
+        repeated_words(w).cast("long").alias("n_repeat_words"),
         _dropped(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
         _dropped(t, "!?").cast("long").alias("n_marks"),
         _dropped(t, "0123456789").cast("long").alias("n_digits"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
     ]
-    got = base.select(*out)
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), "n_repeat_words", "n_upper", "n_marks", "n_digits", F.col("l.n").alias("n_lines"), "n_distinct")
+    got = base.select(*out, *(["row"] if whole else []))
+    return got.select(*(["row"] if whole else []), "doc_id", "n_words", "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), "n_repeat_words", "n_upper", "n_marks", "n_digits", F.col("l.n").alias("n_lines"), "n_distinct")
