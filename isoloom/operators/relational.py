@@ -47,9 +47,9 @@ def distinct_on(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]
     return row_ids(df, key, order, "__n").where("__n = 1").drop("__n")
 
 
-def pair_combinations(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], cols: Sequence[str], nullsafe: bool = False) -> DataFrame:
+def pair_combinations(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], cols: Sequence[str]) -> DataFrame:
     """All pairs a before b of each key, as columns a_... and b_...; keys are splice sites, so groups are small."""
-    n = row_ids(df.select(*dict.fromkeys([*key, *cols])), key, order, "__n")
+    n = row_ids(df, key, order, "__n")
     a = n.select(*key, F.col("__n").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = n.select(*key, F.col("__n").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return a.join(b, list(key)).where("__a < __b").drop("__a", "__b")

@@ -68,7 +68,7 @@ def overlap_count(s, d):
 
 def _reduce_sql(keys: str, gap: int) -> str:
     return f"""WITH {V.IV}, p AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv),
-i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e, pe ROWS UNBOUNDED PRECEDING) AS g FROM p)
+i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e, pe NULLS FIRST ROWS UNBOUNDED PRECEDING) AS g FROM p)
 SELECT {keys}, min(s) AS "start", max(e) AS "end", count(*) AS n FROM i GROUP BY {keys}, g"""
 
 
