@@ -111,6 +111,11 @@ def t_p_value(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
-def t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([np.nan if pd.isna(x) or pd.isna(n) or n <= 0 else t_p_value(float(x), float(n)) for x, n in zip(t, df)])
+def t_p_values(t: Column, df: Column) -> Column:
+    """Two-sided p values; null without a statistic."""
+
+    @F.pandas_udf("double")
+    def values(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([np.nan if pd.isna(x) or pd.isna(n) or n <= 0 else t_p_value(float(x), float(n)) for x, n in zip(t, df)])
+
+    return values(t, df)
