@@ -134,11 +134,11 @@ def coverage_runs(s, d):
 
 
 @query("coverage_regions_mean", f"""WITH {V.IV}, {V.RG}, {RUNS}
-SELECT rg.row_id, round(coalesce(sum((least(rg.e, r.e) - greatest(rg.s, r.s) + 1) * r.depth), 0) / (min(rg.e) - min(rg.s) + 1), 2) AS mean_depth
+SELECT rg.row_id, round(coalesce(sum((least(rg.e, r.e) - greatest(rg.s, r.s) + 1) * r.depth), 0) / (min(rg.e) - min(rg.s) + 1), 6) AS mean_depth
 FROM rg LEFT JOIN runs r ON rg.seq = r.seq AND rg.strand = r.strand AND rg.s <= r.e AND rg.e >= r.s GROUP BY rg.row_id""")
 def coverage_regions_mean(s, d):
     iv, rg = _iv(s, d)
-    return I.mean_depth(I.coverage_runs(iv), rg, "row_id")
+    return I.mean_depth(I.coverage_runs(iv), rg, "row_id", 6)
 
 
 @query("coverage_bins", f"""WITH {V.IV}, {RUNS}, b AS (SELECT seq, strand, unnest(range(0, 100)) AS bin FROM (SELECT DISTINCT seq, strand FROM iv)), w AS (SELECT *, 1 + 200 * bin AS bs, 200 + 200 * bin AS be FROM b)
