@@ -115,3 +115,32 @@ def sample_qc(values: DataFrame) -> DataFrame:
 def isoform_summary(candidates: DataFrame) -> DataFrame:
     """(event_id, isoform): least support level as text, any coding, all decaying; an empty level sorts as NA."""
     return candidates.groupBy("event_id", "isoform").agg(F.min(F.coalesce("tsl", F.lit("NA"))).alias("tsl"), F.some("coding").alias("coding"), F.every("decay").alias("nmd"))
+
+
+def intron_consistency(introns: DataFrame) -> DataFrame:
+    """The introns' names, once; raises if any sample's list differs from another's. introns: (sample, name)."""
+    marks = introns.groupBy("sample").agg(F.count("*").alias("n"), F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("h"))
+    if marks.select("n", "h").distinct().limit(2).count() > 1:
+        raise ValueError("samples were measured against different introns")
+    return introns.select("name").distinct()
+
+
+def terminus(loci: DataFrame) -> DataFrame:
+    """(locus, always_first, always_last): over all transcripts that have the intron. loci: (locus, n, n_all)."""
+    return loci.groupBy("locus").agg((F.max("n") == 1).alias("always_first"), (F.max(F.col("n_all") - F.col("n") + 1) == 1).alias("always_last"))
+
+
+def row_metadata(events: DataFrame, summary: DataFrame, loci: DataFrame) -> DataFrame:
+    """Events with coding, decay and support of both isoforms, their terminus flags and the decay direction.
+
+    events: (event_id, event_type, event1a, event1b); isoform A is the included side.
+    """
+    side = lambda iso, pre: summary.where(F.col("isoform") == iso).select("event_id", F.col("coding").alias(f"{pre}_coding"), F.col("nmd").alias(f"{pre}_nmd"), F.col("tsl").alias(f"{pre}_tsl"))
+    out = events.join(side("A", "inc"), "event_id", "left").join(side("B", "exc"), "event_id", "left")
+    t = terminus(loci)
+    for e in ("1a", "1b"):
+        out = out.join(t.select(F.col("locus").alias(f"event{e}"), F.col("always_first").alias(f"f{e}"), F.col("always_last").alias(f"l{e}")), f"event{e}", "left")
+    none = F.col("event_type").isin("MXE", "SE")
+    flag = lambda c: F.when(~none, F.coalesce(F.col(f"{c}1a") & F.col(f"{c}1b"), F.lit(False)))
+    false = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns({"always_first": flag("f"), "always_last": flag("l"), "nmd_direction": nmd_direction(false(F.col("inc_nmd")), false(F.col("exc_nmd")))}).drop("f1a", "f1b", "l1a", "l1b")

@@ -55,8 +55,8 @@ def _row_passes(f: EventFilter) -> Column:
     low = c("min_depth") < f.min_depth
     if f.kind == "Coverage":
         return low | (c("coverage") >= f.minimum / 100)
-    log2 = lambda x: F.log2(x + 1.0)
-    near = lambda part, whole: F.abs(log2(c(part)) - log2(c(whole))) < f.maximum
+    # |log2(x + 1) - log2(y + 1)| < maximum, without logarithms, so that exact powers of two compare exactly
+    near = lambda part, whole: F.greatest(c(part) + 1.0, c(whole) + 1.0) < 2.0**f.maximum * F.least(c(part) + 1.0, c(whole) + 1.0)
     inc = ~c("event_type").isin(*WITH_INCLUDED) | (near("up_inc", "included") & near("down_inc", "included"))
     exc = ~c("event_type").isin(*WITH_EXCLUDED) | (near("up_exc", "excluded") & near("down_exc", "excluded"))
     return low | (inc & exc)

@@ -113,3 +113,40 @@ def beta_binomial_test(assay: DataFrame, nom: str, denom: str) -> DataFrame:
 
     got = rows.mapInPandas(run, "event_id long, lfc double, deviance double, df double")
     return bh_adjust(got.withColumn("p", t_p_values(F.sqrt("deviance"), F.col("df")))).select("event_id", "lfc", "deviance", "p", "p_adj")
+
+
+def size_factors(assay: DataFrame, value: str) -> DataFrame:
+    """(sample, factor): median over events without a zero of count over the event's geometric mean."""
+    whole = assay.withColumn("y", F.floor(value)).groupBy("event_id").agg(F.avg(F.log(F.when(F.col("y") > 0, F.col("y")))).alias("g"), F.min("y").alias("low")).where("low > 0")
+    ratio = assay.join(whole.select("event_id", "g"), "event_id").withColumn("r", F.log(F.floor(value)) - F.col("g"))
+    got = ratio.groupBy("sample").agg(F.exp(F.percentile_approx("r", 0.5, 10_000)).alias("factor"))
+    return assay.select("sample").distinct().join(got, "sample", "left").select("sample", F.coalesce("factor", F.lit(1.0)).alias("factor"))
+
+
+def negative_binomial_test(assay: DataFrame, value: str, nom: str, denom: str) -> DataFrame:
+    """(event_id, lfc, dispersion, p, p_adj): Wald test of the log ratio of two conditions' means.
+
+    Counts are truncated to integers and divided by size factors (a row per sample, broadcast). Dispersions are
+    pooled moments within conditions, averaged in logs with the trend a + b / mean, whose two numbers are fitted on
+    the driver from sums over all events.
+    """
+    a = assay.where(F.col("condition").isin(nom, denom))
+    a = a.join(F.broadcast(size_factors(a, value)), "sample").withColumn("y", F.floor(value) / F.col("factor"))
+    side = lambda c, x: F.when(F.col("condition") == c, x)
+    parts = [f(side(c, F.col("y"))).alias(n + k) for c, k in ((nom, "1"), (denom, "2")) for f, n in ((F.count, "n"), (F.avg, "m"), (F.var_samp, "v"))]
+    g = a.groupBy("event_id").agg(*parts, *[F.avg(side(c, 1 / F.col("factor"))).alias(f"i{k}") for c, k in ((nom, "1"), (denom, "2"))])
+    raw = lambda k: F.try_divide(F.col(f"v{k}") - F.col(f"m{k}") * F.col(f"i{k}"), F.col(f"m{k}") * F.col(f"m{k}"))
+    w = lambda k: F.greatest(F.col(f"n{k}") - 1, F.lit(0))
+    own = F.greatest(F.try_divide(F.coalesce(raw("1"), F.lit(0.0)) * w("1") + F.coalesce(raw("2"), F.lit(0.0)) * w("2"), w("1") + w("2")), F.lit(1e-8))
+    g = g.withColumn("own", own).withColumn("mean", (F.col("m1") + F.col("m2")) / 2)
+    x = F.try_divide(F.lit(1.0), F.col("mean"))
+    m = g.where("own > 1e-7 AND mean > 0").agg(F.count("*"), F.avg(x), F.avg("own"), F.avg(x * x), F.avg(x * F.col("own"))).first()
+    spread = (m[3] or 0) - (m[1] or 0) ** 2
+    slope = max(0.0, (m[4] - m[1] * m[2]) / spread) if m[0] and spread > 1e-12 else 0.0
+    base = max(1e-8, (m[2] or 1e-8) - slope * (m[1] or 0))
+    trend = F.lit(base) + slope * F.coalesce(x, F.lit(0.0))
+    g = g.withColumn("dispersion", F.exp((F.log(F.col("own")) + F.log(trend)) / 2))
+    se2 = sum(F.try_divide(F.col(f"i{k}"), F.col(f"m{k}") * F.col(f"n{k}")) + F.try_divide(F.col("dispersion"), F.col(f"n{k}")) for k in ("1", "2"))
+    z = F.try_divide(F.log((F.col("m1") + 0.5) / (F.col("m2") + 0.5)), F.sqrt(se2))
+    g = g.withColumn("lfc", F.log2((F.col("m1") + 0.5) / (F.col("m2") + 0.5))).withColumn("p", t_p_values(z, F.lit(1e6)))
+    return bh_adjust(g).select("event_id", "lfc", "dispersion", "p", "p_adj")

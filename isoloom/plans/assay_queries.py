@@ -192,10 +192,15 @@ def filter_coverage(s, d):
 
 
 def _near(a: str, b: str, most: float) -> str:
-    return f"abs(log2({a} + 1.0) - log2({b} + 1.0)) < {most}"
+    return f"greatest({a} + 1.0, {b} + 1.0) < {2.0**most} * least({a} + 1.0, {b} + 1.0)"
 
 
-_CONSISTENT = f"min_depth < 10 OR ((event_type NOT IN ('IR', 'MXE', 'SE', 'RI') OR ({_near('up_inc', 'included', 2)} AND {_near('down_inc', 'included', 2)})) AND (event_type <> 'MXE' OR ({_near('up_exc', 'excluded', 2)} AND {_near('down_exc', 'excluded', 2)})))"
+def _consistent(low: float, most: float) -> str:
+    inc, exc = (" AND ".join(_near(f"{side}_{k}", whole, most) for side in ("up", "down")) for k, whole in (("inc", "included"), ("exc", "excluded")))
+    return f"min_depth < {low} OR ((event_type NOT IN ('IR', 'MXE', 'SE', 'RI') OR ({inc})) AND (event_type <> 'MXE' OR ({exc})))"
+
+
+_CONSISTENT = _consistent(10, 2)
 
 
 @query("filter_consistency", _sql_filter(_CONSISTENT, 60, ("MXE", "SE", "RI")))
@@ -228,7 +233,7 @@ def filter_exclusive_mxe(s, d):
 
 
 _PASS = lambda test, pc, types: f"(event_type NOT IN ({', '.join(repr(t) for t in types)}) OR avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END) * 100 >= {pc})"
-_CONS1 = _CONSISTENT.replace("min_depth < 10", "min_depth < 20").replace("< 2)", "< 1)").replace("< 2 ", "< 1 ")
+_CONS1 = _consistent(20, 1)
 
 
 @query("filter_default_all", f"""{W}, {ANN}, k AS (SELECT event_id FROM asy GROUP BY event_id, event_type HAVING {_PASS('depth >= 20', 80, FL.TYPES)} AND {_PASS('min_depth < 5 OR coverage >= 0.9', 80, ('IR', 'RI'))} AND {_PASS('min_depth < 20 OR coverage >= 0.6', 80, ('MXE', 'SE', 'AFE', 'ALE', 'A3SS', 'A5SS'))} AND {_PASS(_CONS1, 80, ('MXE', 'SE', 'RI'))})

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.locus import motif
+from ..operators import annotation as A
 from ..operators import coding as C
+from ..operators import collate as CO
 from ..operators import intervals as I
 from ..operators import sequence as S
 from ..operators import testing as T
@@ -136,3 +138,26 @@ def t_track(s, d):
 def transcript_layout(s, d):
     tx = V.exons(s, d).where("gene < 4")
     return TR.transcript_layout(tx.groupBy("seq", "tx").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+
+
+@query("negative_binomial_test")
+def negative_binomial_test(s, d):
+    return T.negative_binomial_test(V.assays(s, d), "included", "A", "B")
+
+
+@query("terminus_flags", f"WITH {V.TX}, {V.INTRON} SELECT locus, max(n) = 1 AS always_first, max(n_all - n + 1) = 1 AS always_last FROM loc GROUP BY 1")
+def terminus_flags(s, d):
+    return CO.terminus(A.introns(V.exons(s, d)))
+
+
+@query("row_metadata", f"""WITH {V.TX}, {V.INTRON}, t AS (SELECT locus, max(n) = 1 AS f, max(n_all - n + 1) = 1 AS l FROM loc GROUP BY 1), ev AS (SELECT DISTINCT tx AS event_id, CASE tx % 2 WHEN 0 THEN 'AFE' ELSE 'SE' END AS event_type, min(locus) AS event1a, max(locus) AS event1b FROM loc GROUP BY 1, 2),
+sm AS (SELECT o_orderkey AS event_id, o_custkey % 2 = 0 AS ic, o_custkey % 3 = 0 AS inmd, o_custkey % 5 = 0 AS enmd FROM orders)
+SELECT event_id, event_type, ic AS inc_coding, CASE WHEN inmd AND NOT enmd THEN 1 WHEN enmd AND NOT inmd THEN -1 ELSE 0 END AS nmd_direction, CASE WHEN event_type <> 'SE' THEN a.f AND b.f END AS always_first, CASE WHEN event_type <> 'SE' THEN a.l AND b.l END AS always_last
+FROM ev JOIN sm USING (event_id) JOIN t a ON a.locus = event1a JOIN t b ON b.locus = event1b""")
+def row_metadata(s, d):
+    loc = A.introns(V.exons(s, d))
+    ev = loc.groupBy(F.col("tx").alias("event_id")).agg(F.min("locus").alias("event1a"), F.max("locus").alias("event1b")).withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "AFE").otherwise("SE"))
+    o = V.load(s, d, "orders")
+    side = lambda iso, n, c: o.select(F.col("o_orderkey").alias("event_id"), F.lit(iso).alias("isoform"), (F.col("o_custkey") % c == 0).alias("coding"), (F.col("o_custkey") % n == 0).alias("nmd"), F.lit("1").alias("tsl"))
+    got = CO.row_metadata(ev, side("A", 3, 2).unionByName(side("B", 5, 7)), loc)
+    return got.select("event_id", "event_type", "inc_coding", "nmd_direction", "always_first", "always_last")

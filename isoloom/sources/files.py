@@ -131,3 +131,17 @@ def save_model(tables: dict[str, DataFrame], path: str, about: dict | None = Non
 def load_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     names = json.loads(spark.read.text(f"{path}/_manifest").first()["value"])["tables"]
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def genome_style(gtf: DataFrame) -> str:
+    """``UCSC`` if chromosomes are named chr1 and so on, ``Ensembl`` if 1 and so on, else an empty string."""
+    r = gtf.agg(F.max(F.col("seqnames").rlike("^chr([0-9]+|[XYM])$")), F.max(F.col("seqnames").rlike("^([0-9]+|[XY]|MT)$"))).first()
+    return "UCSC" if r[0] else "Ensembl" if r[1] else ""
+
+
+def shared_chromosomes(gtf: DataFrame, genome: DataFrame) -> DataFrame:
+    """gtf's rows on chromosomes of the genome; raises if there are none."""
+    got = gtf.join(genome.select("seqnames").distinct(), "seqnames", "left_semi")
+    if got.isEmpty():
+        raise ValueError("the annotation and the genome share no chromosome")
+    return got

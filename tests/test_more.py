@@ -28,7 +28,10 @@ def test_linear_contrast_and_beta_binomial_find_the_changed_event(spark):
             c = "A" if k < 4 else "B"
             shift = 40 if e == 0 and c == "A" else 0
             rows.append((e, "SE", c, f"b{k % 2}", float(50 + shift + r.integers(-8, 9)), float(100 - shift + r.integers(-8, 9))))
-    df = spark.createDataFrame(rows, "event_id long, event_type string, condition string, batch string, included double, excluded double")
+    rows = [(*x[:4], f"s{k % 8}", *x[4:]) for k, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, condition string, batch string, sample string, included double, excluded double")
+    nb = {x.event_id: x for x in T.negative_binomial_test(df, "included", "A", "B").collect()}
+    assert nb[0].p_adj < 0.01 and nb[0].lfc > 0.5 and np.mean([x.p_adj > 0.05 for k, x in nb.items() if k]) > 0.95
     lin = {x.event_id: x for x in T.linear_contrast(df, "included", "A", "B", batch="batch").collect()}
     bb = {x.event_id: x for x in T.beta_binomial_test(df, "A", "B").collect()}
     assert lin[0].p_adj < 1e-3 and lin[0].effect > 0.4 and min(x.p_adj for k, x in lin.items() if k) > 0.01
@@ -62,3 +65,12 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda d: sorted(tuple(r) for r in d.select("seq", "start", "end", "neg", "pos", "total").collect())
     assert key(J.totals(spark, str(tmp_path / "out"))) == key(junction_counts(df))
+
+
+def test_samples_must_share_their_introns(spark):
+    from isoloom.operators.collate import intron_consistency
+
+    ok = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "x")], "sample string, name string")
+    assert intron_consistency(ok).count() == 2
+    with pytest.raises(ValueError):
+        intron_consistency(ok.where("NOT (sample = 'b' AND name = 'x')"))
