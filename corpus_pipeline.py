@@ -40,8 +40,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(bpe_lexicon.VOCABULARY)
-    made = bpe_lexicon.encode_columns(docs, path, bpe_lexicon.build_lexicon(docs, path))
-    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    made = bpe_lexicon.encode_columns(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path), digest=True)
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_dups", near_copies), ("secrets", secret_scan), ("mixing", mixed), ("tokens", tokens)]

@@ -4,7 +4,7 @@ Words are counted over all documents; the ``FREQUENT`` most frequent ones are me
 minimal automaton over their bytes: equal suffixes share states, and each arc carries the number of lexicon
 words that sort before it, so that the sum along a path is the word's place in a table of id sequences. The
 file (arcs, outputs, id table) is sent to executors as a Spark file and memory-mapped there, so the workers of
-a machine share its pages. A word outside the lexicon is merged exactly by rank.
+a machine share its pages. Pieces with a word outside the lexicon are merged exactly by rank, in batches.
 
 The rules are those of the vocabulary file, read with the tokenizers library where it defines text handling
 (normalisation, splitting, byte symbols): composed and lower-cased text, white space dropped, words ended by a
@@ -27,23 +27,26 @@ import os
 import re
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in the lexicon, at most; its file stays below 2 MB.
 FREQUENT = 30_000
-#: Pieces a worker remembers; others are looked up again.
-REMEMBERED = 350_000
+#: Pieces a worker remembers, and the size up to which it also remembers those made of others.
+REMEMBERED, COMPOSED = 250_000, 100_000
+#: Texts that are encoded together, and different pieces that are counted before their words are passed on.
+TOGETHER, PIECES = 256, 150_000
 CONTROL = re.compile("[\x1c-\x1f]")
 
 
@@ -196,6 +199,12 @@ class Vocabulary:
             parts = out
         return [self.id_of[p] for p in parts if p in self.id_of]
 
+    def merged(self, texts: list[str]) -> list[bytes]:
+        """ids by exact merging in the tokenizers library, for texts or pieces of them."""
+        if not texts:
+            return []
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def decode(self, ids: bytes) -> bytes:
         """The text of little-endian ids, in UTF-8: their symbols between blanks."""
         return b" ".join(map(self.symbols.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -206,33 +215,51 @@ class Codec:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.seen: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
+    def _known(self, piece: str) -> bytes | None:
+        """ids of a piece all of whose words the lexicon holds."""
+        if self.lexicon is None:
+            return None
         out = []
         for w in self.vocabulary.words(piece):
-            got = self.lexicon.ids(w.encode()) if self.lexicon else None
-            out.append(np.array(self.vocabulary.merge(w), "<u4").tobytes() if got is None else got)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """ids of a whole text, little-endian unsigned 32-bit."""
-        if not text:
-            return b""
-        if any(s in text for s in self.vocabulary.special) or CONTROL.search(text):
-            return np.array(self.vocabulary.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces, seen, out = text.split(), self.seen, []
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        for p in pieces:
-            got = seen.get(p)
+            got = self.lexicon.ids(w.encode())
             if got is None:
-                got = self._piece(p)
-                if len(seen) < REMEMBERED:
-                    seen[p] = got
+                return None
             out.append(got)
         return b"".join(out)
 
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """ids of new pieces: from remembered parts, then from the lexicon, the rest merged by rank in one batch."""
+        seen, parts = self.seen, {}
+        for p in pieces:
+            base = p.rstrip(".,;:!?")
+            parts[p] = (base, p[len(base) :]) if base != p and base.isalpha() else (p,)
+        atoms = {q for v in parts.values() for q in v if q not in seen}
+        got = {q: self._known(q) for q in atoms}
+        rest = [q for q, ids in got.items() if ids is None]
+        got |= dict(zip(rest, self.vocabulary.merged(rest)))
+        room = len(seen) + len(got) <= REMEMBERED
+        if room:
+            seen.update(got)
+        made = {p: b"".join([got[q] if q in got else seen[q] for q in v]) for p, v in parts.items() if len(v) > 1}
+        if len(seen) + len(made) <= COMPOSED:
+            seen.update(made)
+        return got | made
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """ids of whole texts, little-endian unsigned 32-bit."""
+        special = list(self.vocabulary.special)
+        odd = [bool(t) and (any(s in t for s in special) or CONTROL.search(t) is not None) for t in texts]
+        split = [[] if not t or o else t.split() for t, o in zip(texts, odd)]
+        seen = self.seen
+        new = {p for p in set().union(*split) if p not in seen} if split else set()
+        fresh = self._learn(new) if new else {}
+        get = seen.__getitem__ if all(p in seen for p in new) else (lambda p: fresh[p] if p in fresh else seen[p])
+        whole = iter(self.vocabulary.merged([t for t, o in zip(texts, odd) if o]))
+        return [next(whole) if o else b"".join(map(get, pieces)) for o, pieces in zip(odd, split)]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -273,8 +300,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
             for t in b.column(0):
                 if text := t.as_py():
                     pieces.update(text.lower().split())
-            if len(pieces) > 250_000:
-                yield counted()
+                if len(pieces) > PIECES:
+                    yield counted()
         if pieces:
             yield counted()
 
@@ -286,7 +313,7 @@ def build_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT) -> str:
     top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(frequent).collect()
     voc = vocabulary(path)
     data = compile_lexicon({r["word"].encode(): voc.merge(r["word"]) for r in top})
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mat"
+    name = f"lexicon-{uuid.uuid4().hex}.mat"  # a name may be given to a cluster once
     folder = tempfile.mkdtemp(prefix="isoloom-")  # the driver serves it from here
     with open(os.path.join(folder, name), "wb") as f:
         f.write(data)
@@ -302,32 +329,43 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
         c = codec(path, lexicon)
         for b in batches:
             n, ids_hash, text_hash = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(c.vocabulary.decode(ids)).hexdigest())
+            for at in range(0, b.num_rows, TOGETHER):
+                for ids in c.encode_all(b.column(1).slice(at, TOGETHER).to_pylist()):
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    text_hash.append(hashlib.sha256(c.vocabulary.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_columns(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
-    """docs with ids (array<long>) and decoded (string) beside its columns, under names that clash with none."""
+def encode_columns(docs: DataFrame, path: str, lexicon: str, digest: bool = False) -> DataFrame:
+    """docs with ids (array<int>) and decoded (string; with ``digest`` its SHA-256) behind its columns, under names
+    that clash with none. Rows leave in small batches, so a worker never holds more than ``TOGETHER`` rows' ids."""
+
     def free(name: str) -> str:
         while name.lower() in {c.lower() for c in docs.columns}:
             name += "_"
         return name
 
-    @F.pandas_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        c = codec(path, lexicon)
-        ids = [c.encode(t if isinstance(t, str) else "") for t in texts]
-        return pd.DataFrame({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decoded": [c.vocabulary.decode(x).decode() for x in ids]})
+    at_text = docs.columns.index("text")
 
-    made = free("__made")
-    return docs.withColumn(made, both(F.col("text").cast("string"))).withColumns({free("ids"): F.col(f"{made}.ids"), free("decoded"): F.col(f"{made}.decoded")}).drop(made)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, lexicon)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                ids = c.encode_all(b.column(at_text).to_pylist())
+                text = [c.vocabulary.decode(x) for x in ids]
+                out = [hashlib.sha256(x).hexdigest() for x in text] if digest else [x.decode() for x in text]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(out, pa.string())], names=[*b.schema.names, ids_name, text_name])
+
+    ids_name, text_name = free("ids"), free("decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(text_name, T.StringType())])
+    return docs.mapInArrow(run, schema)
 
 
 def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,7 +236,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Scanner:
     """Remembers tokens that are no secret; bounded."""
 
-    REMEMBERED = 300_000
+    REMEMBERED = 100_000
 
     def __init__(self, grammars: dict[str, Automaton] | None = None):
         self.grammars = grammars or automata()
