@@ -30,6 +30,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import stored, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in the lexicon, at most; its file stays below 2 MB.
+#: Words in the lexicon, at most, out of those that occur twice or more; its file stays below 2 MB.
 FREQUENT = 30_000
 #: Pieces a worker remembers, and the size up to which it also remembers those made of others.
-REMEMBERED, COMPOSED = 250_000, 100_000
+REMEMBERED, COMPOSED = 400_000, 100_000
 #: Texts that are encoded together, and different pieces that are counted before their words are passed on.
 TOGETHER, PIECES = 256, 150_000
-CONTROL = re.compile("[\x1c-\x1f]")
+CONTROL = "\x1c\x1d\x1e\x1f"
+
+
+#: The word pattern of the vocabulary, for lower-case ASCII.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+def _symbols() -> dict[int, int]:
+    """Byte -> code point that stands for it: printable Latin-1 itself, others counted from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: b if b in shown else 256 + k for b, k in zip(sorted(range(256), key=lambda b: (b in shown, b)), range(256))}
+
+
+SYMBOLS = _symbols()
 
 
 # ---- the automaton ---------------------------------------------------------------------------------------
@@ -173,11 +187,15 @@ class Vocabulary:
             self.symbols[i] = s.encode()
 
     def words(self, piece: str) -> list[str]:
-        """Words of a piece of text, spelled in byte symbols."""
-        small = piece.lower() if piece.isascii() else self.library.normalizer.normalize_str(piece)
-        if small.isascii() and small.isalpha() and not small.startswith("'"):
-            return [small]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(small)]
+        """Words of a piece of text, spelled in byte symbols: by equal plain rules where these are certain to give
+        what the library gives, else by the library's own normaliser and splitter."""
+        if piece.isascii() and piece.isprintable():
+            return PLAIN.findall(piece.lower())
+        base = piece.rstrip(".,;:!?")
+        if base.isalpha() and "\u03a3" not in base and is_normalized("NFC", base) and (small := base.lower()).isalpha():
+            word = small.encode().decode("latin-1").translate(SYMBOLS)
+            return [word] if len(base) == len(piece) else [word, piece[len(base) :]]
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
 
     def merge(self, word: str) -> list[int]:
         """Exact byte-pair merging: the pair of lowest rank first, everywhere from the left, until none is left."""
@@ -232,7 +250,7 @@ class Codec:
         seen, parts = self.seen, {}
         for p in pieces:
             base = p.rstrip(".,;:!?")
-            parts[p] = (base, p[len(base) :]) if base != p and base.isalpha() else (p,)
+            parts[p] = (base, p[len(base) :]) if base != p and base.isalpha() and base.lower().isalpha() else (p,)
         atoms = {q for v in parts.values() for q in v if q not in seen}
         got = {q: self._known(q) for q in atoms}
         rest = [q for q, ids in got.items() if ids is None]
@@ -246,16 +264,40 @@ class Codec:
         return got | made
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """ids of whole texts, little-endian unsigned 32-bit."""
-        special = list(self.vocabulary.special)
-        odd = [bool(t) and (any(s in t for s in special) or CONTROL.search(t) is not None) for t in texts]
-        split = [[] if not t or o else t.split() for t, o in zip(texts, odd)]
-        seen = self.seen
-        new = {p for p in set().union(*split) if p not in seen} if split else set()
-        fresh = self._learn(new) if new else {}
-        get = seen.__getitem__ if all(p in seen for p in new) else (lambda p: fresh[p] if p in fresh else seen[p])
-        whole = iter(self.vocabulary.merged([t for t, o in zip(texts, odd) if o]))
-        return [next(whole) if o else b"".join(map(get, pieces)) for o, pieces in zip(odd, split)]
+        """ids of whole texts, little-endian unsigned 32-bit. Each piece is looked up once; holes are filled after."""
+        special, find = list(self.vocabulary.special), self.seen.get
+        out: list[bytes] = [b""] * len(texts)
+        whole: list[int] = []
+        open_: list[tuple[int, list[str], list, list[int]]] = []
+        missing: set[str] = set()
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if any(s in t for s in special) or any(c in t for c in CONTROL):
+                whole.append(k)
+                continue
+            pieces = t.split()
+            ids = list(map(find, pieces))
+            if None in ids:
+                holes, at = [], -1
+                try:
+                    while True:
+                        at = ids.index(None, at + 1)
+                        holes.append(at)
+                except ValueError:
+                    pass
+                missing.update([pieces[h] for h in holes])
+                open_.append((k, pieces, ids, holes))
+            else:
+                out[k] = b"".join(ids)
+        fresh = self._learn(missing) if missing else {}
+        for k, pieces, ids, holes in open_:
+            for h in holes:
+                ids[h] = fresh[pieces[h]]
+            out[k] = b"".join(ids)
+        for k, ids in zip(whole, self.vocabulary.merged([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -310,7 +352,15 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT) -> str:
     """Counts, compiles, and hands the file to the cluster; the name executors find it by."""
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    counts = stored(word_counts(docs, path).where("n >= 2"), "word-counts")
+    # a few hundred rows say from which count on enough words are left, so that no partition sends its own top list
+    slices = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("s")).agg(F.count("*").alias("k")).collect()
+    least, held = 0, 0
+    for r in sorted(slices, key=lambda r: -r["s"]):
+        least, held = r["s"], held + r["k"]
+        if held >= frequent:
+            break
+    top = counts.where(F.floor(F.log2("n") * 8) >= least).orderBy(F.desc("n"), "word").limit(frequent).collect()
     voc = vocabulary(path)
     data = compile_lexicon({r["word"].encode(): voc.merge(r["word"]) for r in top})
     name = f"lexicon-{uuid.uuid4().hex}.mat"  # a name may be given to a cluster once
