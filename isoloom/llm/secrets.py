@@ -3,9 +3,10 @@
 The automata: all labelled credentials of a format form a prefix tree whose states hold counts of how often a
 class of characters follows; states whose outgoing and final shares agree within a Hoeffding bound at level
 ``ALPHA`` are merged, shallow ones first, so that loops stand for repetition. What is left is a deterministic
-probabilistic automaton per format, and one for ordinary tokens. A candidate is every maximal run of token
-characters in the whole text; it is a secret of the format whose automaton gives it the greatest likelihood,
-if that beats the ordinary automaton by ``MARGIN`` nats a character and the format accepts the whole token.
+probabilistic automaton per format, and one for ordinary tokens. A candidate starts at any place of a run of
+token characters where a format may begin and ends at the run's end or before one of ``+/_.=-``; it is a secret
+if a format accepts it and beats the ordinary automaton by ``MARGIN`` nats a character. The longest one from a
+place is taken, of the likeliest format, and the scan goes on behind it, so a run may hold several secrets.
 
 The labelled credentials are synthetic and seeded (``labelled``), written from public format descriptions;
 ordinary tokens are built from syllables, paths, dates, identifiers and plain words.
@@ -39,6 +40,7 @@ HINTS = ("passw", "secret", "token", "api")
 LEAST_VALUE = 6
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST_TOKEN, SEPARATORS = 16, "+/_.=-"
 #: Tokens longer than this are no credential of a known format; their likelihood is taken on the whole token all the same.
 ALPHA, MARGIN, SEED, PER_FORMAT = 0.05, 0.6, 20, 300
 BASE_KINDS = ("assign", "access", "hex")
@@ -233,6 +235,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def heads(grammars: dict[str, Automaton], n: int = 3) -> re.Pattern:
+    """Finds every place where the first n characters may begin a format."""
+    out = []
+    for name, a in sorted(grammars.items()):
+        at, sets = {0}, []
+        for _ in range(n if name != "ordinary" else 0):
+            sets.append("".join(sorted({re.escape(c) for q in at for c in a.moves[q]})))
+            at = {to for q in at for to, _ in a.moves[q].values()}
+        if sets and all(sets):
+            out.append("".join(f"[{x}]" for x in sets))
+    return re.compile(f"(?=(?:{'|'.join(out)}))")
+
+
 class Scanner:
     """Remembers tokens that are no secret; bounded."""
 
@@ -241,23 +256,55 @@ class Scanner:
     def __init__(self, grammars: dict[str, Automaton] | None = None):
         self.grammars = grammars or automata()
         self.formats = sorted(k for k in self.grammars if k != "ordinary")
+        self.heads = heads(self.grammars)
         self.plain: set[str] = set()
 
+    def longest(self, token: str, start: int, dead: set[tuple[str, int, int]]) -> tuple[int, str] | None:
+        """(end, format) of the longest secret that begins at start; dead: (format, place, state) that lead to no end."""
+        ends: list[tuple[int, float, str]] = []
+        for name in self.formats:
+            a = self.grammars[name]
+            at, total, passed, found = 0, 0.0, [], False
+            for k in range(start, len(token)):
+                step = a.moves[at].get(token[k])
+                if step is None or (name, k, step[0]) in dead:
+                    break
+                at = step[0]
+                total += step[1]
+                passed.append((name, k, at))
+                if a.ends[at] > a.floor and (k + 1 == len(token) or token[k + 1] in SEPARATORS):
+                    found = True
+                    if k + 1 - start >= LEAST_TOKEN:
+                        ends.append((k + 1, total + a.ends[at], name))
+            if not found:
+                dead.update(passed)
+        if not ends:
+            return None
+        plain, floor = self.grammars["ordinary"], self.grammars["ordinary"].floor
+        at, total, beat = 0, 0.0, {}
+        for k in range(start, max(ends)[0]):
+            step = plain.moves[at].get(token[k])
+            at, p = step if step else (at, floor)
+            total += p
+            beat[k + 1] = total + plain.ends[at] + MARGIN * (k + 1 - start)
+        ends = [x for x in ends if x[1] > beat[x[0]]]
+        if not ends:
+            return None
+        end, _, name = max(ends)
+        return end, name
+
     def grammar_spans(self, text: str) -> list[tuple[int, str, int]]:
         out = []
         for m in CANDIDATE.finditer(text):
-            token = m.group()
+            token = m.group().rstrip(".=-/")
             if token in self.plain:
                 continue
-            at, kind = 0, None
-            for skip in (0, *(k + 1 for k, c in enumerate(token) if c == "=")):  # a name may stand before the value
-                bare = token[skip:].rstrip(".=-/")
-                if len(bare) >= 16 and (kind := best_format(bare, self.grammars)):
-                    at = m.start() + skip
-                    break
-            if kind:
-                out.append((at, kind, at + len(bare)))
-            elif len(self.plain) < self.REMEMBERED:
+            at, any_, dead = 0, False, set()
+            for h in self.heads.finditer(token):
+                if h.start() >= at and len(token) - h.start() >= LEAST_TOKEN and (got := self.longest(token, h.start(), dead)):
+                    at, any_ = got[0], True
+                    out.append((m.start() + h.start(), got[1], m.start() + at))
+            if not any_ and len(self.plain) < self.REMEMBERED:
                 self.plain.add(token)
         return out
 

@@ -244,6 +244,19 @@ def test_automata_know_formats_they_did_not_see():
         assert share > 0.9, kind
 
 
+def test_credentials_behind_other_run_characters_are_found():
+    keys = {k: v[0] for k, v in secrets.labelled(seed=5, each=1).items() if k != "ordinary"}
+    scanner = secrets.Scanner()
+    for kind, key in keys.items():
+        for before, after in (("https://", "@github.com"), ("/", ""), ("key/", " x"), ("v1.", ""), ("x_", "/more"), ("abc", ""), ("a=", "+b")):
+            at = len(before)
+            assert scanner.grammar_spans(before + key + after) == [(at, kind, at + len(key))], (kind, before)
+    several = "/".join(keys.values())
+    found = scanner.grammar_spans(several)
+    assert [(k, several[s:e]) for s, k, e in found] == list(keys.items())
+    assert scanner.grammar_spans("https://example.org/some/long-path_of.words") == []
+
+
 def test_redaction_keeps_other_texts(spark):
     key = secrets.labelled(seed=5, each=1)["github"][0]
     df = docs_of(spark, [(1, f"my key {key}."), (2, "nothing here"), (3, None), (4, "")])
