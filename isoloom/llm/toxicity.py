@@ -1,7 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated lengths.
 
 A window is one word of the lower-cased text without outer punctuation, between spaces and before a fixed
-tail (zstandard starts no match in a block's last eight bytes). From at most ``SAMPLE`` labelled documents,
+tail (zstandard starts no match in a block's last eight bytes). A run of more than ``LONG`` code points without
+a space gives its parts between punctuation instead, and overlapping windows of twice that length of what is
+longer still, so that every term of at most ``LONG`` code points lies whole in one; toxic words inside such a
+window count as windows of their own. From at most ``SAMPLE`` labelled documents,
 words that toxic ones hold significantly more often make the toxic text, the other words the ordinary text;
 each trains its own dictionary. Each window is compressed with both. How often a pair of compressed lengths
 occurs in toxic and in ordinary documents, counted on documents that the dictionaries never saw, calibrates
@@ -17,6 +20,7 @@ rows are scored alike, one result row each; without labels of both kinds the sco
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,12 +43,23 @@ PUNCTUATION = " .,;:!?\"'()[]{}#*$%&|<>-_=+~`/\\"
 TAIL = bytes(range(128, 144))
 #: A window that the toxic dictionary shortens by fewer bytes is no evidence.
 LEAST_GAIN = 2
+#: Code points of a run that is taken whole; longer ones are split. A word inside one has at least LEAST_INSIDE bytes,
+#: as many as a match of the dictionaries.
+LONG, LEAST_INSIDE = 64, 4
+PARTS = re.compile(r"[\W_]+")
 
 
 def windows(text: str) -> set[str]:
     """The different windows of a whole text."""
     out = {w.strip(PUNCTUATION) for w in set(text.lower().split())}
     out.discard("")
+    for w in [w for w in out if len(w) > LONG]:
+        out.remove(w)
+        for p in [*PARTS.split(w), w]:  # the whole run too: a term may hold punctuation
+            if len(p) > LONG:
+                out.update(p[at : at + 2 * LONG] for at in range(0, len(p) - LONG, LONG))
+            elif p:
+                out.add(p)
     return out
 
 
@@ -82,23 +97,24 @@ class Model:
     worth: dict[tuple[int, int, int], float]
     curve: tuple[float, float, float]
     prior: float
+    inside: tuple[str, ...] = ()
 
     def __post_init__(self):
         self._seen: dict[str, float] = {}
         self._pair = None
 
     def __getstate__(self):
-        return (self.toxic, self.ordinary, self.worth, self.curve, self.prior)
+        return (self.toxic, self.ordinary, self.worth, self.curve, self.prior, self.inside)
 
     def __setstate__(self, state):
-        self.toxic, self.ordinary, self.worth, self.curve, self.prior = state
+        self.toxic, self.ordinary, self.worth, self.curve, self.prior, self.inside = state
         self.__post_init__()
 
     def cells(self, many: list[str]) -> list[tuple[int, int, int] | None]:
         """(window bytes, toxic length, ordinary length) of each window that the toxic dictionary shortens."""
         if self._pair is None:
             self._pair = _compressor(self.toxic), _compressor(self.ordinary)
-        raw = [f" {w[:64]} ".encode() + TAIL for w in many]
+        raw = [f" {w} ".encode() + TAIL for w in many]
         t = _lengths(self._pair[0], raw)
         base = min(t, default=0)
         near = [k for k, (r, n) in enumerate(zip(raw, t)) if len(r) - len(TAIL) - (n - base) >= LEAST_GAIN]
@@ -110,6 +126,10 @@ class Model:
     def evidence(self, texts: Iterable[str]) -> list[tuple[float, float]]:
         """(best, summed) worth of the windows of each text."""
         sets = [windows(t or "") for t in texts]
+        for s in sets:
+            for w in [w for w in s if len(w) > LONG]:
+                mixed = PARTS.search(w)  # parts between punctuation are windows themselves
+                s.update(x for x in self.inside if x in w and not (mixed and not PARTS.search(x)))
         new = list({w for s in sets for w in s if w not in self._seen})
         fresh = {w: (self.worth.get(c, 0.0) if c else 0.0) for w, c in zip(new, self.cells(new))}
         if len(self._seen) + len(fresh) <= REMEMBERED:
@@ -184,6 +204,7 @@ def learn(rows: list[tuple[str, int]]) -> Model:
         v = math.log((df[1][c] + 0.5) / (over[1] + 1)) - math.log((df[0][c] + 0.5) / (over[0] + 1))
         if df[1][c] >= 2 and v > 1.0:
             model.worth[c] = min(v, 6.0)
+    model.inside = tuple(sorted(w for w in chosen if len(w) <= LONG and len(w.encode()) >= LEAST_INSIDE and model.worth.get(cell[w])))
     got = np.array(model.evidence([t for t, _ in rows]))
     model.curve = tuple(float(v) for v in _logistic(got, np.array([y for _, y in rows], float)))
     model.__post_init__()

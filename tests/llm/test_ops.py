@@ -74,6 +74,22 @@ def test_toxicity_separates_planted_words(spark):
     assert len(got) == len(ODD) and all(0 <= x.score <= 1 for x in got)
 
 
+def test_toxic_words_late_in_long_runs_are_evidence():
+    r = np.random.default_rng(3)
+    vocabulary = ["".join(r.choice(["th", "er", "on", "an", "re"], 3)) for _ in range(400)]
+    text = lambda bad: " ".join([*r.choice(vocabulary, 60), *(["vilest", "grubby"] * 2 if bad else [])])
+    m = toxicity.learn([(text(k % 4 == 0), int(k % 4 == 0)) for k in range(600)])
+    plain = list(r.choice(vocabulary, 30))
+    for by in (",", "-", "/", ""):
+        late, clean = by.join([*plain, "vilest", "thereon", "grubby", *plain]), by.join(plain)
+        assert len(by.join(plain)) > 2 * toxicity.LONG
+        best = m.evidence(["vilest grubby", late, clean])
+        assert best[1][0] == best[0][0] > 0 and best[2] == m.evidence([" ".join(plain)])[0], by
+    for n in (64, 65, 127, 128, 129, 200, 1000):  # every stretch of LONG code points lies in a window
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        assert all(any(run[k : k + toxicity.LONG] in w for w in toxicity.windows(run)) for k in range(n - toxicity.LONG + 1))
+
+
 def test_positive_unlabelled_learning_recovers_prior_and_order():
     r = np.random.default_rng(4)
     good = lambda n: r.normal(0, 1, (n, 3))
