@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as FL
 from ..operators import intervals as I
 
+#: Loci of an island that one task settles, and groups of islands that go to tasks.
+ISLAND, TASKS = 200_000, 512
+
 
 @dataclass(frozen=True)
 class EventModel:
@@ -57,19 +63,51 @@ def prune_round(loci: DataFrame, psi: str = "mean_psi") -> DataFrame:
     return got.join(best, ["seq", "strand", "island"]).withColumn("win", F.col(psi) == F.col("__best")).drop("island", "__best")
 
 
-def prune_overlaps(loci: DataFrame, rounds: int = 50, psi: str = "mean_psi") -> DataFrame:
+def _prune_locally(rows: DataFrame, columns: list[str], psi: str) -> DataFrame:
+    """What prune_overlaps keeps of whole islands (seq, strand, __lo, __size), several of them in a task."""
+    of = ["seq", "strand", "__lo"]
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(pdf), dtype=bool)
+        for _, g in pdf.reset_index(drop=True).groupby(of, sort=False):
+            g = g.sort_values(psi, ascending=False)
+            value, start, end, at = g[psi].to_numpy(), g["start"].to_numpy(), g["end"].to_numpy(), g.index.to_numpy()
+            starts, ends, k = [], [], 0  # disjoint stretches that winners cover, in order
+            while k < len(g):
+                n = k
+                while n < len(g) and value[n] == value[k]:  # ties win together
+                    n += 1
+                won = [i for i in range(k, n) if not ((j := bisect_right(starts, end[i])) and ends[j - 1] >= start[i])]
+                for i in won:
+                    lo, hi = bisect_left(ends, start[i]), bisect_right(starts, end[i])
+                    s, e = min([start[i], *starts[lo:hi]]), max([end[i], *ends[lo:hi]])
+                    starts[lo:hi], ends[lo:hi] = [s], [e]
+                    keep[at[i]] = True
+                k = n
+        return pdf.loc[keep, columns]
+
+    many = F.pmod(F.xxhash64(*of), F.lit(TASKS)).alias("__task")
+    return rows.groupBy(many).applyInPandas(greedy, rows.select(*columns).schema)
+
+
+def prune_overlaps(loci: DataFrame, psi: str = "mean_psi", island: int = ISLAND) -> DataFrame:
     """Loci that stay: winners of each round, then of the losers that overlap no winner, until none is left.
 
-    Each round is checkpointed; losers shrink every round.
+    Islands of at most ``island`` loci are settled whole inside a task, by falling PSI; larger ones take a checkpointed
+    round each time, in which at least one locus wins, until their rests are small. Loci without PSI never win.
     """
-    left, kept = loci, None
-    for _ in range(rounds):
-        got = prune_round(left, psi).checkpoint()
-        won = got.where("win").select(*loci.columns)
-        kept = won if kept is None else kept.unionByName(won)
-        lost = got.where("NOT win").select(*loci.columns)
-        hit = I.overlap_join(lost, kept.select("seq", "strand", "start", "end")).select("seq", "strand", "start", "end").distinct()
-        left = lost.join(hit, ["seq", "strand", "start", "end"], "left_anti").select(*loci.columns).checkpoint()
-        if left.isEmpty():
-            break
-    return kept
+    columns, left, kept = loci.columns, loci.where(F.col(psi).isNotNull()), None
+    while True:
+        got = I.with_islands(left)
+        size = got.groupBy("seq", "strand", "island").agg(F.count("*").alias("__size"), F.min("start").alias("__lo"))
+        got = got.join(size, ["seq", "strand", "island"]).drop("island").checkpoint()
+        done = got.where("__size = 1").select(*columns).unionByName(_prune_locally(got.where(F.col("__size").between(2, island)), columns, psi))
+        kept = done if kept is None else kept.unionByName(done)
+        big = got.where(F.col("__size") > island).select(*columns)
+        if big.isEmpty():
+            return kept
+        got = prune_round(big, psi).checkpoint()
+        won, lost = (got.where(w).select(*columns) for w in ("win", "NOT win"))
+        kept = kept.unionByName(won).checkpoint()
+        hit = I.overlap_join(lost, won.select("seq", "strand", "start", "end")).select("seq", "strand", "start", "end").distinct()
+        left = lost.join(hit, ["seq", "strand", "start", "end"], "left_anti").select(*columns)
