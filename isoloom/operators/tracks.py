@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import with_islands
 from .shaping import t_p_value, t_p_values
 
 
@@ -61,18 +63,25 @@ def t_track(rows: DataFrame, by: list[str], nom: str, denom: str, value: str = "
 def transcript_layout(spans: DataFrame) -> DataFrame:
     """(seq, tx, start, end, level): the first level whose last transcript ends before this one starts.
 
-    Greedy and sequential within a view, which is a window of a chromosome; each chromosome is laid out by itself.
+    Greedy and sequential within an island of overlapping transcripts; behind an island every level is free again, so
+    islands are laid out apart with the same levels as a whole chromosome.
     """
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "end", "tx"]).reset_index(drop=True)
-        last: list[int] = []
-        level = []
+        busy: list[tuple[int, int]] = []  # (end, level)
+        free: list[int] = []
+        level, used = [], 0
         for s, e in zip(pdf["start"], pdf["end"]):
-            k = next((i for i, x in enumerate(last) if x < s), len(last))
-            last[k : k + 1] = [e]
-            level.append(k + 1)
+            while busy and busy[0][0] < s:
+                heappush(free, heappop(busy)[1])
+            if free:
+                k = heappop(free)
+            else:
+                k = used = used + 1
+            heappush(busy, (e, k))
+            level.append(k)
         pdf["level"] = level
         return pdf[["seq", "tx", "start", "end", "level"]]
 
-    return spans.groupBy("seq").applyInPandas(lay, "seq string, tx long, start long, end long, level int")
+    return with_islands(spans, ["seq"]).groupBy("seq", "island").applyInPandas(lay, "seq string, tx long, start long, end long, level int")

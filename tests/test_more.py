@@ -76,6 +76,21 @@ def test_samples_must_share_their_introns(spark):
         intron_consistency(ok.where("NOT (sample = 'b' AND name = 'x')"))
 
 
+def test_layout_has_every_transcript_at_the_first_free_level(spark):
+    from isoloom.plans import extra_queries as Q
+    from isoloom.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    spans = V.exons(spark, sf).groupBy("seq", "tx").agg(F.min("start").alias("start"), F.max("end").alias("end")).collect()
+    last, want = {}, set()
+    for r in sorted(spans, key=lambda r: (r.start, r.end, r.tx)):
+        ends = last.setdefault(r.seq, [])
+        k = next((i for i, x in enumerate(ends) if x < r.start), len(ends))
+        ends[k : k + 1] = [r.end]
+        want.add((r.seq, r.tx, k + 1))
+    assert {(r.seq, r.tx, r.level) for r in Q.transcript_layout(spark, sf).collect()} == want
+
+
 def _fixpoint(loci):
     """Rounds over clusters of overlapping or adjacent loci, as often as needed."""
     left, kept = sorted(loci), []
