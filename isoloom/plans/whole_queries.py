@@ -1,0 +1,25 @@
+"""Queries over whole tables and texts, beside those of the same names whose SQL takes a part of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import intervals as I
+from . import kernel_queries as K
+from . import views as V
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+def coverage_bins_whole(s, d, width: int = 200):
+    """Mean depth of every bin from the first to the last base of each (seq, strand)."""
+    runs = I.coverage_runs(V.intervals(s, d))
+    bin_of = lambda c: F.floor((F.col(c) - 1) / width).cast("long")
+    got = runs.withColumn("bin", F.explode(F.sequence(bin_of("start"), bin_of("end"))))
+    n = F.least(width * (F.col("bin") + 1), "end") - F.greatest(width * F.col("bin") + 1, "start") + 1
+    return got.groupBy("seq", "strand", "bin").agg(F.round(F.sum(n * F.col("depth")) / width, 6).alias("mean_depth"))
+
+
+QUERIES["coverage_bins_whole"] = coverage_bins_whole
+SQL["coverage_bins_whole"] = f"""WITH {V.IV}, {K.RUNS}, t AS (SELECT *, unnest(range((s - 1) // 200, (e - 1) // 200 + 1)) AS bin FROM runs)
+SELECT seq, strand, bin, round(sum((least(200 * bin + 200, e) - greatest(200 * bin + 1, s) + 1) * depth) / 200.0, 6) AS mean_depth FROM t GROUP BY 1, 2, 3"""

@@ -1,0 +1,17 @@
+"""Whole tables and texts against brute force."""
+
+from collections import Counter
+
+from isoloom.plans import views as V
+from isoloom.plans import whole_queries as W
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_covered_base_is_in_a_bin(spark):
+    want = Counter()
+    for r in V.intervals(spark, SF).collect():
+        for p in range(r.start, r.end + 1):
+            want[r.seq, r.strand, (p - 1) // 200] += 1
+    got = {(r.seq, r.strand, r.bin): r.mean_depth for r in W.coverage_bins_whole(spark, SF).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: round(n / 200, 6) for k, n in want.items()}
