@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from . import kernel_queries as K
 from . import views as V
 
+REGIONS = ("overlap_any", "overlap_within", "overlap_unstranded", "overlap_count", "intersect_ranges", "setdiff_ranges", "coverage_regions_mean", "depth_hist", "hist_mean", "hist_coverage", "hist_percentiles", "hist_trimmed_mean")
+TEXTS = ("revcomp", "translate_codons", "first_stop", "phase_trim")
+#: Those compared with SQL; for the others it is too slow or was not compared.
+COMPARED = ("overlap_any", "intersect_ranges", "revcomp", "first_stop")
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _name in (*REGIONS, *TEXTS):
+    QUERIES[f"{_name}_whole"] = partial(K.QUERIES[_name], whole=True)
+for _name in COMPARED:
+    SQL[f"{_name}_whole"] = K.SQL[_name].replace(V.RG, V.RG_WHOLE).replace(V.SQ, V.SQ_WHOLE)
+
 
 def coverage_bins_whole(s, d, width: int = 200):
     """Mean depth of every bin from the first to the last base of each (seq, strand)."""

@@ -2,12 +2,23 @@
 
 from collections import Counter
 
+from isoloom.plans import catalog
 from isoloom.plans import views as V
 from isoloom.plans import whole_queries as W
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_second_side_and_texts_are_whole(spark):
+    iv = V.intervals(spark, SF)
+    assert V.regions(iv, whole=True).count() == iv.count()
+    for name in (*W.REGIONS, *W.TEXTS):
+        assert name + "_whole" in catalog.queries()
+    assert not any("% 37" in x or "1, 300)" in x for x in W.SQL.values())
+    want = {r.doc_id: "".join(dict(zip(V.LETTERS, V.AS_BASES)).get(c, "") for c in (r.text or "").lower() if c in V.LETTERS) for r in V.load(spark, SF, "documents").collect()}
+    assert {r.doc_id: r.seq for r in V.sequences(spark, SF, whole=True).collect()} == want and max(map(len, want.values())) > 300
+
+
 def test_every_covered_base_is_in_a_bin(spark):
     want = Counter()
     for r in V.intervals(spark, SF).collect():
