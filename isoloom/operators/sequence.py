@@ -24,9 +24,8 @@ def fetch(chrom: Column, start: Column, end: Column, strand: Column) -> Column:
 def translate_codons(seq: Column) -> Column:
     """Amino acids of the whole codons from the first base; ``X`` where a codon is not one of the 64, ``*`` for stop."""
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
-    n = F.floor(F.length(seq) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: F.coalesce(F.element_at(table, F.substring(seq, 3 * i + 1, 3)), F.lit("X"))), "")
+    codons = F.coalesce(F.regexp_extract_all(seq, F.lit("(?s).{3}"), 0), F.array().cast("array<string>"))  # one pass, any length
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
 
 
 def first_stop(seq: Column) -> Column:
