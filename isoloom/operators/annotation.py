@@ -45,17 +45,17 @@ def introns(exons: DataFrame) -> DataFrame:
 
 
 def flanking_islands(intron: DataFrame, islands: DataFrame) -> DataFrame:
-    """up and down: the islands that the two bases around each splice site touch; the last hit wins."""
+    """up and down: the islands that the two bases around each splice site touch; the last hit wins.
+
+    An island's key is its group's number, unique over all chromosomes, and its ordinal.
+    """
     site = intron.select("locus", "seq", "strand", "start", "end").distinct()
-    before = site.select("locus", "seq", "strand", (F.col("start") - 1).alias("start"), F.col("start").alias("end"))
-    after = site.select("locus", "seq", "strand", F.col("end").alias("start"), (F.col("end") + 1).alias("end"))
+    ends = F.array(F.struct(F.lit("left").alias("side"), (F.col("start") - 1).alias("start"), F.col("start").alias("end")), F.struct(F.lit("right").alias("side"), F.col("end").alias("start"), (F.col("end") + 1).alias("end")))
+    probe = site.select("locus", "seq", "strand", F.explode(ends).alias("p")).select("locus", "seq", "strand", "p.*")
     key = F.concat_ws("_", F.col("b_gene_group").cast("string"), F.col("b_exon_group").cast("string"))
-
-    def touched(probe: DataFrame, name: str) -> DataFrame:
-        hit = I.overlap_join(probe, islands)
-        return hit.groupBy("locus").agg(F.max_by(key, F.struct("b_gene_group", "b_start")).alias(name))
-
-    got = site.select("locus", "strand").join(touched(before, "left"), "locus", "left").join(touched(after, "right"), "locus", "left")
+    last = lambda side: F.max_by(key, F.when(F.col("side") == side, F.struct("b_gene_group", "b_start")))
+    hit = I.overlap_join(probe, islands).groupBy("locus").agg(last("left").alias("left"), last("right").alias("right"))
+    got = site.select("locus", "strand").join(hit, "locus", "left")
     minus = F.col("strand") == "-"
     return got.select("locus", F.when(minus, F.col("right")).otherwise(F.col("left")).alias("up"), F.when(minus, F.col("left")).otherwise(F.col("right")).alias("down"))
 

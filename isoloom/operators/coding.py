@@ -101,9 +101,9 @@ def synthetic_reads(genome: DataFrame, name: str = "seqnames", read_len: int = 7
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     all_ = F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col("seq"), i * stride + 1, F.lit(read_len)).alias("s")))
     kept = F.filter(all_, lambda w: F.length(F.translate(w["s"], "ACGT", "")) * 2 < read_len)
-    g = genome.select(name, n.alias("n"), kept.alias("kept"), F.lit(0).alias("__k")).withColumn("m", F.size("kept"))
-    g = running(g, ["__k"], [name], name, F.col("n"), "sum", "before", inclusive=False)
-    g = running(g, ["__k"], [name], name, F.col("m"), "sum", "kept_before", inclusive=False)
+    g = genome.select(name, n.alias("n"), kept.alias("kept"), F.lit(0).alias("__k"))
+    # a task holds the windows of few sequences; only their counts meet in one place
+    g = running(g, ["__k"], [name], name, {"before": F.col("n"), "kept_before": F.size("kept")}, inclusive=False, chunk=64)
     g = g.select(name, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("kept_before", F.lit(0)).alias("kept_before"), F.posexplode("kept").alias("j", "w"))
     r = F.col("before") + F.col("w.i")
     base = F.substring("w.s", error_pos + 1, 1)

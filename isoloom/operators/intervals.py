@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bin widths of the overlap join; an interval lives at the first width that is no smaller than its length.
-LEVELS = (64, 512, 4096, 32768, 262144, 4194304)
+#: Bin widths of the overlap join: an interval's level is the first width that is no smaller than its length.
+LEVELS = (*(64 * 8**k for k in range(10)), 1 << 60)
 CHUNK = 1 << 16
 
 
@@ -20,73 +20,88 @@ def _div(x: Column, by: int) -> Column:
     return F.floor(x / F.lit(by)).cast("long")
 
 
-def _level(length: Column, levels: Sequence[int]) -> Column:
-    out = F.lit(len(levels) - 1)
-    for k in range(len(levels) - 2, -1, -1):
-        out = F.when(length <= levels[k], k).otherwise(out)
+def _level(length: Column) -> Column:
+    out = F.when(length <= LEVELS[0], 0)
+    for k in range(1, len(LEVELS)):
+        out = out.when(length <= LEVELS[k], k)
     return out
 
 
-def _binned(df: DataFrame, levels: Sequence[int], low: str) -> DataFrame:
-    """One row per level from the interval's own upwards and per bin it touches there (two at most below the top)."""
-    own = _level(F.col("end") - F.col("start") + 1, levels)
-    each = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(levels)]), lambda x: x["k"] >= own)
-    df = df.withColumn(f"{low}own", own).withColumn("__l", F.explode(each))
-    at = lambda c: F.floor(F.col(c) / F.col("__l.w")).cast("long")
-    df = df.withColumn(f"{low}low", at("start")).withColumn("__bin", F.explode(F.sequence(at("start"), at("end"))))
-    return df.withColumn("__level", F.col("__l.k")).drop("__l")
+def _levels(df: DataFrame, low: str = "") -> Column:
+    """The levels that df's intervals have, as an array: a scalar subquery."""
+    return df.select(_level(F.col(f"{low}end") - F.col(f"{low}start") + 1).alias("k")).agg(F.collect_set("k")).scalar()
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "any", ignore_strand: bool = False, levels: Sequence[int] = LEVELS) -> DataFrame:
+def _binned(df: DataFrame, low: str, mine: int, held: Column) -> DataFrame:
+    """One row per bin in which an interval may meet others. With tag ``mine`` it is the longer of a pair: the bins of
+    its own level in which an overlapping shorter interval may start, four at most. With the other tag it is the
+    shorter one: the one bin of its start at each level that the other side has (its own included for tag 0)."""
+    start, end = F.col(f"{low}start"), F.col(f"{low}end")
+    width = lambda k: F.element_at(F.array(*[F.lit(w).cast("long") for w in LEVELS]), k + 1)
+    bin_of = lambda x, w: F.floor(x / w).cast("long")
+    at = lambda tag, k, b: F.struct(F.lit(tag).alias("t"), k.alias("k"), b.alias("b"))
+    df = df.withColumn("__own", _level(end - start + 1)).withColumn("__w", width(F.col("__own")))
+    df = df.withColumn("__up", F.array_intersect(F.sequence(F.col("__own") + mine, F.lit(len(LEVELS))), held))
+    longer = F.transform(F.sequence(bin_of(start - F.col("__w"), F.col("__w")), bin_of(end, F.col("__w"))), lambda b: at(1 - mine, F.col("__own"), b))
+    shorter = F.transform("__up", lambda k: at(mine, k, bin_of(start, width(k))))
+    df = df.withColumn("__at", F.explode(F.concat(longer, shorter)))
+    return df.withColumns({f"__{low}t": F.col("__at.t"), f"__{low}k": F.col("__at.k"), f"__{low}b": F.col("__at.b")}).drop("__own", "__w", "__up", "__at")
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs that the overlap join compares, each once; b's columns get the prefix ``b_``.
+
+    A pair meets at the level of its longer interval, in the bin where the shorter one starts, so small intervals never
+    meet above the level of the longer one and a long one is compared with those within two of its widths.
+    """
+    b = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
+    left, right = _binned(a, "", 1, _levels(b, "b_")), _binned(b, "b_", 0, _levels(a))
+    on = (F.col("seq") == F.col("b_seq")) & (F.col("__t") == F.col("__b_t")) & (F.col("__k") == F.col("__b_k")) & (F.col("__b") == F.col("__b_b"))
+    return left.join(right, on).drop("__t", "__k", "__b", "__b_t", "__b_k", "__b_b")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "any", ignore_strand: bool = False) -> DataFrame:
     """Pairs of overlapping rows; b's columns get the prefix ``b_``.
 
     how: ``any`` shared base, ``within`` (a inside b) or ``equal`` bounds. Strands must agree unless one is ``*`` or
-    ``ignore_strand``. The join is an equi-join on (seq, level, bin): a pair meets at the higher of its two levels,
-    where each interval touches two bins at most, and is kept in the first bin that both touch.
+    ``ignore_strand``. An equi-join on (seq, level, bin): see ``candidates``.
     """
-    b = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
+    c = F.col
     if how == "equal":
-        on = (a["seq"] == b["b_seq"]) & (a["start"] == b["b_start"]) & (a["end"] == b["b_end"])
-        out = a.join(b, on)
+        out = a.join(b.select([c(x).alias(f"b_{x}") for x in b.columns]), (c("seq") == c("b_seq")) & (c("start") == c("b_start")) & (c("end") == c("b_end")))
+    elif how in ("any", "within"):
+        test = (c("start") >= c("b_start")) & (c("end") <= c("b_end")) if how == "within" else (c("start") <= c("b_end")) & (c("end") >= c("b_start"))
+        out = candidates(a, b).where(test)
     else:
-        left = _binned(a, levels, "__a")
-        right = _binned(b.withColumnsRenamed({"b_start": "start", "b_end": "end"}), levels, "__b").withColumnsRenamed({"start": "b_start", "end": "b_end", "__bin": "__bbin", "__level": "__blevel"})
-        on = (F.col("seq") == F.col("b_seq")) & (F.col("__level") == F.col("__blevel")) & (F.col("__bin") == F.col("__bbin"))
-        on &= (F.col("__level") == F.greatest("__aown", "__bown")) & (F.col("__bin") == F.greatest("__alow", "__blow"))
-        if how == "within":
-            on &= (F.col("start") >= F.col("b_start")) & (F.col("end") <= F.col("b_end"))
-        elif how == "any":
-            on &= (F.col("start") <= F.col("b_end")) & (F.col("end") >= F.col("b_start"))
-        else:
-            raise ValueError(f"unknown kind of overlap: {how}")
-        out = left.join(right, on).drop("__aown", "__alow", "__bin", "__level", "__bown", "__blow", "__bbin", "__blevel")
-    if ignore_strand or "strand" not in a.columns or "b_strand" not in b.columns:
+        raise ValueError(f"unknown kind of overlap: {how}")
+    if ignore_strand or "strand" not in a.columns or "strand" not in b.columns:
         return out
-    return out.where((F.col("strand") == F.col("b_strand")) | (F.col("strand") == "*") | (F.col("b_strand") == "*"))
-
+    return out.where((c("strand") == c("b_strand")) | (c("strand") == "*") | (c("b_strand") == "*"))
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, value: Column, kind: str, name: str, inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """Running ``sum`` or ``max`` of value over (keys, order); null before the first row if not inclusive.
 
-    order must begin with position, which decides the chunk.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, values: dict[str, Column], kind: str = "sum", inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Adds running ``sum`` or ``max`` of each value over (keys, order), by its name; null before the first row if not
+    inclusive. order must begin with position, which decides the chunk.
     """
     how, both = {"sum": (F.sum, lambda x, y: x + y), "max": (F.max, F.greatest)}[kind]
-    df = df.withColumn("__c", _div(F.col(position), chunk)).withColumn("__v", value)
-    part = df.groupBy(*keys, "__c").agg(how("__v").alias("__t"))
+    df = df.withColumns({"__c": _div(F.col(position), chunk), **{f"__v_{n}": v for n, v in values.items()}})
+    part = df.groupBy(*keys, "__c").agg(*[how(f"__v_{n}").alias(f"__t_{n}") for n in values])
     past = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("__p", how("__t").over(past)).drop("__t")
+    part = part.select(*keys, "__c", *[how(f"__t_{n}").over(past).alias(f"__p_{n}") for n in values])
     here = Window.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = df.withColumn("__h", how("__v").over(here)).join(part, [*keys, "__c"])
-    got = F.when(F.col("__h").isNull(), F.col("__p")).when(F.col("__p").isNull(), F.col("__h")).otherwise(both(F.col("__h"), F.col("__p")))
-    return out.withColumn(name, got).drop("__c", "__v", "__p", "__h")
+    out = df.withColumns({f"__h_{n}": how(f"__v_{n}").over(here) for n in values}).join(part, [*keys, "__c"])
+    for n in values:
+        h, p = F.col(f"__h_{n}"), F.col(f"__p_{n}")
+        out = out.withColumn(n, F.when(h.isNull(), p).when(p.isNull(), h).otherwise(both(h, p)))
+    return out.drop("__c", *[f"__{x}_{n}" for n in values for x in "vhp"])
 
 
 def with_islands(df: DataFrame, keys: Sequence[str] = ("seq", "strand"), min_gap: int = 1, chunk: int = CHUNK) -> DataFrame:
     """Adds island: a number per key that is equal for rows which merge (gap below ``min_gap``)."""
-    df = running(df, keys, ["start", "end"], "start", F.col("end"), "max", "__before", inclusive=False, chunk=chunk)
+    df = running(df, keys, ["start", "end"], "start", {"__before": F.col("end")}, "max", inclusive=False, chunk=chunk)
     fresh = (F.col("__before").isNull() | (F.col("start") > F.col("__before") + min_gap)).cast("long")
     # rows of one start share their island: the flag is set on the first of them in (start, end) order
-    return running(df.withColumn("__new", fresh), keys, ["start", "end", "__before"], "start", F.col("__new"), "sum", "island", chunk=chunk).drop("__before", "__new")
+    return running(df.withColumn("__new", fresh), keys, ["start", "end", "__before"], "start", {"island": F.col("__new")}, chunk=chunk).drop("__before", "__new")
 
 
 def reduce_intervals(df: DataFrame, keys: Sequence[str] = ("seq", "strand"), min_gap: int = 1, chunk: int = CHUNK) -> DataFrame:
@@ -122,8 +137,7 @@ def _sweep(a: DataFrame, b: DataFrame, keys: Sequence[str], keep, chunk: int) ->
         return up.unionByName(df.select(*keys, (F.col("end") + 1).alias("pos"), F.lit(-in_a).alias("da"), F.lit(-in_b).alias("db")))
 
     ev = deltas(a, 1, 0).unionByName(deltas(b, 0, 1)).groupBy(*keys, "pos").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    ev = running(ev, keys, ["pos"], "pos", F.col("da"), "sum", "na", chunk=chunk)
-    ev = running(ev, keys, ["pos"], "pos", F.col("db"), "sum", "nb", chunk=chunk)
+    ev = running(ev, keys, ["pos"], "pos", {"na": F.col("da"), "nb": F.col("db")}, chunk=chunk)
     seg = _until_next(ev, keys, chunk).where(keep(F.col("na"), F.col("nb")))
     return reduce_intervals(seg.select(*keys, F.col("pos").alias("start"), (F.col("next") - 1).alias("end")), keys, chunk=chunk).drop("n")
 
@@ -150,7 +164,7 @@ def coverage_runs(df: DataFrame, keys: Sequence[str] = ("seq", "strand"), chunk:
     up = df.select(*keys, F.col("start").alias("pos"), F.lit(1).cast("long").alias("d"))
     ev = up.unionByName(df.select(*keys, (F.col("end") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")))
     ev = ev.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    ev = running(ev, keys, ["pos"], "pos", F.col("d"), "sum", "depth", chunk=chunk)
+    ev = running(ev, keys, ["pos"], "pos", {"depth": F.col("d")}, chunk=chunk)
     return _until_next(ev, keys, chunk).select(*keys, F.col("pos").alias("start"), (F.col("next") - 1).alias("end"), "depth")
 
 
@@ -169,10 +183,41 @@ def region_depths(runs: DataFrame, regions: DataFrame, id_: str, ignore_strand:
     return got.unionByName(rest.where("n > 0")).groupBy(id_, "depth").agg(F.sum("n").alias("n"))
 
 
-def mean_depth(runs: DataFrame, regions: DataFrame, id_: str, digits: int = 2) -> DataFrame:
-    """Mean depth per region, rounded; a region without coverage has 0."""
-    met = overlap_join(regions.select(id_, "seq", "strand", "start", "end"), runs)
-    share = F.least("end", "b_end") - F.greatest("start", "b_start") + 1
-    total = met.groupBy(id_).agg(F.sum(share * F.col("b_depth")).alias("t"))
-    out = regions.select(id_, (F.col("end") - F.col("start") + 1).alias("w")).join(total, id_, "left")
-    return out.select(id_, F.round(F.coalesce("t", F.lit(0)) / F.col("w"), digits).alias("mean_depth"))
+def covered_bases(runs: DataFrame, regions: DataFrame, id_: str, ignore_strand: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(id, total): depth summed over the bases of each region, without making pairs of runs and regions.
+
+    With D the depth steps up to a position p and E the same steps times (their position - 1), the bases covered up to
+    p are p * D - E; a region takes the difference of its two ends. Strands agree as in ``overlap_join``.
+    """
+    step = lambda pos, sign: runs.select("seq", F.col("strand").alias("on"), pos.alias("pos"), (sign * F.col("depth")).cast("long").alias("d"))
+    ev = step(F.col("start"), 1).unionByName(step(F.col("end") + 1, -1)).groupBy("seq", "on", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    at = lambda pos, sign: regions.select(F.col(id_).alias("id"), "seq", "strand", pos.alias("pos"), F.lit(sign).alias("sign"))
+    asked = at(F.col("end"), 1).unionByName(at(F.col("start") - 1, -1))
+    rows = ev.unionByName(asked, allowMissingColumns=True).withColumn("late", F.col("sign").isNotNull().cast("int"))
+    part = {"a": F.lit(True)} if ignore_strand else {"p": F.col("on") == "+", "m": F.col("on") == "-", "s": F.col("on") == "*"}
+    sums = {}
+    for n, test in part.items():
+        d = F.when(test, F.col("d")).otherwise(0)
+        sums |= {f"D{n}": F.coalesce(d, F.lit(0)), f"E{n}": F.coalesce(d * (F.col("pos") - 1), F.lit(0))}
+    got = running(rows, ["seq"], ["pos", "late"], "pos", sums, chunk=chunk).where("late = 1")
+    up_to = {n: F.col("pos") * F.col(f"D{n}") - F.col(f"E{n}") for n in part}
+    if ignore_strand:
+        total = up_to["a"]
+    else:
+        total = up_to["s"] + F.when(F.col("strand") == "-", 0).otherwise(up_to["p"]) + F.when(F.col("strand") == "+", 0).otherwise(up_to["m"])
+    return got.groupBy(F.col("id").alias(id_)).agg(F.sum(F.col("sign") * total).alias("total"))
+
+
+def mean_depth(runs: DataFrame, regions: DataFrame, id_: str, digits: int = 2, ignore_strand: bool = False) -> DataFrame:
+    """Mean depth per region, rounded; a region without coverage has 0. id_ is unique among the regions."""
+    width = regions.select(id_, (F.col("end") - F.col("start") + 1).alias("w"))
+    return width.join(covered_bases(runs, regions, id_, ignore_strand), id_).select(id_, F.round(F.col("total") / F.col("w"), digits).alias("mean_depth"))
+
+
+def mean_bins(runs: DataFrame, width: int, keys: Sequence[str] = ("seq", "strand"), digits: int = 6) -> DataFrame:
+    """(keys, bin, mean_depth) for every bin of ``width`` bases from the first to the last base of each key; bin 0 begins
+    at base 1."""
+    bin_of = lambda c: _div(F.col(c) - 1, width)
+    got = runs.withColumn("bin", F.explode(F.sequence(bin_of("start"), bin_of("end"))))
+    n = F.least(width * (F.col("bin") + 1), "end") - F.greatest(width * F.col("bin") + 1, "start") + 1
+    return got.groupBy(*keys, "bin").agg(F.round(F.sum(n * F.col("depth")) / width, digits).alias("mean_depth"))

@@ -39,48 +39,56 @@ _RC = lambda x: f"reverse(translate({x}, 'ACGT', 'TGCA'))"
 _IN = "('GTAG', 'GCAG', 'ATAC', 'ATAG')"
 
 
-@query("novel_junction_strand", f"""WITH {V.SQ}, m AS (SELECT doc_id, unnest(range(0, 200)) AS k, seq FROM sq WHERE length(seq) >= 250), j AS (SELECT doc_id, k, substr(seq, k + 1, 2) || substr(seq, k + 39, 2) AS x FROM m)
+@query("novel_junction_strand", f"""WITH {V.SQ}, m AS (SELECT doc_id, unnest(range(0, length(seq) - 39)) AS k, seq FROM sq WHERE length(seq) >= 40), j AS (SELECT doc_id, k, substr(seq, k + 1, 2) || substr(seq, k + 39, 2) AS x FROM m)
 SELECT doc_id, k, CASE WHEN x IN {_IN} THEN '+' ELSE '-' END AS strand, CASE WHEN x IN {_IN} THEN x ELSE {_RC('x')} END AS motif FROM j WHERE x IN {_IN} OR {_RC('x')} IN {_IN}""")
 def novel_junction_strand(s, d):
-    m = V.sequences(s, d).where(F.length("seq") >= 250).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
-    k = F.col("k").cast("int")
-    strand, text = C.novel_strand(motif(F.col("seq"), k + 1, k + 40, F.lit("+")))
-    return m.select("doc_id", "k", strand.alias("strand"), text.alias("motif")).where("strand IS NOT NULL")
+    """Every stretch of 40 bases of each sequence as a junction without a strand."""
+    at = F.sequence(F.lit(0), F.length("seq") - 40)
+    two = F.transform(at, lambda k: F.struct(k.cast("long").alias("k"), motif(F.col("seq"), k + 1, k + 40, F.lit("+")).alias("x")))
+    m = V.sequences(s, d).where(F.length("seq") >= 40).select("doc_id", F.explode(two).alias("m"))
+    strand, text = C.novel_strand(F.col("m.x"))
+    return m.select("doc_id", "m.k", strand.alias("strand"), text.alias("motif")).where("strand IS NOT NULL")
 
 
-def _three(s: SparkSession, d: str) -> DataFrame:
-    q = V.sequences(s, d).where(F.length("seq") >= 250)
-    return q.withColumn("parts", F.array(F.substring("seq", 1, 90), F.substring("seq", 91, 100), F.substring("seq", 191, 110)))
+def _quarters(s: SparkSession, d: str) -> DataFrame:
+    """Exon, intron, exon, exon: the four quarters of each sequence, the last one with the rest."""
+    n = F.floor(F.length("seq") / 4).cast("int")
+    part = [F.substring(F.col("seq"), k * n + 1, n if k < 3 else F.length("seq")) for k in range(4)]
+    return V.sequences(s, d).select("doc_id", F.array(part[0], part[2], part[3]).alias("parts"), part[1].alias("intron"))
 
 
-_BODY = "substr(seq, 1, 190)"
+_Q = f"{V.SQ}, qt AS (SELECT doc_id, substr(seq, 1, n) AS q1, substr(seq, n + 1, n) AS q2, substr(seq, 2 * n + 1, n) AS q3, substr(seq, 3 * n + 1) AS q4 FROM (SELECT *, length(seq) // 4 AS n FROM sq))"
 
 
-@query("nmd_spliced", f"""WITH {V.SQ}, t AS (SELECT doc_id, strpos({_aa(_BODY)}, '*') AS p FROM sq WHERE length(seq) >= 250)
-SELECT doc_id, CASE WHEN p > 0 THEN CAST(3 * p - 2 AS INT) END AS stop, CASE WHEN p > 0 THEN CAST(190 - (3 * p - 2) AS INT) END AS to_junction, coalesce(p > 0 AND 190 - (3 * p - 2) >= 50, false) AS nmd FROM t""")
+def _decay_sql(body: str) -> str:
+    """First stop of the body and its distance to the body's end, the last junction."""
+    return f"""WITH {_Q}, b AS (SELECT doc_id, {body} AS body FROM qt), t AS (SELECT doc_id, length(body) AS n, strpos({_aa('body')}, '*') AS p FROM b)
+SELECT doc_id, CASE WHEN p > 0 THEN CAST(3 * p - 2 AS INT) END AS stop, CASE WHEN p > 0 THEN CAST(n - (3 * p - 2) AS INT) END AS to_junction, coalesce(p > 0 AND n - (3 * p - 2) >= 50, false) AS nmd FROM t"""
+
+
+@query("nmd_spliced", _decay_sql("q1 || q3"))
 def nmd_spliced(s, d):
     got = C.spliced_decay(F.col("parts"))
-    return _three(s, d).select("doc_id", *[c.alias(k) for k, c in got.items()])
+    return _quarters(s, d).select("doc_id", *[c.alias(k) for k, c in got.items()])
 
 
-@query("nmd_retained", f"""WITH {V.SQ}, t AS (SELECT doc_id, strpos({_aa('(substr(seq, 1, 90) || substr(seq, 200, 50) || substr(seq, 91, 100))')}, '*') AS p FROM sq WHERE length(seq) >= 250)
-SELECT doc_id, CASE WHEN p > 0 THEN CAST(3 * p - 2 AS INT) END AS stop, coalesce(p > 0 AND 240 - (3 * p - 2) >= 50, false) AS nmd FROM t""")
+@query("nmd_retained", _decay_sql("q1 || q2 || q3"))
 def nmd_retained(s, d):
-    got = C.retained_decay(F.col("parts"), F.substring("seq", 200, 50), F.lit(1))
-    return _three(s, d).select("doc_id", got["stop"].alias("stop"), got["nmd"].alias("nmd"))
+    got = C.retained_decay(F.col("parts"), F.col("intron"), F.lit(1))
+    return _quarters(s, d).select("doc_id", *[c.alias(k) for k, c in got.items()])
 
 
 _CUT = lambda x: f"substr({x}, 1, length({x}) - length({x}) % 3)"
 
 
-@query("event_peptides", f"""WITH {V.SQ}, a AS (SELECT doc_id, substr(substr(seq, 1, 90), CAST((3 - doc_id % 3) % 3 + 1 AS BIGINT)) AS u, substr(seq, 91, 100) AS c, substr(seq, 191, 110) AS w FROM sq WHERE length(seq) >= 250),
+@query("event_peptides", f"""WITH {_Q}, a AS (SELECT doc_id, substr(q1, CAST((3 - doc_id % 3) % 3 + 1 AS BIGINT)) AS u, q3 AS c, q4 AS w FROM qt),
 b AS (SELECT *, length(u) % 3 AS t FROM a), e AS (SELECT *, CASE WHEN t > 0 THEN substr(u, length(u) - t + 1) ELSE '' END || c AS m FROM b), f AS (SELECT *, (3 - length(m) % 3) % 3 AS k FROM e),
 g AS (SELECT doc_id, substr(u, 1, length(u) - t) AS x, m || substr(w, 1, k) AS y, substr(w, k + 1) AS z FROM f), h AS (SELECT doc_id, {_CUT('x')} AS x, {_CUT('y')} AS y, {_CUT('z')} AS z FROM g)
 SELECT doc_id, {_aa('x')} AS aa_up, {_aa('y')} AS aa_casette, {_aa('z')} AS aa_down, {_aa('x')} || {_aa('y')} || {_aa('z')} AS aa_full FROM h""")
 def event_peptides(s, d):
     p = F.col("parts")
     got = C.peptide_segments(p[0], p[1], p[2], F.col("doc_id") % 3)
-    return _three(s, d).select("doc_id", *[c.alias(k) for k, c in got.items()])
+    return _quarters(s, d).select("doc_id", *[c.alias(k) for k, c in got.items()])
 
 
 @query("synthetic_reads", f"""WITH {V.SQ}, n AS (SELECT doc_id, seq, CAST(greatest(ceil((length(seq) - 70) / 10.0), 0) AS BIGINT) AS n FROM sq), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n),

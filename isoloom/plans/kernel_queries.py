@@ -25,9 +25,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _iv(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _iv(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     iv = V.intervals(s, d)
-    return iv, V.regions(iv, whole)
+    return iv, V.regions(iv)
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def _overlap_sql(on: str) -> str:
 
 
 @query("overlap_any", _overlap_sql("a.strand = b.strand AND a.s <= b.e AND a.e >= b.s"))
-def overlap_any(s, d, whole=False):
-    return _pairs(I.overlap_join(*_iv(s, d, whole), levels=(64, 512)))
+def overlap_any(s, d):
+    return _pairs(I.overlap_join(*_iv(s, d)))
 
 
 @query("overlap_within", _overlap_sql("a.strand = b.strand AND a.s >= b.s AND a.e <= b.e"))
-def overlap_within(s, d, whole=False):
-    return _pairs(I.overlap_join(*_iv(s, d, whole), how="within", levels=(64, 512)))
+def overlap_within(s, d):
+    return _pairs(I.overlap_join(*_iv(s, d), how="within"))
 
 
 @query("overlap_equal", f"WITH {V.IV} SELECT a.row_id AS a_id, b.row_id AS b_id FROM iv a JOIN iv b ON a.seq = b.seq AND a.strand = b.strand AND a.s = b.s AND a.e = b.e")
@@ -55,14 +55,14 @@ def overlap_equal(s, d):
 
 
 @query("overlap_unstranded", _overlap_sql("a.s <= b.e AND a.e >= b.s"))
-def overlap_unstranded(s, d, whole=False):
-    return _pairs(I.overlap_join(*_iv(s, d, whole), ignore_strand=True, levels=(64, 512)))
+def overlap_unstranded(s, d):
+    return _pairs(I.overlap_join(*_iv(s, d), ignore_strand=True))
 
 
 @query("overlap_count", f"WITH {V.IV}, {V.RG} SELECT b.row_id, count(a.row_id) AS n FROM rg b LEFT JOIN iv a ON a.seq = b.seq AND a.strand = b.strand AND a.s <= b.e AND a.e >= b.s GROUP BY 1")
-def overlap_count(s, d, whole=False):
-    iv, rg = _iv(s, d, whole)
-    n = I.overlap_join(rg, iv, levels=(64, 512)).groupBy("row_id").agg(F.count("*").alias("n"))
+def overlap_count(s, d):
+    iv, rg = _iv(s, d)
+    n = I.overlap_join(rg, iv).groupBy("row_id").agg(F.count("*").alias("n"))
     return rg.select("row_id").join(n, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -108,14 +108,14 @@ SELECT seq, strand, min(s) AS "start", max(e) AS "end" FROM g GROUP BY seq, stra
 
 
 @query("intersect_ranges", _sweep_sql("na > 0 AND nb > 0"))
-def intersect_ranges(s, d, whole=False):
-    iv, rg = _iv(s, d, whole)
+def intersect_ranges(s, d):
+    iv, rg = _iv(s, d)
     return I.intersect_intervals(rg, iv)
 
 
 @query("setdiff_ranges", _sweep_sql("na > 0 AND nb <= 0"))
-def setdiff_ranges(s, d, whole=False):
-    iv, rg = _iv(s, d, whole)
+def setdiff_ranges(s, d):
+    iv, rg = _iv(s, d)
     return I.setdiff_intervals(rg, iv)
 
 
@@ -136,20 +136,15 @@ def coverage_runs(s, d):
 @query("coverage_regions_mean", f"""WITH {V.IV}, {V.RG}, {RUNS}
 SELECT rg.row_id, round(coalesce(sum((least(rg.e, r.e) - greatest(rg.s, r.s) + 1) * r.depth), 0) / (min(rg.e) - min(rg.s) + 1), 6) AS mean_depth
 FROM rg LEFT JOIN runs r ON rg.seq = r.seq AND rg.strand = r.strand AND rg.s <= r.e AND rg.e >= r.s GROUP BY rg.row_id""")
-def coverage_regions_mean(s, d, whole=False):
-    iv, rg = _iv(s, d, whole)
+def coverage_regions_mean(s, d):
+    iv, rg = _iv(s, d)
     return I.mean_depth(I.coverage_runs(iv), rg, "row_id", 6)
 
 
-@query("coverage_bins", f"""WITH {V.IV}, {RUNS}, b AS (SELECT seq, strand, unnest(range(0, 100)) AS bin FROM (SELECT DISTINCT seq, strand FROM iv)), w AS (SELECT *, 1 + 200 * bin AS bs, 200 + 200 * bin AS be FROM b)
-SELECT w.seq, w.strand, bin, round(coalesce(sum((least(be, e) - greatest(bs, s) + 1) * depth), 0) / 200.0, 6) AS mean_depth FROM w LEFT JOIN runs r ON w.seq = r.seq AND w.strand = r.strand AND bs <= e AND be >= s GROUP BY 1, 2, 3""")
+@query("coverage_bins", f"""WITH {V.IV}, {RUNS}, t AS (SELECT *, unnest(range((s - 1) // 200, (e - 1) // 200 + 1)) AS bin FROM runs)
+SELECT seq, strand, bin, round(sum((least(200 * bin + 200, e) - greatest(200 * bin + 1, s) + 1) * depth) / 200.0, 6) AS mean_depth FROM t GROUP BY 1, 2, 3""")
 def coverage_bins(s, d):
-    iv = V.intervals(s, d)
-    keys = iv.select("seq", "strand").distinct()
-    bins = keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumns({"start": (1 + 200 * F.col("bin")).cast("long"), "end": (200 + 200 * F.col("bin")).cast("long")})
-    bins = bins.withColumn("id", F.concat_ws("|", "seq", "strand", "bin"))
-    got = I.mean_depth(I.coverage_runs(iv), bins, "id", 6)
-    return bins.join(got, "id").select("seq", "strand", F.col("bin").cast("long").alias("bin"), "mean_depth")
+    return I.mean_bins(I.coverage_runs(V.intervals(s, d)), 200)
 
 
 @query("low_coverage_regions", f"""WITH {V.IV}, {RUNS}, k AS (SELECT * FROM runs WHERE depth <= 2),
@@ -165,24 +160,24 @@ cum AS (SELECT *, sum(n) OVER (PARTITION BY row_id ORDER BY depth) AS c, sum(n)
 _H = f"WITH {V.IV}, {V.RG}, {RUNS}, {HIST} "
 
 
-def _hist(s, d, whole=False) -> DataFrame:
-    iv, rg = _iv(s, d, whole)
+def _hist(s, d) -> DataFrame:
+    iv, rg = _iv(s, d)
     return I.region_depths(I.coverage_runs(iv), rg, "row_id")
 
 
 @query("depth_hist", _H + "SELECT row_id, depth, n FROM hist")
-def depth_hist(s, d, whole=False):
-    return _hist(s, d, whole)
+def depth_hist(s, d):
+    return _hist(s, d)
 
 
 @query("hist_mean", _H + "SELECT row_id, round(sum(depth * n) / sum(n), 6) AS mean FROM hist GROUP BY 1")
-def hist_mean(s, d, whole=False):
-    return H.hist_mean(_hist(s, d, whole), "row_id").withColumn("mean", F.round("mean", 6))
+def hist_mean(s, d):
+    return H.hist_mean(_hist(s, d), "row_id").withColumn("mean", F.round("mean", 6))
 
 
 @query("hist_coverage", _H + "SELECT row_id, round(sum(CASE WHEN depth > 0 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM hist GROUP BY 1")
-def hist_coverage(s, d, whole=False):
-    return H.hist_coverage(_hist(s, d, whole), "row_id").withColumn("coverage", F.round("coverage", 6))
+def hist_coverage(s, d):
+    return H.hist_coverage(_hist(s, d), "row_id").withColumn("coverage", F.round("coverage", 6))
 
 
 def _percentile_sql(p: int) -> str:
@@ -191,14 +186,14 @@ def _percentile_sql(p: int) -> str:
 
 
 @query("hist_percentiles", _H + f"SELECT row_id, {', '.join(f'round(CAST({_percentile_sql(p)} AS DOUBLE), 6) AS p{p}' for p in (25, 50, 75))} FROM cum GROUP BY 1")
-def hist_percentiles(s, d, whole=False):
-    got = H.hist_percentiles(_hist(s, d, whole), "row_id")
+def hist_percentiles(s, d):
+    got = H.hist_percentiles(_hist(s, d), "row_id")
     return got.select("row_id", *[F.round(F.col(f"p{p}").cast("double"), 6).alias(f"p{p}") for p in (25, 50, 75)])
 
 
 @query("hist_trimmed_mean", _H + "SELECT row_id, round(sum(depth * greatest(0, least(c, t - k) - greatest(c - n, k))) / max(t - 2 * k), 6) AS trimmed_mean FROM (SELECT *, floor(t * 0.3) AS k FROM cum) GROUP BY 1")
-def hist_trimmed_mean(s, d, whole=False):
-    return H.hist_trimmed_mean(_hist(s, d, whole), "row_id").withColumn("trimmed_mean", F.round("trimmed_mean", 6))
+def hist_trimmed_mean(s, d):
+    return H.hist_trimmed_mean(_hist(s, d), "row_id").withColumn("trimmed_mean", F.round("trimmed_mean", 6))
 
 
 # ---- numbering and ordered matches -----------------------------------------------------------------------
@@ -226,10 +221,10 @@ def _partial_orders(s, d) -> DataFrame:
     return o.join(V.load(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), o["o_custkey"] == F.col("c_custkey")).select("n_nationkey", "o_orderkey", "o_orderpriority")
 
 
-@query("update_join_last", _NATION + ", l AS (SELECT c_nationkey, arg_max(o_orderpriority, o_orderkey) AS p FROM o WHERE c_nationkey % 3 <> 0 GROUP BY 1) SELECT n_nationkey, coalesce(p, n_name) AS n_name FROM nation LEFT JOIN l ON n_nationkey = c_nationkey")
+@query("update_join_last", "WITH l AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT c_custkey, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN l ON c_custkey = o_custkey")
 def update_join_last(s, d):
-    y = _partial_orders(s, d).where("n_nationkey % 3 <> 0").withColumnRenamed("o_orderpriority", "n_name")
-    return R.update_join(V.load(s, d, "nation").select("n_nationkey", "n_name"), y, ["n_nationkey"], ["n_name"], ["o_orderkey"])
+    y = V.load(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
+    return R.update_join(V.load(s, d, "customer").select("c_custkey", "c_mktsegment"), y, ["c_custkey"], ["c_mktsegment"], ["o_orderkey"])
 
 
 @query("match_first", _NATION + ", l AS (SELECT c_nationkey, arg_min(o_orderpriority, o_orderkey) AS p FROM o GROUP BY 1) SELECT n_nationkey, p AS o_orderpriority FROM nation LEFT JOIN l ON n_nationkey = c_nationkey")
@@ -298,31 +293,35 @@ def locus_parse(s, d):
 
 
 @query("revcomp", f"WITH {V.SQ} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM sq")
-def revcomp(s, d, whole=False):
-    return V.sequences(s, d, whole).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
+def revcomp(s, d):
+    return V.sequences(s, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
 
 
 _AA = "array_to_string(list_transform(range(0, length(seq) // 3), lambda i: map_extract_value(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CODONS.items()) + "}, substr(seq, 3 * i + 1, 3))), '')"
 
 
-@query("translate_codons", f"WITH {V.SQ} SELECT doc_id, {_AA} AS aa FROM sq WHERE length(seq) >= 3")
-def translate_codons(s, d, whole=False):
-    return V.sequences(s, d, whole).where(F.length("seq") >= 3).select("doc_id", S.translate_codons(F.col("seq")).alias("aa"))
+@query("translate_codons", f"WITH {V.SQ} SELECT doc_id, {_AA} AS aa FROM sq")
+def translate_codons(s, d):
+    return V.sequences(s, d).select("doc_id", S.translate_codons(F.col("seq")).alias("aa"))
 
 
-@query("first_stop", f"WITH {V.SQ} SELECT doc_id, CASE WHEN strpos(aa, '*') > 0 THEN CAST(3 * strpos(aa, '*') - 2 AS INT) END AS stop FROM (SELECT doc_id, {_AA} AS aa FROM sq WHERE length(seq) >= 3)")
-def first_stop(s, d, whole=False):
-    return V.sequences(s, d, whole).where(F.length("seq") >= 3).select("doc_id", S.first_stop(F.col("seq")).alias("stop"))
+@query("first_stop", f"WITH {V.SQ} SELECT doc_id, CASE WHEN strpos(aa, '*') > 0 THEN CAST(3 * strpos(aa, '*') - 2 AS INT) END AS stop FROM (SELECT doc_id, {_AA} AS aa FROM sq)")
+def first_stop(s, d):
+    return V.sequences(s, d).select("doc_id", S.first_stop(F.col("seq")).alias("stop"))
 
 
-@query("phase_trim", f"WITH {V.SQ}, t AS (SELECT doc_id, substr(seq, CAST((3 - doc_id % 3) % 3 + 1 AS BIGINT)) AS x FROM sq WHERE length(seq) >= 3) SELECT doc_id, substr(x, 1, length(x) - length(x) % 3) AS trimmed FROM t")
-def phase_trim(s, d, whole=False):
-    return V.sequences(s, d, whole).where(F.length("seq") >= 3).select("doc_id", S.phase_trim(F.col("seq"), F.col("doc_id") % 3).alias("trimmed"))
+@query("phase_trim", f"WITH {V.SQ}, t AS (SELECT doc_id, substr(seq, CAST((3 - doc_id % 3) % 3 + 1 AS BIGINT)) AS x FROM sq) SELECT doc_id, substr(x, 1, length(x) - length(x) % 3) AS trimmed FROM t")
+def phase_trim(s, d):
+    return V.sequences(s, d).select("doc_id", S.phase_trim(F.col("seq"), F.col("doc_id") % 3).alias("trimmed"))
 
 
-@query("splice_motif", f"WITH {V.SQ} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(seq, 11, 2) || substr(seq, 39, 2) ELSE reverse(translate(substr(seq, 39, 2), 'ACGT', 'TGCA')) || reverse(translate(substr(seq, 11, 2), 'ACGT', 'TGCA')) END AS motif FROM sq WHERE length(seq) >= 40")
+@query("splice_motif", f"""WITH {V.SQ}, t AS (SELECT doc_id, seq, length(seq) // 4 + 1 AS s, length(seq) - length(seq) // 4 AS e FROM sq WHERE length(seq) >= 4)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(seq, s, 2) || substr(seq, e - 1, 2) ELSE reverse(translate(substr(seq, e - 1, 2), 'ACGT', 'TGCA')) || reverse(translate(substr(seq, s, 2), 'ACGT', 'TGCA')) END AS motif FROM t""")
 def splice_motif(s, d):
+    """The middle half of each sequence as an intron; sequences without two bases there have none."""
     from ..functions.locus import motif
 
+    quarter = F.floor(F.length("seq") / 4).cast("int")
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
-    return V.sequences(s, d).where(F.length("seq") >= 40).select("doc_id", motif(F.col("seq"), F.lit(11), F.lit(40), strand).alias("motif"))
+    q = V.sequences(s, d).where(F.length("seq") >= 4)
+    return q.select("doc_id", motif(F.col("seq"), quarter + 1, F.length("seq") - quarter, strand).alias("motif"))

@@ -39,13 +39,12 @@ IV = f"""iv AS (SELECT {ROW_KEY_SQL} AS row_id, l_returnflag || l_linestatus AS
   10 * l_orderkey + l_linenumber AS s, 10 * l_orderkey + l_linenumber + CAST(l_quantity AS BIGINT) - 1 AS e FROM lineitem)"""
 
 
-def regions(iv: DataFrame, whole: bool = False) -> DataFrame:
-    """The intervals whose start is a multiple of 37 (all, if whole), moved on by 5 and widened: a second table."""
-    return (iv if whole else iv.where(F.col("start") % 37 == 0)).select("row_id", "seq", "strand", (F.col("start") + 5).alias("start"), (F.col("end") + 25).alias("end"))
+def regions(iv: DataFrame) -> DataFrame:
+    """The intervals moved on by 5 and widened: a second table."""
+    return iv.select("row_id", "seq", "strand", (F.col("start") + 5).alias("start"), (F.col("end") + 25).alias("end"))
 
 
-RG = "rg AS (SELECT row_id, seq, strand, s + 5 AS s, e + 25 AS e FROM iv WHERE s % 37 = 0)"
-RG_WHOLE = "rg AS (SELECT row_id, seq, strand, s + 5 AS s, e + 25 AS e FROM iv)"
+RG = "rg AS (SELECT row_id, seq, strand, s + 5 AS s, e + 25 AS e FROM iv)"
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +124,10 @@ AS = f"""asy AS (SELECT event_id, list_extract({list(EVENT_TYPES)}, CAST(event_i
     count(*) / 8.0 AS c FROM lineitem GROUP BY 1, 2))"""
 
 
-def sequences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """SQ: (doc_id, seq): letters of a document mapped onto bases, the first 300 of them or all."""
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQ: (doc_id, seq): all letters of a document mapped onto bases; a null text has none."""
     s = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), LETTERS, AS_BASES)
-    return load(spark, sf_dir, "documents").select("doc_id", (s if whole else F.substring(s, 1, 300)).alias("seq"))
+    return load(spark, sf_dir, "documents").select("doc_id", s.alias("seq"))
 
 
-SQ = f"sq AS (SELECT doc_id, substr(translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 1, 300) AS seq FROM documents)"
-SQ_WHOLE = f"sq AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS seq FROM documents)"
+SQ = f"sq AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS seq FROM documents)"

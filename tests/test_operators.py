@@ -139,3 +139,51 @@ def test_prune_overlaps_reaches_a_fixpoint(spark):
     loci = spark.createDataFrame([("a", "+", 1, 10, 0.5), ("a", "+", 8, 20, 0.9), ("a", "+", 18, 30, 0.4), ("a", "+", 29, 40, 0.3), ("a", "-", 1, 10, 0.1)], "seq string, strand string, start long, end long, mean_psi double")
     got = sorted((r.strand, r.start) for r in prune_overlaps(loci).collect())
     assert got == [("+", 8), ("+", 29), ("-", 1)]
+
+
+def test_overlap_join_compares_few_more_pairs_than_it_finds(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(6000):  # mostly short intervals, some long, a few as long as the sequence
+        n = 3_000_000 if k % 1500 == 0 else r.randint(1_000, 60_000) if k % 50 == 0 else r.randint(1, 400)
+        s = r.randint(1, 3_000_000)
+        rows.append((k, "a", "+", s, s + n))
+    df = make(spark, rows)
+    pairs = I.overlap_join(df, df).count()
+    assert pairs == sum(a[3] <= b[4] and a[4] >= b[3] for a in rows for b in rows)
+    seen = I.candidates(df, df)
+    assert seen.count() == seen.distinct().count() < 8 * pairs
+
+
+def test_covered_bases_match_depth_by_base(some):
+    rows, df = some
+    runs = I.coverage_runs(df)
+    for ignore in (False, True):
+        got = {r.id: r.total for r in I.covered_bases(runs, df.where("id < 60"), "id", ignore, chunk=500).collect()}
+        want = {}
+        for a in rows[:60]:
+            fits = [b for b in rows if a[1] == b[1] and (ignore or a[2] == b[2] or "*" in (a[2], b[2]))]
+            want[a[0]] = sum(max(0, min(a[4], b[4]) - max(a[3], b[3]) + 1) for b in fits)
+        assert got == want
+
+
+def test_every_covered_base_is_in_a_bin(some):
+    rows, df = some
+    want = {}
+    for r in rows:
+        for p in range(r[3], r[4] + 1):
+            k = (r[1], r[2], (p - 1) // 200)
+            want[k] = want.get(k, 0) + 1
+    got = {(r.seq, r.strand, r.bin): r.mean_depth for r in I.mean_bins(I.coverage_runs(df), 200).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: round(n / 200, 6) for k, n in want.items()}
+
+
+def test_views_read_whole_tables_and_texts(spark):
+    from isoloom.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    iv = V.intervals(spark, sf)
+    assert V.regions(iv).count() == iv.count() == V.load(spark, sf, "lineitem").count()
+    base = dict(zip(V.LETTERS, V.AS_BASES))
+    want = {r.doc_id: "".join(base.get(c, "") for c in (r.text or "").lower()) for r in V.load(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.seq for r in V.sequences(spark, sf).collect()} == want and max(map(len, want.values())) > 300
