@@ -16,16 +16,32 @@ def genes(exons: DataFrame) -> DataFrame:
 
 
 def gene_groups(exons: DataFrame, stranded: bool = True) -> DataFrame:
-    """(gene, group): overlapping genes share a group, numbered along the chromosome."""
+    """(gene, group): overlapping genes share a group. Groups are numbered over all chromosomes, by chromosome, start
+    and strand, so a number names one group of the whole annotation."""
     keys = ["seq", "strand"] if stranded else ["seq"]
-    got = I.with_islands(genes(exons), keys)
-    return got.select("gene", *keys, F.col("island").alias("gene_group"))
+    got = R.settled(I.with_islands(genes(exons), keys))  # a row per gene
+    spans = got.groupBy(*keys, "island").agg(F.min("start").alias("start"))
+    per = spans.groupBy("seq").agg(F.count("*").alias("n"))  # a row per chromosome
+    per = per.select("seq", F.coalesce(F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    spans = R.row_ids(spans, ["seq"], ["start", *keys[1:]], "n").join(per, "seq")
+    number = spans.select(*keys, "island", (F.col("before") + F.col("n")).alias("gene_group"))
+    return got.join(number, [*keys, "island"]).select("gene", *keys, "gene_group")
 
 
-def exon_islands(exons: DataFrame) -> DataFrame:
-    """Merged exons per gene group with their ordinal in reading direction."""
+def exon_islands(exons: DataFrame, retained: str = "intron") -> DataFrame:
+    """Merged exons per gene group with their ordinal in reading direction.
+
+    Exons of transcripts whose biotype matches ``retained`` would bridge introns and stay out, but for those that
+    overlap no span of their strand's islands (ends of such transcripts outside all others).
+    """
     group = gene_groups(exons).select("gene", "gene_group")
-    return _islands(exons.join(group, "gene"))
+    ex = exons.select("gene", "seq", "strand", "start", "end", F.coalesce(F.col("biotype").rlike(retained), F.lit(False)).alias("ri")).distinct().join(group, "gene")
+    ex = R.settled(ex.drop("gene").distinct())  # distinct exons of the annotation
+    plain, late = ex.where("NOT ri").drop("ri"), ex.where("ri").drop("ri")
+    spans = plain.groupBy("gene_group", "seq", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    inside = I.overlap_join(late, spans.select("seq", "strand", "start", "end")).select("seq", "strand", "start", "end").distinct()
+    outside = R.settled(late.join(inside, ["seq", "strand", "start", "end"], "left_anti"))
+    return R.settled(_islands(plain.unionByName(outside)))
 
 
 def _islands(exons: DataFrame) -> DataFrame:
@@ -34,6 +50,14 @@ def _islands(exons: DataFrame) -> DataFrame:
     return R.strand_renumber(R.row_ids(merged, keys, ["start"], "exon_group"), keys, "exon_group")
 
 
+def island_gaps(islands: DataFrame) -> DataFrame:
+    """(seq, strand, gene_group, start, end, intron_number): stretches between neighbouring islands of a group, numbered
+    in reading direction."""
+    keys = ["seq", "strand", "gene_group"]
+    gaps = I.group_gaps(islands, keys)
+    return R.strand_renumber(R.row_ids(gaps, keys, ["start"], "intron_number"), keys, "intron_number")
+
+
 def introns(exons: DataFrame) -> DataFrame:
     """Gaps between a transcript's exons, numbered in reading direction, with locus and intron_id."""
     one = exons.groupBy("tx").agg(*[F.first(c).alias(c) for c in ("gene", "seq", "strand", "biotype", "tsl")])
@@ -44,22 +68,39 @@ def introns(exons: DataFrame) -> DataFrame:
     return got.withColumn("intron_id", F.concat_ws("_", F.col("tx").cast("string"), F.concat(F.lit("Intron"), F.col("n").cast("string"))))
 
 
+def _sites(intron: DataFrame) -> DataFrame:
+    """(locus, seq, strand, side, start, end): the two bases around each splice site."""
+    site = intron.select("locus", "seq", "strand", "start", "end").distinct()
+    ends = F.array(F.struct(F.lit("left").alias("side"), (F.col("start") - 1).alias("start"), F.col("start").alias("end")), F.struct(F.lit("right").alias("side"), F.col("end").alias("start"), (F.col("end") + 1).alias("end")))
+    return site.select("locus", "seq", "strand", F.explode(ends).alias("p")).select("locus", "seq", "strand", "p.*")
+
+
 def flanking_islands(intron: DataFrame, islands: DataFrame) -> DataFrame:
     """up and down: the islands that the two bases around each splice site touch; the last hit wins.
 
     An island's key is its group's number, unique over all chromosomes, and its ordinal.
     """
-    site = intron.select("locus", "seq", "strand", "start", "end").distinct()
-    ends = F.array(F.struct(F.lit("left").alias("side"), (F.col("start") - 1).alias("start"), F.col("start").alias("end")), F.struct(F.lit("right").alias("side"), F.col("end").alias("start"), (F.col("end") + 1).alias("end")))
-    probe = site.select("locus", "seq", "strand", F.explode(ends).alias("p")).select("locus", "seq", "strand", "p.*")
     key = F.concat_ws("_", F.col("b_gene_group").cast("string"), F.col("b_exon_group").cast("string"))
     last = lambda side: F.max_by(key, F.when(F.col("side") == side, F.struct("b_gene_group", "b_start")))
-    hit = I.overlap_join(probe, islands).groupBy("locus").agg(last("left").alias("left"), last("right").alias("right"))
-    got = site.select("locus", "strand").join(hit, "locus", "left")
+    hit = I.overlap_join(_sites(intron), islands).groupBy("locus").agg(last("left").alias("left"), last("right").alias("right"))
+    got = intron.select("locus", "strand").distinct().join(hit, "locus", "left")
     minus = F.col("strand") == "-"
     return got.select("locus", F.when(minus, F.col("right")).otherwise(F.col("left")).alias("up"), F.when(minus, F.col("left")).otherwise(F.col("right")).alias("down"))
 
 
+def rescue_islands(flanks: DataFrame, intron: DataFrame, islands: DataFrame) -> DataFrame:
+    """flanks with missing islands filled from the gap between islands that the splice site lies in (introns of
+    retained transcripts end there): upstream the island before the gap, downstream the one behind it."""
+    gaps = island_gaps(islands)
+    missing = flanks.where("up IS NULL OR down IS NULL").select("locus")
+    hit = I.overlap_join(_sites(intron.join(missing, "locus", "left_semi")), gaps)
+    upstream = (F.col("side") == "left") == (F.col("strand") == "+")
+    key = F.concat_ws("_", F.col("b_gene_group").cast("string"), (F.col("b_intron_number") + F.when(upstream, 0).otherwise(1)).cast("string"))
+    last = lambda up: F.max_by(key, F.when(upstream == F.lit(up), F.struct("b_gene_group", "b_start")))
+    found = hit.groupBy("locus").agg(last(True).alias("__up"), last(False).alias("__down"))
+    return flanks.join(found, "locus", "left").select("locus", F.coalesce("up", "__up").alias("up"), F.coalesce("down", "__down").alias("down"))
+
+
 def best_introns(intron: DataFrame, biotypes: list[str]) -> DataFrame:
     """One row per locus: the transcript of the best biotype (listed first), then support level, then name."""
     rank = F.array_position(F.array(*[F.lit(b) for b in biotypes]), F.col("biotype"))
@@ -85,12 +126,33 @@ def anti_over_near(intron: DataFrame, gene: DataFrame, before: int = 5000, after
     return got.select("locus", F.coalesce("anti_over", F.lit(False)).alias("anti_over"), F.coalesce("anti_near", F.lit(False)).alias("anti_near"))
 
 
-def measurable_blocks(intron: DataFrame, exons: DataFrame, widen: int = 5, least: int = 50, share: float = 0.3) -> DataFrame:
-    """Parts of each intron (trimmed by ``widen``) outside exons widened by it: blocks and bases, if enough is left."""
+def unusable_regions(*tables: DataFrame, gap: int = 9) -> DataFrame:
+    """(seq, start, end): low-mappability and blacklisted regions of any strand, merged over gaps below ``gap``."""
+    out = tables[0].select("seq", "start", "end")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("seq", "start", "end"))
+    return I.reduce_intervals(out, ["seq"], gap).drop("n")
+
+
+def outside_regions(intron: DataFrame, regions: DataFrame) -> DataFrame:
+    """Introns that do not lie whole inside one of the regions."""
+    site = intron.select("locus", "seq", "start", "end").distinct()
+    return intron.join(I.overlap_join(site, regions, how="within").select("locus").distinct(), "locus", "left_anti")
+
+
+def excluded_zones(exons: DataFrame, widen: int = 5, regions: DataFrame | None = None) -> DataFrame:
+    """(seq, strand, start, end): exons widened, and unusable regions on both strands, merged."""
+    zone = exons.select("seq", "strand", (F.col("start") - widen).alias("start"), (F.col("end") + widen).alias("end"))
+    if regions is not None:
+        zone = zone.unionByName(regions.select("seq", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), "start", "end"))
+    return I.reduce_intervals(zone).drop("n")
+
+
+def measurable_blocks(intron: DataFrame, exons: DataFrame, widen: int = 5, least: int = 50, share: float = 0.3, regions: DataFrame | None = None) -> DataFrame:
+    """Parts of each intron (trimmed by ``widen``) outside the excluded zones: blocks and bases, if enough is left."""
     site = intron.select("locus", "seq", "strand", "start", "end").distinct().where(F.col("end") - F.col("start") + 1 > least)
     site = site.withColumns({"start": F.col("start") + widen, "end": F.col("end") - widen})
-    zone = I.reduce_intervals(exons.select("seq", "strand", (F.col("start") - widen).alias("start"), (F.col("end") + widen).alias("end"))).drop("n")
-    hit = I.overlap_join(site, zone)
+    hit = I.overlap_join(site, excluded_zones(exons, widen, regions))
     cut = hit.select("locus", F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
     bare = site.select("locus", F.col("start").alias("s"), F.col("end").alias("e"))
     sums = cut.groupBy("locus").agg(F.sum(F.col("end") - F.col("start") + 1).alias("excl"), F.count("*").alias("cuts"), F.min("start").alias("first"), F.max("end").alias("last"))

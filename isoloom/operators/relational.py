@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept under the session's checkpoint folder, so that plans which use it often stay small and
+    a lost executor does not repeat it. Where the session names no folder (as in tests) a temporary one is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="isoloom-"))
+    return df.checkpoint()
+
+
 def row_ids(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], name: str = "n") -> DataFrame:
     """1, 2, ... in the given order inside each key."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

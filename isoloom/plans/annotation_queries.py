@@ -24,11 +24,21 @@ def query(name: str, sql: str | None = None):
 
 
 GENES = 'genes AS (SELECT gene, seq, strand, min(s) AS s, max(e) AS e FROM tx GROUP BY ALL)'
-GROUPS = """gg AS (SELECT gene, seq, strand, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq, strand ORDER BY s, e, pe NULLS FIRST ROWS UNBOUNDED PRECEDING) AS gene_group
- FROM (SELECT *, max(e) OVER (PARTITION BY seq, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM genes))"""
-ISLANDS = """isl0 AS (SELECT seq, strand, gene_group, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq, strand, gene_group ORDER BY s, e, pe NULLS FIRST ROWS UNBOUNDED PRECEDING) AS g FROM
- (SELECT t.seq, t.strand, gene_group, t.s, t.e, max(t.e) OVER (PARTITION BY t.seq, t.strand, gene_group ORDER BY t.s, t.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM tx t JOIN gg ON t.gene = gg.gene)) GROUP BY seq, strand, gene_group, g),
-isl AS (SELECT *, CASE WHEN strand = '-' THEN count(*) OVER (PARTITION BY seq, strand, gene_group) + 1 - row_number() OVER (PARTITION BY seq, strand, gene_group ORDER BY s) ELSE row_number() OVER (PARTITION BY seq, strand, gene_group ORDER BY s) END AS exon_group FROM isl0)"""
+
+
+def _merged(source: str, keys: str, name: str, gap: int = 1) -> str:
+    """A table of merged intervals (keys, s, e) of a table with s and e."""
+    return f"""{name} AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e, pe NULLS FIRST ROWS UNBOUNDED PRECEDING) AS g FROM
+ (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {source})) GROUP BY {keys}, g)"""
+
+
+GROUPS = f"""{_merged('genes', 'seq, strand', 'gsp')}, gno AS (SELECT *, row_number() OVER (ORDER BY seq, s, strand) AS gene_group FROM gsp),
+gg AS (SELECT gene, genes.seq, genes.strand, gene_group FROM genes JOIN gno ON genes.seq = gno.seq AND genes.strand = gno.strand AND genes.s >= gno.s AND genes.e <= gno.e)"""
+ISLANDS = f"""exg AS (SELECT tx.seq, tx.strand, gene_group, tx.s, tx.e, biotype FROM tx JOIN gg ON tx.gene = gg.gene),
+spn AS (SELECT gene_group, seq, strand, min(s) AS s, max(e) AS e FROM exg WHERE biotype <> 'P' GROUP BY ALL),
+exk AS (SELECT * FROM exg WHERE biotype <> 'P' UNION ALL SELECT * FROM exg WHERE biotype = 'P' AND NOT EXISTS (SELECT 1 FROM spn WHERE spn.seq = exg.seq AND spn.strand = exg.strand AND spn.s <= exg.e AND spn.e >= exg.s)),
+{_merged('exk', 'seq, strand, gene_group', 'isl0')},
+isl AS (SELECT *, CASE WHEN strand = '-' THEN count(*) OVER (PARTITION BY gene_group) + 1 - row_number() OVER (PARTITION BY gene_group ORDER BY s) ELSE row_number() OVER (PARTITION BY gene_group ORDER BY s) END AS exon_group FROM isl0)"""
 SITE = "site AS (SELECT DISTINCT locus, seq, strand, s, e FROM loc)"
 FLANK = """lft AS (SELECT site.locus, arg_max(gene_group || '_' || exon_group, (gene_group, isl.s)) AS k FROM site JOIN isl ON site.seq = isl.seq AND site.strand = isl.strand AND site.s - 1 <= isl.e AND site.s >= isl.s GROUP BY 1),
 rgt AS (SELECT site.locus, arg_max(gene_group || '_' || exon_group, (gene_group, isl.s)) AS k FROM site JOIN isl ON site.seq = isl.seq AND site.strand = isl.strand AND site.e <= isl.e AND site.e + 1 >= isl.s GROUP BY 1),
@@ -37,6 +47,10 @@ BASE = f"WITH {V.TX}, {V.INTRON}"
 FULL = f"{BASE}, {GENES}, {GROUPS}, {ISLANDS}, {SITE}, {FLANK}"
 
 
+#: The class of the view's exons that stands for retained-intron transcripts.
+RETAINED = "P"
+
+
 def _tx(s: SparkSession, d: str) -> DataFrame:
     return V.exons(s, d)
 
@@ -48,7 +62,7 @@ def gene_groups(s, d):
 
 @query("exon_islands", f'WITH {V.TX}, {GENES}, {GROUPS}, {ISLANDS} SELECT seq, strand, CAST(gene_group AS BIGINT) AS gene_group, s AS "start", e AS "end", exon_group FROM isl')
 def exon_islands(s, d):
-    return A.exon_islands(_tx(s, d))
+    return A.exon_islands(_tx(s, d), RETAINED)
 
 
 @query("candidate_introns", f'{BASE} SELECT DISTINCT seq, s AS "start", e AS "end", strand, locus FROM loc')
@@ -69,7 +83,7 @@ def best_introns(s, d):
 def _flanks(s, d) -> tuple[DataFrame, DataFrame]:
     tx = _tx(s, d)
     intron = A.introns(tx)
-    return intron, A.flanking_islands(intron, A.exon_islands(tx))
+    return intron, A.flanking_islands(intron, A.exon_islands(tx, RETAINED))
 
 
 @query("flanking_islands", f"{FULL} SELECT locus, up, down FROM fl")
@@ -77,6 +91,52 @@ def flanking_islands(s, d):
     return _flanks(s, d)[1]
 
 
+_GAPS = """gap0 AS (SELECT gene_group, seq, strand, e + 1 AS s, lead(s) OVER (PARTITION BY gene_group ORDER BY s) - 1 AS e FROM isl),
+gap AS (SELECT *, CASE WHEN strand = '-' THEN count(*) OVER (PARTITION BY gene_group) + 1 - row_number() OVER (PARTITION BY gene_group ORDER BY s) ELSE row_number() OVER (PARTITION BY gene_group ORDER BY s) END AS num FROM gap0 WHERE e >= s)"""
+
+
+@query("island_gaps", f'{FULL}, {_GAPS} SELECT seq, strand, gene_group, s AS "start", e AS "end", CAST(num AS INT) AS intron_number FROM gap')
+def island_gaps(s, d):
+    return A.island_gaps(A.exon_islands(_tx(s, d), RETAINED))
+
+
+@query("island_rescue", f"""{FULL}, {_GAPS}, pb AS (SELECT locus, strand, seq, s - 1 AS s, s AS e, strand = '+' AS ups FROM site UNION ALL SELECT locus, strand, seq, e, e + 1, strand = '-' FROM site),
+rs AS (SELECT locus, ups, arg_max(gene_group || '_' || (num + CASE WHEN ups THEN 0 ELSE 1 END), (gene_group, gap.s)) AS k FROM pb JOIN gap ON pb.seq = gap.seq AND pb.strand = gap.strand AND pb.s <= gap.e AND pb.e >= gap.s GROUP BY 1, 2)
+SELECT fl.locus, coalesce(up, a.k) AS up, coalesce(down, b.k) AS down FROM fl LEFT JOIN rs a ON a.locus = fl.locus AND a.ups LEFT JOIN rs b ON b.locus = fl.locus AND NOT b.ups""")
+def island_rescue(s, d):
+    tx = _tx(s, d)
+    intron, islands = A.introns(tx), A.exon_islands(tx, RETAINED)
+    return A.rescue_islands(A.flanking_islands(intron, islands), intron, islands)
+
+
+def _omni(s, d) -> DataFrame:
+    """Regions of any strand that cannot be measured: two blocks in each gene's stretch."""
+    li = V.load(s, d, "lineitem")
+    gene = F.col("l_suppkey") % 40
+    at = 2000 * gene + 37 * (F.col("l_partkey") % 50)
+    return li.select(F.concat(F.lit("chr"), (gene % 4).cast("string")).alias("seq"), at.alias("start"), (at + 3).alias("end"))
+
+
+_OMNI = f"""omni0 AS (SELECT 'chr' || CAST(l_suppkey % 40 % 4 AS VARCHAR) AS seq, 2000 * (l_suppkey % 40) + 37 * (l_partkey % 50) AS s, 2000 * (l_suppkey % 40) + 37 * (l_partkey % 50) + 3 AS e FROM lineitem), {_merged('omni0', 'seq', 'omni', 9)}"""
+
+
+@query("unusable_regions", f'WITH {_OMNI} SELECT seq, s AS "start", e AS "end" FROM omni')
+def unusable_regions(s, d):
+    return A.unusable_regions(_omni(s, d))
+
+
+@query("introns_outside_regions", f"""{BASE}, {SITE}, om2 AS (SELECT seq, s - 40 AS s, e + 40 AS e FROM omni0), {_OMNI}, {_merged('om2', 'seq', 'wide', 9)}
+SELECT DISTINCT locus FROM site WHERE NOT EXISTS (SELECT 1 FROM wide WHERE wide.seq = site.seq AND wide.s <= site.s AND wide.e >= site.e)""".replace(f"om2 AS (SELECT seq, s - 40 AS s, e + 40 AS e FROM omni0), {_OMNI},", f"{_OMNI}, om2 AS (SELECT seq, s - 10 AS s, e + 10 AS e FROM omni0 WHERE s > 20000),"))
+def introns_outside_regions(s, d):
+    wide = _omni(s, d).where("start > 20000").select("seq", (F.col("start") - 10).alias("start"), (F.col("end") + 10).alias("end"))
+    return A.outside_regions(A.introns(_tx(s, d)), A.unusable_regions(wide)).select("locus").distinct()
+
+
+@query("excluded_zones", f"""{BASE}, {_OMNI}, zn0 AS (SELECT seq, strand, s - 5 AS s, e + 5 AS e FROM tx UNION ALL SELECT seq, unnest(['+', '-']), s, e FROM omni), {_merged('zn0', 'seq, strand', 'zn')} SELECT seq, strand, s AS "start", e AS "end" FROM zn""")
+def excluded_zones(s, d):
+    return A.excluded_zones(_tx(s, d), regions=A.unusable_regions(_omni(s, d)))
+
+
 @query("known_exon_flags", f"{BASE}, {SITE} SELECT locus, EXISTS (SELECT 1 FROM tx WHERE tx.seq = site.seq AND tx.strand = site.strand AND tx.s <= site.s AND tx.e >= site.e) AS known FROM site")
 def known_exon_flags(s, d):
     tx = _tx(s, d)

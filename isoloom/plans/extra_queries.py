@@ -113,10 +113,6 @@ def prune_overlap_round1(s, d):
 
 @query("prune_overlap_fixpoint")
 def prune_overlap_fixpoint(s, d):
-    if not s.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        s.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoloom-"))
     return M.prune_overlaps(_loci(s, d)).select("seq", "strand", "start", "end", "mean_psi")
 
 

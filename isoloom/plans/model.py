@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as FL
 from ..operators import intervals as I
+from ..operators import relational as R
 
 #: Loci of an island that one task settles, and groups of islands that go to tasks.
 ISLAND, TASKS = 200_000, 512
@@ -100,14 +101,14 @@ def prune_overlaps(loci: DataFrame, psi: str = "mean_psi", island: int = ISLAND)
     while True:
         got = I.with_islands(left)
         size = got.groupBy("seq", "strand", "island").agg(F.count("*").alias("__size"), F.min("start").alias("__lo"))
-        got = got.join(size, ["seq", "strand", "island"]).drop("island").checkpoint()
+        got = R.settled(got.join(size, ["seq", "strand", "island"]).drop("island"))
         done = got.where("__size = 1").select(*columns).unionByName(_prune_locally(got.where(F.col("__size").between(2, island)), columns, psi))
         kept = done if kept is None else kept.unionByName(done)
         big = got.where(F.col("__size") > island).select(*columns)
         if big.isEmpty():
             return kept
-        got = prune_round(big, psi).checkpoint()
+        got = R.settled(prune_round(big, psi))
         won, lost = (got.where(w).select(*columns) for w in ("win", "NOT win"))
-        kept = kept.unionByName(won).checkpoint()
+        kept = R.settled(kept.unionByName(won))
         hit = I.overlap_join(lost, won.select("seq", "strand", "start", "end")).select("seq", "strand", "start", "end").distinct()
         left = lost.join(hit, ["seq", "strand", "start", "end"], "left_anti").select(*columns)
