@@ -37,13 +37,13 @@ def splice_over(j: DataFrame) -> DataFrame:
     junctions (inside one island) and the side totals."""
     j = splice_sides(j)
     between = j.where(F.col("jg_up").isNotNull() & F.col("jg_down").isNotNull() & (F.col("jg_up") != F.col("jg_down")))
-    up = between.groupBy("sample", "jg_up").agg(F.sum("count").alias("t_up"))
-    down = between.groupBy("sample", "jg_down").agg(F.sum("count").alias("t_down"))
+    up = between.groupBy("sample", "seq", "strand", "jg_up").agg(F.sum("count").alias("t_up"))
+    down = between.groupBy("sample", "seq", "strand", "jg_down").agg(F.sum("count").alias("t_down"))
     inner = j.where(F.col("jg_up") == F.col("jg_down")).select("sample", "seq", "strand", "start", "end")
     key = F.concat_ws("|", "sample", "seq")
     hit = I.overlap_join(inner.withColumn("seq", key), j.select(key.alias("seq"), "strand", "start", "end", "count"))
     over = hit.groupBy("sample", F.substring_index("seq", "|", -1).alias("seq"), "strand", "start", "end").agg(F.sum("b_count").alias("so_i"))
-    got = j.join(up, ["sample", "jg_up"], "left").join(down, ["sample", "jg_down"], "left").join(over, ["sample", "seq", "strand", "start", "end"], "left")
+    got = j.join(up, ["sample", "seq", "strand", "jg_up"], "left").join(down, ["sample", "seq", "strand", "jg_down"], "left").join(over, ["sample", "seq", "strand", "start", "end"], "left")
     is_between = F.coalesce(F.col("jg_up") != F.col("jg_down"), F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0))
     by_up, by_down = zero(F.when(is_between, F.col("t_up"))), zero(F.when(is_between, F.col("t_down")))
@@ -65,24 +65,76 @@ def intron_stats(depth: Column, coverage: Column, so_l: Column, so_r: Column) ->
     return {"splice_over_max": top, "ir_over_ratio": F.coalesce(F.try_divide(value.cast("double"), (value + top).cast("double")), F.lit(0.0)), "total_depth": depth + top}
 
 
-def event_counts(events: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds n1a, n2a, n1b, n2b per sample: the counts of the event's junctions, 0 where a sample lacks one.
+def event_counts(events: DataFrame, counts: DataFrame, introns: DataFrame | None = None) -> DataFrame:
+    """n1a, n2a, n1b, n2b of every event in every sample that counts has: the counts of its junctions, 0 without reads.
 
-    events: (event_id, event_type, event1a, event2a, event1b, event2b); counts: (sample, locus, count).
+    events: (event_id, event_type, event1a, event2a, event1b, event2b); counts: (sample, locus, count). With introns
+    (sample, locus, strand, depth, left, right), a retained intron takes its depth as n1a and the reads over its
+    upstream and downstream ends as n2a and n2b.
     """
-    parts = events.select("event_id", "event_type", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"event{p}").alias("locus")) for p in ("1a", "2a", "1b", "2b")])).alias("p")).select("event_id", "event_type", "p.*")
-    got = parts.where("locus IS NOT NULL").join(counts, "locus").groupBy("event_id", "event_type", "sample")
-    sums = got.agg(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("count"))), F.lit(0)).alias(f"n{p}") for p in ("1a", "2a", "1b", "2b")])
-    return sums
+    names = ("1a", "2a", "1b", "2b")
+    parts = events.select("event_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"event{p}").alias("locus")) for p in names])).alias("p")).select("event_id", "p.*").where("locus IS NOT NULL")
+    sums = parts.join(counts, "locus").groupBy("event_id", "sample").agg(*[F.max(F.when(F.col("part") == p, F.col("count"))).alias(f"n{p}") for p in names])
+    samples = counts.agg(F.sort_array(F.collect_set("sample"))).scalar()  # one name per sample
+    got = events.select("event_id", "event_type", "event1a", F.explode(samples).alias("sample")).join(sums, ["event_id", "sample"], "left")
+    got = got.withColumns({f"n{p}": F.coalesce(f"n{p}", F.lit(0)) for p in names})
+    if introns is not None:
+        minus = F.col("strand") == "-"
+        ri = introns.select("sample", F.col("locus").alias("event1a"), F.lit("RI").alias("event_type"), F.col("depth").alias("__d"), F.when(minus, F.col("right")).otherwise(F.col("left")).alias("__u"), F.when(minus, F.col("left")).otherwise(F.col("right")).alias("__w"))
+        got = got.join(ri, ["sample", "event1a", "event_type"], "left")
+        is_ri = F.col("event_type") == "RI"
+        got = got.withColumns({c: F.when(is_ri, F.coalesce(v, F.lit(0))).otherwise(F.col(c)) for c, v in (("n1a", F.col("__d")), ("n2a", F.col("__u")), ("n2b", F.col("__w")))}).drop("__d", "__u", "__w")
+    return got.select("event_id", "event_type", "sample", *[f"n{p}" for p in names])
+
+
+def island_totals(events: DataFrame, so: DataFrame) -> DataFrame:
+    """(event_id, sample, total_up, total_down): what leaves the upstream and enters the downstream island of an event,
+    taken from the first junction there (by position) in each sample; 0 without one.
+
+    events: (event_id, strand, jg_up, jg_down); so: ``splice_over``'s rows.
+    """
+    samples = so.agg(F.sort_array(F.collect_set("sample"))).scalar()
+    first = lambda key: so.where(F.col(key).isNotNull()).groupBy("sample", key).agg(F.min_by(F.struct("so_l", "so_r"), F.struct("seq", "start", "end", "strand")).alias(f"__{key}"))
+    got = events.select("event_id", "strand", "jg_up", "jg_down", F.explode(samples).alias("sample"))
+    got = got.join(first("jg_up"), ["sample", "jg_up"], "left").join(first("jg_down"), ["sample", "jg_down"], "left")
+    minus = F.col("strand") == "-"
+    side = lambda key, left: F.coalesce(F.when(minus == F.lit(left), F.col(f"__{key}.so_r")).otherwise(F.col(f"__{key}.so_l")), F.lit(0))
+    return got.select("event_id", "sample", side("jg_up", True).alias("total_up"), side("jg_down", False).alias("total_down"))
 
 
 def participation(kind: Column, n1a: Column, n2a: Column, n1b: Column, n2b: Column) -> tuple[Column, Column]:
-    """Reads that use the upstream and the downstream island of an event; null where its type has no such side."""
-    up = F.when(kind.isin("MXE", "SE", "ALE", "A3SS", "RI"), n1a + n1b)
-    down = F.when(kind == "MXE", n2a + n2b).when(kind == "SE", n2a + n1b).when(kind.isin("AFE", "A5SS", "RI"), n1a + n1b)
+    """Reads of an event's isoforms that use its upstream and its downstream island; 0 where its type has no such side."""
+    up = F.when(kind.isin("MXE", "SE", "ALE", "A3SS", "RI"), n1a + n1b).otherwise(0)
+    down = F.when(kind == "MXE", n2a + n2b).when(kind == "SE", n2a + n1b).when(kind.isin("AFE", "A5SS", "RI"), n1a + n1b).otherwise(0)
     return up, down
 
 
+def event_coverage(kind: Column, up: Column, down: Column, total_up: Column, total_down: Column) -> dict[str, Column]:
+    """coverage (the share of an island's reads that the event's isoforms make, the lesser side where both count) and
+    min_depth (the reads of the island that gave it)."""
+    share = lambda n, t: F.when(t > 0, n.cast("double") / t.cast("double")).otherwise(0.0)
+    u, d = share(up, total_up), share(down, total_down)
+    coverage = F.when(kind.isin("MXE", "SE", "RI"), F.least(u, d)).when(kind.isin("ALE", "A3SS"), u).when(kind.isin("AFE", "A5SS"), d)
+    depth = F.when(kind.isin("MXE", "SE"), F.when(u < d, total_up).otherwise(total_down)).when(kind.isin("ALE", "A3SS", "RI"), total_up).when(kind.isin("AFE", "A5SS"), total_down)
+    return {"coverage": coverage, "min_depth": depth}
+
+
+def event_depths(events: DataFrame, introns: DataFrame, totals: DataFrame) -> DataFrame:
+    """(event_id, sample, event_depth): the depth of the event's region if it is measured as an intron, else the most of
+    its four introns' depths, and where these are 0 the greater island total.
+
+    events: (event_id, region, event1a, event2a, event1b, event2b); introns: (sample, locus, total_depth); totals:
+    ``island_totals``.
+    """
+    names = ("region", "event1a", "event2a", "event1b", "event2b")
+    parts = events.select("event_id", F.explode(F.array(*[F.struct((F.lit(n) == "region").alias("whole"), F.col(n).alias("locus")) for n in names])).alias("p")).select("event_id", "p.*").where("locus IS NOT NULL")
+    met = parts.join(introns.select("sample", "locus", "total_depth"), "locus").groupBy("event_id", "sample")
+    met = met.agg(F.max(F.when(F.col("whole"), F.col("total_depth"))).alias("r"), F.max(F.when(~F.col("whole"), F.col("total_depth"))).alias("p"))
+    got = totals.join(met, ["event_id", "sample"], "left")
+    part = F.when(F.coalesce("p", F.lit(0)) > 0, F.col("p")).otherwise(F.greatest("total_up", "total_down"))
+    return got.select("event_id", "sample", F.coalesce("r", part).cast("double").alias("event_depth"))
+
+
 def included(kind: Column, n1a: Column, n2a: Column, depth: Column) -> Column:
     return F.when(kind.isin("MXE", "SE"), (n1a + n2a) / 2.0).when(kind.isin("IR", "RI"), depth.cast("double")).otherwise(n1a.cast("double"))
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import intervals as I
+from ..functions.locus import parse
 
 #: Event types, and where each assay of the consistency test applies.
 TYPES = ("IR", "MXE", "SE", "A3SS", "A5SS", "AFE", "ALE", "RI")
@@ -93,8 +93,20 @@ def exclusive_mxe(mxe: DataFrame) -> DataFrame:
     return mxe.select("event_id", ((F.col("a_start") > F.col("b_end")) | (F.col("b_start") > F.col("a_end"))).alias("passed"))
 
 
-def apply_filters(assay: DataFrame, filters: Iterable[EventFilter], annotation: DataFrame | None = None) -> DataFrame:
-    """event_id of the events that pass every filter; the assay is grouped once for all filters on whole samples."""
+def casette_exons(mxe: DataFrame) -> DataFrame:
+    """(event_id, a_start, a_end, b_start, b_end): the exons between the two introns of each isoform of MXE events."""
+    g = {n: parse(F.col(f"event{n}")) for n in ("1a", "2a", "1b", "2b")}
+    between = lambda x, y: (F.least(g[x]["end"], g[y]["end"]) + 1, F.greatest(g[x]["start"], g[y]["start"]) - 1)
+    a, b = between("1a", "2a"), between("1b", "2b")
+    return mxe.select("event_id", a[0].alias("a_start"), a[1].alias("a_end"), b[0].alias("b_start"), b[1].alias("b_end"))
+
+
+def apply_filters(assay: DataFrame, filters: Iterable[EventFilter], annotation: DataFrame | None = None, casettes: DataFrame | None = None) -> DataFrame:
+    """event_id of the events that pass every filter; the assay is grouped once for all filters on whole samples.
+
+    Filters on annotation need its table, ExclusiveMXE the middle exons of the MXE events (``casette_exons``); a filter
+    without its table raises. Events that the table lacks pass ExclusiveMXE if they are of another type.
+    """
     filters = list(filters)
     plain = [f for f in filters if f.kind in DATA and not f.by_condition]
     keys = assay.select("event_id", "event_type").distinct()
@@ -102,15 +114,22 @@ def apply_filters(assay: DataFrame, filters: Iterable[EventFilter], annotation:
         keys = assay.groupBy("event_id", "event_type").agg(*[F.avg(_row_passes(f).cast("double")).alias(f"f{k}") for k, f in enumerate(plain)])
         tests = [(~F.col("event_type").isin(*f.types) if f.types else F.lit(True)) | (F.col(f"f{k}") * 100 >= f.pc_true) for k, f in enumerate(plain)]
         keys = keys.where(reduce(lambda a, b: a & b, tests))
-    out = keys.select("event_id")
+    out = keys.select("event_id", "event_type")
     for f in filters:
-        if f in plain or f.kind == "ExclusiveMXE":
+        if f in plain:
+            continue
+        if f.kind == "ExclusiveMXE":
+            if casettes is None:
+                raise ValueError("the filter ExclusiveMXE needs the middle exons of the MXE events")
+            if "MXE" in f.types:
+                met = out.join(exclusive_mxe(casettes), "event_id", "left")
+                out = met.where((F.col("event_type") != "MXE") | F.coalesce("passed", F.lit(False))).drop("passed")
             continue
         if f.kind in DATA:
             got = data_filter(assay, f)
         elif annotation is None:
-            continue
+            raise ValueError(f"the filter {f.kind} needs the events' annotation")
         else:
             got = annotation_filter(annotation, f)
         out = out.join(got.where("passed").select("event_id"), "event_id", "left_semi")
-    return out
+    return out.select("event_id")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals as I
+from . import relational as R
 
 #: Flag bits.
 UNMAPPED_SECONDARY_SUPPLEMENTARY, PAIRED, REVERSE, MATE_REVERSE, FIRST = 0x904, 0x1, 0x10, 0x20, 0x40
@@ -149,7 +150,82 @@ def ir_ratio(depth: Column, coverage: Column, left: Column, right: Column) -> Co
     return F.when((depth == 0) & (top == 0), 0.0).otherwise(F.coalesce(F.try_divide(value.cast("double"), (value + top).cast("double")), F.lit(0.0)))
 
 
-def ir_warning(depth: Column, exact: Column, left: Column, right: Column, l50: Column, r50: Column) -> Column:
-    top = F.greatest(left, right)
-    uneven = (F.greatest(l50, r50) > 1.5 * F.greatest(depth, F.lit(1))) | (F.least(l50, r50) * 1.5 < depth)
-    return F.when(exact + depth < 10, "LowCover").when(exact < 4, "LowSplicing").when(exact * 1.33333333 < top, "MinorIsoform").when(uneven, "NonUniformIntronCover").otherwise("-")
+def ir_warning(depth: Column, exact: Column, left: Column, right: Column, span_left: Column, span_right: Column) -> Column:
+    """Why a ratio may not hold; spans: reads over the intron's left and right end, which should be as deep as it is."""
+    most, least = F.greatest(span_left, span_right), F.least(span_left, span_right)
+    uneven = ((most > depth + 2) & (most > depth * 1.5)) | ((least + 2 < depth) & (least * 1.5 < depth))
+    return F.when(exact + depth < 10, "LowCover").when(exact < 4, "LowSplicing").when(exact * 1.33333333 < F.greatest(left, right), "MinorIsoform").when(uneven, "NonUniformIntronCover").otherwise("-")
+
+
+#: Bases skipped at both ends of an intron, and bases behind them whose depth is reported.
+EDGE_SKIP, EDGE = 5, 50
+
+
+def measure_introns(frags: DataFrame, introns: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """A row per intron with what the report of an unstranded library holds: excluded_bases, coverage, depth (trimmed
+    mean), p25, p50, p75, span_left, span_right, first50, last50, splice_left, splice_right, splice_exact, ir_ratio and
+    warning.
+
+    introns: (id, seq, start, end), 1-based and closed; blocks: (id, seq, start, end), the parts of each intron that
+    are measured, by default all of it. frags: (seq, direction, blocks).
+    """
+    from . import histogram as H
+
+    star = F.lit("*").alias("strand")
+    if blocks is None:
+        blocks = introns.select("id", "seq", "start", "end")
+    runs = I.coverage_runs(frags.select("seq", F.explode("blocks").alias("b")).select("seq", star, "b.*"))
+    edges = introns.select("seq", F.explode(F.array(F.struct(F.concat("id", F.lit("|first")).alias("id"), (F.col("start") + EDGE_SKIP).alias("start"), (F.col("start") + EDGE_SKIP + EDGE - 1).alias("end")), F.struct(F.concat("id", F.lit("|last")).alias("id"), (F.col("end") - EDGE_SKIP - EDGE + 1).alias("start"), (F.col("end") - EDGE_SKIP).alias("end")))).alias("x")).select("x.id", "seq", "x.start", "x.end")
+    parts = blocks.select("id", "seq", "start", "end").unionByName(edges).withColumn("strand", F.lit("*"))
+    h = R.settled(_region_hist(runs, parts))  # a row per intron and depth
+    stats = H.hist_trimmed_mean(h, "id").join(H.hist_coverage(h, "id"), "id").join(H.hist_percentiles(h, "id"), "id").join(h.groupBy("id").agg(F.sum("n").alias("inclbases")), "id")
+    whole = stats.where(~F.col("id").rlike("\\|(first|last)$")).withColumnRenamed("trimmed_mean", "depth")
+    edge = lambda e: stats.where(F.col("id").endswith(f"|{e}")).select(F.expr(f"substring(id, 1, length(id) - {len(e) + 1})").alias("id"), F.col("trimmed_mean").alias(f"{e}50"))
+    j = R.settled(junction_counts(frags))  # a row per junction
+    sides = lambda c, n: j.groupBy("seq", c).agg(F.sum("total").alias(n))
+    points = introns.select("seq", (F.col("start") - 1).alias("pos")).unionByName(introns.select("seq", F.col("end").alias("pos")))
+    spans = span_counts(frags, points).select("seq", "pos", (F.col("neg") + F.col("plus")).alias("n"))
+    got = introns.join(whole, "id").join(edge("first"), "id").join(edge("last"), "id")
+    got = got.join(sides("start", "splice_left"), ["seq", "start"], "left").join(sides("end", "splice_right"), ["seq", "end"], "left")
+    got = got.join(j.select("seq", "start", "end", F.col("total").alias("splice_exact")), ["seq", "start", "end"], "left")
+    got = got.join(spans.select("seq", (F.col("pos") + 1).alias("start"), F.col("n").alias("span_left")), ["seq", "start"], "left").join(spans.select("seq", F.col("pos").alias("end"), F.col("n").alias("span_right")), ["seq", "end"], "left")
+    got = got.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("splice_left", "splice_right", "splice_exact", "span_left", "span_right")})
+    c = F.col
+    return got.select(
+        *introns.columns, (c("end") - c("start") + 1 - c("inclbases")).alias("excluded_bases"), "coverage", "depth", "p25", "p50", "p75", "span_left", "span_right", "first50", "last50", "splice_left", "splice_right", "splice_exact",
+        ir_ratio(c("depth"), c("coverage"), c("splice_left"), c("splice_right")).alias("ir_ratio"), ir_warning(c("depth"), c("splice_exact"), c("splice_left"), c("splice_right"), c("span_left"), c("span_right")).alias("warning"),
+    )
+
+
+def _region_hist(runs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, depth, n) over all parts of an id."""
+    met = I.overlap_join(parts, runs)
+    got = met.groupBy("id", F.col("b_depth").alias("depth")).agg(F.sum(F.least("end", "b_end") - F.greatest("start", "b_start") + 1).alias("n"))
+    width = parts.groupBy("id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("w")).join(got.groupBy("id").agg(F.sum("n").alias("h")), "id", "left")
+    rest = width.select("id", F.lit(0).cast("long").alias("depth"), (F.col("w") - F.coalesce("h", F.lit(0))).alias("n")).where("n > 0")
+    return got.unionByName(rest).groupBy("id", "depth").agg(F.sum("n").alias("n"))
+
+
+def burden(measured: DataFrame, kind: Column) -> DataFrame:
+    """One row: summed depths of clean introns, of those inside known exons, and of the others; kind is the last part of
+    an intron's name."""
+    depth = lambda test: F.coalesce(F.sum(F.when(test, F.col("depth"))), F.lit(0.0))
+    clean, known = kind.startswith("clean"), kind.contains("known-exon")
+    return measured.agg(depth(clean).alias("clean"), depth(~clean & known).alias("known_exon"), depth(~clean & ~known).alias("anti_sense"))
+
+
+def oriented(frags: DataFrame, library: int) -> DataFrame:
+    """Fragments of a stranded library with the strand they come from as direction: -1 turns them, 0 makes all '*'."""
+    turned = F.when(F.col("direction") == "-", "+").otherwise("-")
+    return frags.withColumn("direction", F.lit("*") if not library else turned if library < 0 else F.col("direction"))
+
+
+def alignment_report(aln: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(name, value): reads by what became of them; aln: records before the gate, pairs: ``pair_fragments`` of them."""
+    bit = lambda b: F.col("flag").bitwiseAND(b) != 0
+    length = F.aggregate(F.flatten("reads"), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1)
+    one = aln.agg(F.count("*").alias("records"), F.count_if(bit(0x4)).alias("unmapped"), F.count_if(~bit(0x4) & bit(0x900)).alias("secondary"))
+    kinds = ("single", "long", "short", "intersect", "inconsistent", "chimeric", "unpaired")
+    two = pairs.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.coalesce(F.sum(length), F.lit(0)).alias("nucleotides"))
+    long = lambda d: d.select(F.explode(F.create_map(*[x for c in d.columns for x in (F.lit(c), F.col(c))])).alias("name", "value"))
+    return long(one).unionByName(long(two))

@@ -32,13 +32,13 @@ W = f"WITH {V.AS}"
 
 # ---- junctions per sample --------------------------------------------------------------------------------
 
-SJ = f"""{V.FR}, sj AS (SELECT 'S' || CAST(s1 % 4 AS VARCHAR) AS sample, seq, e1 + 1 AS s, s2 - 1 AS e, strand, count(*) AS "count", seq || '_' || CAST((e1 // 100) % 7 AS VARCHAR) AS jg_up, seq || '_' || CAST((s2 // 100) % 7 AS VARCHAR) AS jg_down FROM fr WHERE s2 > e1 + 1 GROUP BY ALL)"""
+SJ = f"""{V.FR}, sj AS (SELECT 'S' || CAST(s1 % 4 AS VARCHAR) AS sample, seq, e1 + 1 AS s, s2 - 1 AS e, strand, count(*) AS "count", CAST((e1 // 100) % 7 AS VARCHAR) AS jg_up, CAST((s2 // 100) % 7 AS VARCHAR) AS jg_down FROM fr WHERE s2 > e1 + 1 GROUP BY ALL)"""
 SIDES = 'sd AS (SELECT *, sum("count") OVER (PARTITION BY sample, seq, strand, s) AS sl, sum("count") OVER (PARTITION BY sample, seq, strand, e) AS sr FROM sj)'
 
 
 def _sj(s, d) -> DataFrame:
     fr = V.fragments(s, d).where("s2 > e1 + 1")
-    isl = lambda c: F.concat("seq", F.lit("_"), (F.floor(F.col(c) / 100) % 7).cast("string"))
+    isl = lambda c: (F.floor(F.col(c) / 100) % 7).cast("string")
     return fr.groupBy(F.concat(F.lit("S"), (F.col("s1") % 4).cast("string")).alias("sample"), "seq", (F.col("e1") + 1).alias("start"), (F.col("s2") - 1).alias("end"), "strand", isl("e1").alias("jg_up"), isl("s2").alias("jg_down")).agg(F.count("*").alias("count"))
 
 
@@ -52,10 +52,10 @@ def splice_left_right(s, d):
     return C.splice_sides(_sj(s, d)).select("sample", "seq", "strand", "start", "end", "sl", "sr")
 
 
-OVER = """tu AS (SELECT sample, jg_up, sum("count") AS t FROM sd WHERE jg_up <> jg_down GROUP BY ALL), td AS (SELECT sample, jg_down, sum("count") AS t FROM sd WHERE jg_up <> jg_down GROUP BY ALL),
+OVER = """tu AS (SELECT sample, seq, strand, jg_up, sum("count") AS t FROM sd WHERE jg_up <> jg_down GROUP BY ALL), td AS (SELECT sample, seq, strand, jg_down, sum("count") AS t FROM sd WHERE jg_up <> jg_down GROUP BY ALL),
 oi AS (SELECT a.sample, a.seq, a.strand, a.s, a.e, sum(b."count") AS t FROM sd a JOIN sd b ON a.sample = b.sample AND a.seq = b.seq AND a.strand = b.strand AND a.s <= b.e AND a.e >= b.s WHERE a.jg_up = a.jg_down GROUP BY ALL),
 x AS (SELECT sd.*, CASE WHEN sd.jg_up <> sd.jg_down THEN coalesce(tu.t, 0) ELSE 0 END AS u, CASE WHEN sd.jg_up <> sd.jg_down THEN coalesce(td.t, 0) ELSE 0 END AS w, coalesce(oi.t, 0) AS i FROM sd
- LEFT JOIN tu ON sd.sample = tu.sample AND sd.jg_up = tu.jg_up LEFT JOIN td ON sd.sample = td.sample AND sd.jg_down = td.jg_down LEFT JOIN oi ON sd.sample = oi.sample AND sd.seq = oi.seq AND sd.strand = oi.strand AND sd.s = oi.s AND sd.e = oi.e),
+ LEFT JOIN tu ON sd.sample = tu.sample AND sd.seq = tu.seq AND sd.strand = tu.strand AND sd.jg_up = tu.jg_up LEFT JOIN td ON sd.sample = td.sample AND sd.seq = td.seq AND sd.strand = td.strand AND sd.jg_down = td.jg_down LEFT JOIN oi ON sd.sample = oi.sample AND sd.seq = oi.seq AND sd.strand = oi.strand AND sd.s = oi.s AND sd.e = oi.e),
 so AS (SELECT *, greatest(CASE WHEN strand = '-' THEN w ELSE u END, i, sl) AS so_l, greatest(CASE WHEN strand = '-' THEN u ELSE w END, i, sr) AS so_r FROM x)"""
 
 
@@ -83,19 +83,37 @@ def intron_stats(s, d):
     return _as(s, d).select("event_id", "sample", got["splice_over_max"].alias("splice_over_max"), F.round(got["ir_over_ratio"], 6).alias("ir_over_ratio"), got["total_depth"].alias("total_depth"))
 
 
-EV = """ev AS (SELECT p_partkey AS event_id, list_extract(['IR', 'MXE', 'SE', 'AFE', 'ALE', 'A5SS', 'A3SS', 'RI'], CAST(p_partkey % 8 + 1 AS INT)) AS event_type, p_partkey % 200 AS l1, (p_partkey * 7) % 200 AS l2, (p_partkey * 13) % 200 AS l3, (p_partkey * 29) % 200 AS l4 FROM part),
-ct AS (SELECT 'S' || CAST(l_suppkey % 6 AS VARCHAR) AS sample, l_partkey % 200 AS locus, count(*) AS n FROM lineitem GROUP BY ALL),
+EV = """ev AS (SELECT p_partkey AS event_id, list_extract(['IR', 'MXE', 'SE', 'AFE', 'ALE', 'A5SS', 'A3SS', 'RI'], CAST(p_partkey % 8 + 1 AS INT)) AS event_type, CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE '+' END AS strand,
+  p_partkey % 300 AS l1, (p_partkey * 7) % 300 AS l2, (p_partkey * 13) % 300 AS l3, (p_partkey * 29) % 300 AS l4 FROM part),
+ct AS (SELECT 'S' || CAST(l_suppkey % 6 AS VARCHAR) AS sample, l_partkey % 307 AS locus, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY ALL),
+it AS (SELECT 'S' || CAST(l_suppkey % 6 AS VARCHAR) AS sample, l_partkey % 311 AS locus, CASE WHEN l_partkey % 311 % 2 = 0 THEN '-' ELSE '+' END AS strand, sum(l_quantity) AS depth, count(*) AS lf, CAST(sum(l_linenumber) AS BIGINT) AS rg FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2, 3),
 sm AS (SELECT DISTINCT sample FROM ct),
-ec AS (SELECT event_id, event_type, sm.sample, coalesce(a.n, 0) AS n1a, coalesce(b.n, 0) AS n2a, coalesce(c.n, 0) AS n1b, coalesce(d.n, 0) AS n2b FROM ev, sm
- LEFT JOIN ct a ON a.sample = sm.sample AND a.locus = l1 LEFT JOIN ct b ON b.sample = sm.sample AND b.locus = l2 LEFT JOIN ct c ON c.sample = sm.sample AND c.locus = l3 LEFT JOIN ct d ON d.sample = sm.sample AND d.locus = l4 WHERE a.n > 0 OR b.n > 0 OR c.n > 0 OR d.n > 0)"""
+ec AS (SELECT event_id, event_type, sm.sample, CASE WHEN event_type = 'RI' THEN coalesce(it.depth, 0) ELSE coalesce(a.n, 0) END AS n1a,
+  CASE WHEN event_type = 'RI' THEN coalesce(CASE WHEN it.strand = '-' THEN rg ELSE lf END, 0) ELSE coalesce(b.n, 0) END AS n2a, coalesce(c.n, 0) AS n1b,
+  CASE WHEN event_type = 'RI' THEN coalesce(CASE WHEN it.strand = '-' THEN lf ELSE rg END, 0) ELSE coalesce(d.n, 0) END AS n2b FROM ev CROSS JOIN sm
+ LEFT JOIN ct a ON a.sample = sm.sample AND a.locus = l1 LEFT JOIN ct b ON b.sample = sm.sample AND b.locus = l2 LEFT JOIN ct c ON c.sample = sm.sample AND c.locus = l3 LEFT JOIN ct d ON d.sample = sm.sample AND d.locus = l4
+ LEFT JOIN it ON it.sample = sm.sample AND it.locus = l1)"""
 
 
-def _ec(s, d) -> DataFrame:
+def _sample(c: str) -> F.Column:
+    return F.concat(F.lit("S"), (F.col(c) % 6).cast("string"))
+
+
+def _ev(s, d) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.element_at(F.array(*[F.lit(t) for t in V.EVENT_TYPES]), (k % 8 + 1).cast("int"))
-    ev = V.load(s, d, "part").select(k.alias("event_id"), kind.alias("event_type"), *[(k * m % 200).alias(f"event{p}") for p, m in (("1a", 1), ("2a", 7), ("1b", 13), ("2b", 29))])
-    ct = V.load(s, d, "lineitem").groupBy(F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("sample"), (F.col("l_partkey") % 200).alias("locus")).agg(F.count("*").alias("count"))
-    return C.event_counts(ev, ct)
+    return V.load(s, d, "part").select(k.alias("event_id"), kind.alias("event_type"), F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), *[(k * m % 300).alias(f"event{p}") for p, m in (("1a", 1), ("2a", 7), ("1b", 13), ("2b", 29))])
+
+
+def _introns(s, d) -> DataFrame:
+    li = V.load(s, d, "lineitem").where("l_linenumber < 3")
+    locus = F.col("l_partkey") % 311
+    return li.groupBy(_sample("l_suppkey").alias("sample"), locus.alias("locus"), F.when(locus % 2 == 0, "-").otherwise("+").alias("strand")).agg(F.sum("l_quantity").alias("depth"), F.count("*").alias("left"), F.sum("l_linenumber").alias("right"))
+
+
+def _ec(s, d) -> DataFrame:
+    ct = V.load(s, d, "lineitem").where("l_linenumber > 2").groupBy(_sample("l_suppkey").alias("sample"), (F.col("l_partkey") % 307).alias("locus")).agg(F.count("*").alias("count"))
+    return C.event_counts(_ev(s, d), ct, _introns(s, d))
 
 
 @query("event_counts", f"WITH {EV} SELECT * FROM ec")
@@ -103,22 +121,56 @@ def event_counts(s, d):
     return _ec(s, d)
 
 
-@query("event_participation", f"""WITH {EV} SELECT event_id, sample, CASE WHEN event_type IN ('MXE', 'SE', 'ALE', 'A3SS', 'RI') THEN n1a + n1b END AS up, CASE WHEN event_type = 'MXE' THEN n2a + n2b WHEN event_type = 'SE' THEN n2a + n1b WHEN event_type IN ('AFE', 'A5SS', 'RI') THEN n1a + n1b END AS down FROM ec""")
+PARTIC = """pa AS (SELECT event_id, event_type, sample, CASE WHEN event_type IN ('MXE', 'SE', 'ALE', 'A3SS', 'RI') THEN n1a + n1b ELSE 0 END AS up, CASE WHEN event_type = 'MXE' THEN n2a + n2b WHEN event_type = 'SE' THEN n2a + n1b WHEN event_type IN ('AFE', 'A5SS', 'RI') THEN n1a + n1b ELSE 0 END AS down FROM ec)"""
+
+
+@query("event_participation", f"WITH {EV}, {PARTIC} SELECT event_id, sample, up, down FROM pa")
 def event_participation(s, d):
     up, down = C.participation(*[F.col(c) for c in ("event_type", "n1a", "n2a", "n1b", "n2b")])
     return _ec(s, d).select("event_id", "sample", up.alias("up"), down.alias("down"))
 
 
+_JG = "jg AS (SELECT event_id, event_type, strand, CASE WHEN event_type <> 'AFE' THEN CAST(event_id % 9 AS VARCHAR) END AS jg_up, CASE WHEN event_type <> 'ALE' THEN CAST((event_id * 5) % 9 AS VARCHAR) END AS jg_down FROM ev)"
+TOTALS = f"""{_JG}, fu AS (SELECT sample, jg_up, arg_min(so_l, (seq, s, e, strand)) AS l, arg_min(so_r, (seq, s, e, strand)) AS r FROM so GROUP BY 1, 2), fd AS (SELECT sample, jg_down, arg_min(so_l, (seq, s, e, strand)) AS l, arg_min(so_r, (seq, s, e, strand)) AS r FROM so GROUP BY 1, 2),
+tt AS (SELECT event_id, event_type, q.sample, CAST(coalesce(CASE WHEN jg.strand = '-' THEN fu.r ELSE fu.l END, 0) AS BIGINT) AS total_up, CAST(coalesce(CASE WHEN jg.strand = '-' THEN fd.l ELSE fd.r END, 0) AS BIGINT) AS total_down
+ FROM jg CROSS JOIN (SELECT DISTINCT sample FROM so) q LEFT JOIN fu ON fu.sample = q.sample AND fu.jg_up = jg.jg_up LEFT JOIN fd ON fd.sample = q.sample AND fd.jg_down = jg.jg_down)"""
+
+
+def _totals(s, d) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    ev = _ev(s, d).select("event_id", "strand", F.when(kind != "AFE", (k % 9).cast("string")).alias("jg_up"), F.when(kind != "ALE", (k * 5 % 9).cast("string")).alias("jg_down"))
+    return C.island_totals(ev, C.splice_over(_sj(s, d)))
+
+
+@query("island_totals", f"WITH {SJ}, {SIDES}, {OVER}, {EV}, {TOTALS} SELECT event_id, sample, total_up, total_down FROM tt")
+def island_totals(s, d):
+    return _totals(s, d)
+
+
+@query("event_coverage", f"""WITH {SJ}, {SIDES}, {OVER}, {EV}, {PARTIC}, {TOTALS}, cv AS (SELECT pa.event_id, pa.event_type, pa.sample, CASE WHEN total_up > 0 THEN up / total_up ELSE 0 END AS u, CASE WHEN total_down > 0 THEN down / total_down ELSE 0 END AS w, total_up, total_down FROM pa JOIN tt ON pa.event_id = tt.event_id AND pa.sample = tt.sample)
+SELECT event_id, sample, round(CASE WHEN event_type IN ('MXE', 'SE', 'RI') THEN least(u, w) WHEN event_type IN ('ALE', 'A3SS') THEN u WHEN event_type IN ('AFE', 'A5SS') THEN w END, 6) AS coverage,
+ CASE WHEN event_type IN ('MXE', 'SE') THEN CASE WHEN u < w THEN total_up ELSE total_down END WHEN event_type IN ('ALE', 'A3SS', 'RI') THEN total_up WHEN event_type IN ('AFE', 'A5SS') THEN total_down END AS min_depth FROM cv""")
+def event_coverage(s, d):
+    c = F.col
+    up, down = C.participation(*[c(x) for x in ("event_type", "n1a", "n2a", "n1b", "n2b")])
+    got = C.event_coverage(c("event_type"), up, down, c("total_up"), c("total_down"))
+    return _ec(s, d).join(_totals(s, d), ["event_id", "sample"]).select("event_id", "sample", F.round(got["coverage"], 6).alias("coverage"), got["min_depth"].alias("min_depth"))
+
+
 @query("event_assays", f"""WITH {EV} SELECT event_id, sample, CASE WHEN event_type IN ('MXE', 'SE') THEN (n1a + n2a) / 2.0 WHEN event_type IN ('IR', 'RI') THEN CAST(n2a AS DOUBLE) ELSE CAST(n1a AS DOUBLE) END AS included, CASE WHEN event_type = 'MXE' THEN (n1b + n2b) / 2.0 WHEN event_type = 'IR' THEN CAST(n2b AS DOUBLE) ELSE CAST(n1b AS DOUBLE) END AS excluded FROM ec""")
 def event_assays(s, d):
     c = F.col
     return _ec(s, d).select("event_id", "sample", C.included(c("event_type"), c("n1a"), c("n2a"), c("n2a")).alias("included"), C.excluded(c("event_type"), c("n1b"), c("n2b"), c("n2b")).alias("excluded"))
 
 
-@query("event_depth", f"{W} SELECT event_id, sample, CASE WHEN depth > 100 THEN depth ELSE greatest(up_inc, down_inc, up_exc, down_exc) END AS event_depth FROM asy")
+@query("event_depth", f"""WITH {SJ}, {SIDES}, {OVER}, {EV}, {TOTALS}, tm AS (SELECT sample, locus, CASE WHEN locus % 4 = 1 THEN 0 ELSE depth END AS total FROM it),
+pp AS (SELECT event_id, unnest([true, false, false, false, false]) AS whole, unnest([(event_id * 17) % 600, l1, l2, l3, l4]) AS locus FROM ev),
+mt AS (SELECT event_id, sample, max(CASE WHEN whole THEN total END) AS r, max(CASE WHEN NOT whole THEN total END) AS p FROM pp JOIN tm USING (locus) GROUP BY 1, 2)
+SELECT tt.event_id, tt.sample, coalesce(r, CASE WHEN coalesce(p, 0) > 0 THEN p ELSE greatest(total_up, total_down) END) AS event_depth FROM tt LEFT JOIN mt ON tt.event_id = mt.event_id AND tt.sample = mt.sample""")
 def event_depth(s, d):
-    # the region's own depth if it is measured (here: above 100), else the deepest component
-    return _as(s, d).select("event_id", "sample", F.when(F.col("depth") > 100, F.col("depth")).otherwise(F.greatest("up_inc", "down_inc", "up_exc", "down_exc")).alias("event_depth"))
+    ev = _ev(s, d).withColumn("region", F.col("event_id") * 17 % 600)
+    introns = _introns(s, d).select("sample", "locus", F.when(F.col("locus") % 4 == 1, 0.0).otherwise(F.col("depth")).alias("total_depth"))
+    return C.event_depths(ev, introns, _totals(s, d))
 
 
 @query("nmd_direction", "SELECT p_partkey AS event_id, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 WHEN p_size % 3 = 0 AND p_size % 2 <> 0 THEN -1 ELSE 0 END AS nmd_direction FROM part")
@@ -226,10 +278,17 @@ def filter_annotation(s, d):
     return out
 
 
-@query("filter_exclusive_mxe", "SELECT p_partkey AS event_id, p_size * 10 > p_size * 3 + 90 OR p_size * 3 + 50 > p_size * 10 + 40 AS passed FROM part")
-def filter_exclusive_mxe(s, d):
+_APART = "(p_size * 10 > p_size * 3 + 90 OR p_size * 3 + 50 > p_size * 10 + 40)"
+
+
+def _casettes(s, d) -> DataFrame:
     z = F.col("p_size")
-    return FL.exclusive_mxe(V.load(s, d, "part").select(F.col("p_partkey").alias("event_id"), (z * 10).alias("a_start"), (z * 10 + 40).alias("a_end"), (z * 3 + 50).alias("b_start"), (z * 3 + 90).alias("b_end")))
+    return V.load(s, d, "part").select(F.col("p_partkey").alias("event_id"), (z * 10).alias("a_start"), (z * 10 + 40).alias("a_end"), (z * 3 + 50).alias("b_start"), (z * 3 + 90).alias("b_end"))
+
+
+@query("filter_exclusive_mxe", f"SELECT p_partkey AS event_id, {_APART} AS passed FROM part")
+def filter_exclusive_mxe(s, d):
+    return FL.exclusive_mxe(_casettes(s, d))
 
 
 _PASS = lambda test, pc, types: f"(event_type NOT IN ({', '.join(repr(t) for t in types)}) OR avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END) * 100 >= {pc})"
@@ -237,9 +296,9 @@ _CONS1 = _consistent(20, 1)
 
 
 @query("filter_default_all", f"""{W}, {ANN}, k AS (SELECT event_id FROM asy GROUP BY event_id, event_type HAVING {_PASS('depth >= 20', 80, FL.TYPES)} AND {_PASS('min_depth < 5 OR coverage >= 0.9', 80, ('IR', 'RI'))} AND {_PASS('min_depth < 20 OR coverage >= 0.6', 80, ('MXE', 'SE', 'AFE', 'ALE', 'A3SS', 'A5SS'))} AND {_PASS(_CONS1, 80, ('MXE', 'SE', 'RI'))})
-SELECT k.event_id FROM k JOIN ann USING (event_id) WHERE CASE event_type WHEN 'AFE' THEN fst WHEN 'ALE' THEN lst ELSE true END""")
+SELECT k.event_id FROM k JOIN ann USING (event_id) JOIN part ON p_partkey = k.event_id WHERE CASE event_type WHEN 'AFE' THEN fst WHEN 'ALE' THEN lst ELSE true END AND (event_type <> 'MXE' OR {_APART})""")
 def filter_default_all(s, d):
-    return FL.apply_filters(_as(s, d), FL.default_filters(), _ann(s, d))
+    return FL.apply_filters(_as(s, d), FL.default_filters(), _ann(s, d), _casettes(s, d))
 
 
 # ---- shaping ---------------------------------------------------------------------------------------------

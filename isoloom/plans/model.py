@@ -53,8 +53,11 @@ class EventModel:
     def with_assay(self, name: str, value) -> "EventModel":
         return replace(self, assay=self.assay.withColumn(name, value))
 
-    def filtered(self, filters: Sequence[FL.EventFilter] | None = None) -> "EventModel":
-        return self.subset(events=FL.apply_filters(self.assay, FL.default_filters() if filters is None else filters, self.row_data))
+    def filtered(self, filters: Sequence[FL.EventFilter] | None = None, casettes: DataFrame | None = None) -> "EventModel":
+        """The events that pass all filters; without ``casettes`` the middle exons of MXE events come from row_data."""
+        if casettes is None and self.row_data is not None and "event2b" in self.row_data.columns:
+            casettes = FL.casette_exons(self.row_data.where("event_type = 'MXE'"))
+        return self.subset(events=FL.apply_filters(self.assay, FL.default_filters() if filters is None else filters, self.row_data, casettes))
 
 
 def prune_round(loci: DataFrame, psi: str = "mean_psi") -> DataFrame:

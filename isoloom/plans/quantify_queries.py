@@ -124,11 +124,50 @@ def ir_ratio(s, d):
     return _measured(s, d).select("id", F.round(Q.ir_ratio(c("depth"), c("coverage"), c("l"), c("r")), 6).alias("ir_ratio"))
 
 
-@query("ir_warnings", f"""{_W}, {DEPTH} SELECT id, CASE WHEN exact + depth < 10 THEN 'LowCover' WHEN exact < 4 THEN 'LowSplicing' WHEN exact * 1.33333333 < greatest(l, r) THEN 'MinorIsoform' ELSE '-' END AS warning FROM dp JOIN lr USING (id)""")
+SPANS = """pts AS (SELECT DISTINCT seq, s - 1 AS pos FROM jn UNION SELECT DISTINCT seq, e FROM jn),
+sp AS (SELECT pts.seq, pos, count(blk.seq) AS n FROM pts LEFT JOIN blk ON pts.seq = blk.seq AND be - bs + 1 > 9 AND pos >= bs + 4 AND pos <= be - 1 GROUP BY 1, 2),
+ms AS (SELECT dp.id, depth, coverage, exact, l, r, a.n AS sl, b.n AS sr FROM dp JOIN lr USING (id) JOIN sp a ON a.seq = lr.seq AND a.pos = lr.s - 1 JOIN sp b ON b.seq = lr.seq AND b.pos = lr.e)"""
+_WARN = """CASE WHEN exact + depth < 10 THEN 'LowCover' WHEN exact < 4 THEN 'LowSplicing' WHEN exact * 1.33333333 < greatest(l, r) THEN 'MinorIsoform'
+ WHEN (greatest(sl, sr) > depth + 2 AND greatest(sl, sr) > depth * 1.5) OR (least(sl, sr) + 2 < depth AND least(sl, sr) * 1.5 < depth) THEN 'NonUniformIntronCover' ELSE '-' END"""
+
+
+def _report(s, d) -> DataFrame:
+    """Each observed junction's span measured as an intron."""
+    fr = _frags(s, d)
+    j = Q.junction_counts(fr)
+    return Q.measure_introns(fr, j.select(F.concat(F.col("seq"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("id"), "seq", "start", "end"))
+
+
+@query("ir_warnings", f"{_W}, {DEPTH}, {SPANS} SELECT id, {_WARN} AS warning FROM ms")
 def ir_warnings(s, d):
-    c = F.col
-    got = Q.ir_warning(c("depth"), c("exact"), c("l"), c("r"), F.greatest(c("depth"), F.lit(1)), F.greatest(c("depth"), F.lit(1)))
-    return _measured(s, d).select("id", got.alias("warning"))
+    return _report(s, d).select("id", "warning")
+
+
+@query("ir_warnings_uneven", f"{_W}, {DEPTH}, {SPANS}, u AS (SELECT id, depth, 1000 AS exact, 1000 AS l, 1000 AS r, sl, sr FROM ms) SELECT id, {_WARN} AS warning FROM u")
+def ir_warnings_uneven(s, d):
+    """The same for introns that are spliced often, where only the unevenness of coverage decides."""
+    c, many = F.col, F.lit(1000)
+    return _report(s, d).select("id", Q.ir_warning(c("depth"), many, many, many, c("span_left"), c("span_right")).alias("warning"))
+
+
+_EDGE = lambda name, lo, hi: f"""{name}m AS (SELECT it.id, depth, sum(least({hi}, r.e) - greatest({lo}, r.s) + 1) AS n FROM it JOIN runs r ON it.seq = r.seq AND {lo} <= r.e AND {hi} >= r.s GROUP BY 1, 2),
+{name}h AS (SELECT id, depth, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM {name}m UNION ALL SELECT it.id, 0, 50 - coalesce((SELECT sum(n) FROM {name}m WHERE {name}m.id = it.id), 0) FROM it) WHERE n > 0 GROUP BY 1, 2),
+{name}c AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY depth) AS c FROM {name}h), {name} AS (SELECT id, sum(depth * greatest(0, least(c, 35) - greatest(c - n, 15))) / 20.0 AS v FROM {name}c GROUP BY 1)"""
+
+
+@query("intron_report", f"""{_W}, {DEPTH}, {SPANS}, {_EDGE('f50', 'it.s + 5', 'it.s + 54')}, {_EDGE('l50', 'it.e - 54', 'it.e - 5')}
+SELECT ms.id, round(depth, 6) AS depth, round(coverage, 6) AS coverage, sl AS span_left, sr AS span_right, round(f50.v, 6) AS first50, round(l50.v, 6) AS last50, CAST(l AS BIGINT) AS splice_left, CAST(r AS BIGINT) AS splice_right, exact AS splice_exact FROM ms JOIN f50 USING (id) JOIN l50 USING (id)""")
+def intron_report(s, d):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _report(s, d).select("id", r("depth"), r("coverage"), "span_left", "span_right", r("first50"), r("last50"), "splice_left", "splice_right", "splice_exact")
+
+
+@query("ir_burden", f"""{_W}, {DEPTH}, k AS (SELECT depth, CASE exact % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'anti-near+known-exon' ELSE 'anti-over' END AS kind FROM dp JOIN lr USING (id))
+SELECT round(sum(CASE WHEN kind = 'clean' THEN depth END), 4) AS clean, round(sum(CASE WHEN contains(kind, 'known-exon') THEN depth END), 4) AS known_exon, round(sum(CASE WHEN kind = 'anti-over' THEN depth END), 4) AS anti_sense FROM k""")
+def ir_burden(s, d):
+    n = F.col("exact") % 3
+    got = Q.burden(_measured(s, d), F.when(n == 0, "clean").when(n == 1, "anti-near+known-exon").otherwise("anti-over"))
+    return got.select(*[F.round(c, 4).alias(c) for c in got.columns])
 
 
 @query("qc_summary", f"""{_W} SELECT (SELECT count(*) FROM fr) AS fragments, (SELECT CAST(sum(e1 - s1 + 1 + e2 - s2 + 1) AS BIGINT) FROM fr) AS nucleotides, (SELECT count(*) FROM jn) AS junctions, (SELECT CAST(sum(total) AS BIGINT) FROM jn) AS junction_reads""")
