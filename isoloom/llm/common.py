@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def label_of(labels: DataFrame, column: str, cap: int) -> DataFrame:
-    """(doc_id, label): at most ``cap`` rows of one label each, chosen by a hash of the id.
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to clash with no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def label_of(labels: DataFrame, column: str, cap: int, only: int | None = None) -> DataFrame:
+    """(doc_id, label): at most ``cap`` rows of one label each, chosen by a hash of the id; of the label ``only``, if given.
 
     Held-out rows and null ids or labels never enter; an id labelled twice takes its smaller label.
     """
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     return (
-        labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
+        (one if only is None else one.where(F.col("label") == only))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap)
     )
 
@@ -53,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoloom-"))
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path
@@ -73,6 +88,29 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path on it."""
+    if folder.startswith("file:/") and not folder.startswith("file:///"):
+        folder = "file:///" + folder[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+
+
+def put(folder: str, name: str, data: bytes) -> str:
+    """Writes a file into a shared folder; its path. Names are fresh for every attempt, so a repeated task harms nothing."""
+    system, path = opened(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}", compression=None) as f:
+        f.write(data)
+    return f"{folder}/{name}"
+
+
+def got(path: str) -> bytes:
+    """Content of a file in a shared folder."""
+    system, where = opened(path)
+    with system.open_input_stream(where, compression=None) as f:
+        return f.read()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder once and read from there."""
     path = scratch(df.sparkSession, tag)
