@@ -1,18 +1,22 @@
 """Secret scans: fixed base patterns and probabilistic automata inferred from labelled credentials.
 
-The automata: all labelled credentials of a format form a prefix tree whose states hold counts of how often a
-class of characters follows; states whose outgoing and final shares agree within a Hoeffding bound at level
-``ALPHA`` are merged, shallow ones first, so that loops stand for repetition. What is left is a deterministic
-probabilistic automaton per format, and one for ordinary tokens. A candidate starts at any place of a run of
-token characters where a format may begin and ends at the run's end or before one of ``+/_.=-``; it is a secret
-if a format accepts it and beats the ordinary automaton by ``MARGIN`` nats a character. The longest one from a
-place is taken, of the likeliest format, and the scan goes on behind it, so a run may hold several secrets.
-
-The labelled credentials are synthetic and seeded (``labelled``), written from public format descriptions;
-ordinary tokens are built from syllables, paths, dates, identifiers and plain words.
+Labelled credentials are the values that the base patterns find in the corpus itself (at most ``PER_FORMAT`` different
+ones of each kind, chosen by a hash over all documents) and, for formats that the corpus may lack, seeded examples of
+publicly described ones (``published``). Ordinary tokens are those of at most ``ORDINARY_DOCS`` documents outside the
+base spans, with seeded paths, dates and identifiers beside them.
+
+The automata: all examples of a format form a prefix tree whose states hold counts of how often a class of characters
+follows; states whose outgoing and final shares agree within a Hoeffding bound at level ``ALPHA`` are merged, shallow
+ones first, so that loops stand for repetition. What is left is a deterministic probabilistic automaton per format, and
+one for ordinary tokens. A candidate starts at any place of a run of token characters where a format may begin and ends
+at the run's end or before one of ``+/_.=-``; it is a secret if a format accepts it, its length lies between half the
+shortest and twice the longest example, and it beats the ordinary automaton by ``MARGIN`` nats a character. The longest
+one from a place is taken, of the likeliest format, and the scan goes on behind it, so a run may hold several secrets.
+A span inside a base span adds nothing and is left out.
 
 Cases: a null or empty text has no spans and counts of 0; repeated rows are scanned alike, one result row each;
-texts of any length are scanned whole; only doc_id and text are read (``redact`` keeps the other columns).
+texts of any length are scanned whole; a corpus without credentials leaves the published formats, an empty table gives
+no rows; only doc_id and text are read (``redact`` keeps the other columns, whatever their names).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import hashlib
 import math
 import re
 import string
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 # The base patterns; the least lengths are part of the last two.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,18 +44,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "api")
 LEAST_VALUE = 6
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-LEAST_TOKEN, SEPARATORS = 16, "+/_.=-"
-#: Tokens longer than this are no credential of a known format; their likelihood is taken on the whole token all the same.
-ALPHA, MARGIN, SEED, PER_FORMAT = 0.05, 0.6, 20, 300
+#: Code points of the shortest candidate, as of the shortest value of the base patterns.
+LEAST_TOKEN, SEPARATORS = LEAST_VALUE, "+/_.=-"
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+ALPHA, MARGIN, SEED = 0.05, 0.6, 20
+#: Examples of a format, documents that give ordinary tokens, and such tokens, at most; fewer examples than ``FEW`` make
+#: no automaton.
+PER_FORMAT, ORDINARY_DOCS, ORDINARY_TOKENS, FEW = 300, 400, 2_400, 12
 BASE_KINDS = ("assign", "access", "hex")
 
 
 # ---- labelled credentials -------------------------------------------------------------------------------
 
 
-def labelled(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
-    """Examples by format; ``ordinary`` holds what is no credential."""
+def published(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
+    """Seeded examples by format; ``ordinary`` holds what is no credential."""
     r = np.random.default_rng(seed)
     pick = lambda letters, n: "".join(r.choice(list(letters), n))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
@@ -62,25 +70,69 @@ def labelled(seed: int = SEED, each: int = PER_FORMAT) -> dict[str, list[str]]:
         "google": lambda: "AIza" + pick(mixed + "-_", 35),
         "jwt": lambda: "eyJ" + pick(mixed, 33) + ".eyJ" + pick(mixed, 60) + "." + pick(mixed + "-_", 43),
     }
-    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "la", "que", "os", "ción", "ung", "sch", "keit", "lich"]
-    word = lambda k: "".join(r.choice(syllables, k)).encode("ascii", "ignore").decode()
+    letters = "etaoinshrdlucmfwypvbgk"
+    word = lambda lo, hi: pick(letters, int(r.integers(lo, hi)))
     plain = [
-        lambda: word(r.integers(5, 14)),
-        lambda: word(r.integers(5, 14)).capitalize() + ".",
-        lambda: word(r.integers(5, 14)).upper(),
-        lambda: "/".join(word(r.integers(1, 4)) for _ in range(r.integers(3, 6))),
-        lambda: "_".join(word(r.integers(1, 4)) for _ in range(r.integers(3, 6))),
-        lambda: "-".join(word(r.integers(1, 4)) for _ in range(r.integers(3, 6))),
-        lambda: pick(dig, r.integers(16, 20)),
-        lambda: ".".join(word(r.integers(1, 5)) for _ in range(r.integers(3, 5))),
-        lambda: pick("-=_./+", 1) * int(r.integers(16, 60)),
-        lambda: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}/{word(4)}.html",
+        lambda: word(8, 24),
+        lambda: word(8, 24).capitalize() + ".",
+        lambda: word(8, 24).upper(),
+        lambda: "/".join(word(2, 8) for _ in range(r.integers(3, 6))),
+        lambda: "_".join(word(2, 8) for _ in range(r.integers(3, 6))),
+        lambda: "-".join(word(2, 8) for _ in range(r.integers(3, 6))),
+        lambda: pick(dig, r.integers(6, 20)),
+        lambda: ".".join(word(2, 10) for _ in range(r.integers(3, 5))),
+        lambda: pick("-=_./+", 1) * int(r.integers(6, 60)),
+        lambda: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}/{word(4, 12)}.html",
+        lambda: ".".join(str(int(r.integers(1, 255))) for _ in range(4)),
+        lambda: f"{word(3, 9)}{r.integers(0, 99)}.{word(3, 9)}.com",
     ]
     out = {k: [str(f()) for _ in range(each)] for k, f in made.items()}
     out["ordinary"] = [plain[k % len(plain)]() for k in range(4 * each)]
     return out
 
 
+def values(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of the base patterns in a text: what an assignment names, whole access keys and hexadecimal runs."""
+    out = []
+    for s, k, e in base_spans(text):
+        out.append((BASE_KINDS[k], ASSIGN.match(text, s).group(2) if k == 0 else text[s:e]))
+    return out
+
+
+def ordinary_tokens(text: str) -> list[str]:
+    """Candidates of a text that touch no base span."""
+    spans = base_spans(text)
+    return [m.group() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+
+
+def labelled(docs: DataFrame) -> dict[str, list[str]]:
+    """Examples by format, from the corpus and as published. Whole texts stay on executors."""
+    hint = F.lower("text").rlike("passw|secret|token|api") | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = {v for t in pdf["text"] for v in values(t)}
+            yield pd.DataFrame(sorted(got), columns=["kind", "value"])
+
+    every = stored(rows.where(hint).select("text").mapInPandas(found, "kind string, value string").distinct(), "credentials")
+    out: dict[str, list[str]] = {}
+    for kind in BASE_KINDS:
+        got = every.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(PER_FORMAT).collect()
+        if len(got) >= FEW:
+            out[f"like_{kind}"] = sorted(r["value"] for r in got)
+    ids = rows.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDINARY_DOCS)
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"value": sorted({x for t in pdf["text"] if isinstance(t, str) for x in ordinary_tokens(t)})}, dtype=object)
+
+    tokens = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInPandas(plain, "value string").distinct().orderBy(F.xxhash64("value"), "value").limit(ORDINARY_TOKENS).collect()
+    made = published()
+    ordinary = made.pop("ordinary") + sorted(r["value"] for r in tokens)
+    return out | made | {"ordinary": ordinary}
+
+
 # ---- automata --------------------------------------------------------------------------------------------
 
 
@@ -96,6 +148,8 @@ class Automaton:
     moves: list[dict[str, tuple[int, float]]]
     ends: list[float]
     floor: float
+    shortest: int = 0
+    longest: int = 1 << 30
 
     def log_likelihood(self, token: str) -> tuple[float, bool]:
         """Sum of the log probabilities, and whether every move exists and the last state may end."""
@@ -186,6 +240,10 @@ def infer(samples: list[str], alpha: float = ALPHA) -> Automaton:
             go[r][k][0] = home
             fold(home, b)
     place = {q: i for i, q in enumerate(red)}
+    # the letters of a class that a format uses, all of the class where there is too little to tell
+    shown = {c for s in samples for c in s[fixed:]}
+    if sum(map(len, samples)) >= 1000:
+        kind = {c: k for c, k in kind.items() if c in shown}
     size = {c: sum(1 for x in kind.values() if x == c) for c in set(kind.values())}
     floor = math.log(1e-4)
     moves, ends = [], []
@@ -199,12 +257,27 @@ def infer(samples: list[str], alpha: float = ALPHA) -> Automaton:
                     out[ch] = (place[to], math.log(p))
         moves.append(out)
         ends.append(math.log(end[q] / total) if end[q] else floor)
-    return Automaton(moves, ends, floor)
+    lengths = [len(s) for s in samples]
+    return Automaton(moves, ends, floor, max(LEAST_TOKEN, min(lengths) // 2), 2 * max(lengths))
 
 
 @lru_cache(maxsize=2)
 def automata(seed: int = SEED) -> dict[str, Automaton]:
-    return {k: infer(v) for k, v in labelled(seed).items()}
+    """Those of the published formats alone."""
+    return {k: infer(v) for k, v in published(seed).items()}
+
+
+def fit(docs: DataFrame) -> dict[str, Automaton]:
+    """The automata of a corpus: a few hundred examples a format, so a few hundred states in all."""
+    return learn(labelled(docs))
+
+
+def learn(examples: dict[str, list[str]]) -> dict[str, Automaton]:
+    """An automaton for each format. The corpus's ordinary tokens may hold credentials without a keyword; those that a
+    format claims against the published ordinary tokens alone teach the ordinary automaton nothing."""
+    grammars = {k: infer(v) for k, v in examples.items() if k != "ordinary"}
+    first = Scanner(grammars | {"ordinary": automata()["ordinary"]})
+    return grammars | {"ordinary": infer([t for t in examples["ordinary"] if not first.grammar_spans(t)])}
 
 
 def best_format(token: str, grammars: dict[str, Automaton]) -> str | None:
@@ -235,7 +308,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def heads(grammars: dict[str, Automaton], n: int = 3) -> re.Pattern:
+def heads(grammars: dict[str, Automaton], n: int = LEAST_TOKEN) -> re.Pattern:
     """Finds every place where the first n characters may begin a format."""
     out = []
     for name, a in sorted(grammars.items()):
@@ -251,7 +324,7 @@ def heads(grammars: dict[str, Automaton], n: int = 3) -> re.Pattern:
 class Scanner:
     """Remembers tokens that are no secret; bounded."""
 
-    REMEMBERED = 100_000
+    REMEMBERED = 400_000
 
     def __init__(self, grammars: dict[str, Automaton] | None = None):
         self.grammars = grammars or automata()
@@ -274,7 +347,7 @@ class Scanner:
                 passed.append((name, k, at))
                 if a.ends[at] > a.floor and (k + 1 == len(token) or token[k + 1] in SEPARATORS):
                     found = True
-                    if k + 1 - start >= LEAST_TOKEN:
+                    if a.shortest <= k + 1 - start <= a.longest:
                         ends.append((k + 1, total + a.ends[at], name))
             if not found:
                 dead.update(passed)
@@ -313,7 +386,7 @@ class Scanner:
         text = text or ""
         base = base_spans(text)
         order = {k: i for i, k in enumerate([*BASE_KINDS, *self.formats])}
-        every = sorted([(s, k, e) for s, k, e in base] + [(s, order[k], e) for s, k, e in self.grammar_spans(text)])
+        every = sorted(base + [(s, order[k], e) for s, k, e in self.grammar_spans(text) if not any(x <= s and e <= y for x, _, y in base)])
         names = list(order)
         return [(names[k], s, e) for s, k, e in base], [(names[k], s, e) for s, k, e in every]
 
@@ -332,39 +405,44 @@ def mask(text: str, spans: list[tuple[str, int, int]], by: str = "<SECRET>") ->
     return "".join([*out, text[at:]])
 
 
-_SCANNER: list[Scanner] = []
+_SCANNERS: dict[str, Scanner] = {}
 
 
-def _scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+def _scanner(name: str, grammars) -> Scanner:
+    """One per worker and fit; older ones are let go."""
+    if name not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[name] = Scanner(grammars.value)
+    return _SCANNERS[name]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and found (kind, start, end) of each document."""
+def scan(docs: DataFrame, grammars: dict[str, Automaton]) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end) of each document."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(grammars), uuid.uuid4().hex  # some hundred states
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = _scanner()
+        scanner = _scanner(name, shared)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 base, every = scanner.spans(t if isinstance(t, str) else "")
-                n = [sum(1 for k, _, _ in base if k == name) for name in BASE_KINDS]
+                n = [sum(1 for k, _, _ in base if k == kind) for kind in BASE_KINDS]
                 rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, grammars: dict[str, Automaton]) -> DataFrame:
     """All columns of docs, each secret in text replaced, n_chars counted anew; a text without secrets stays."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(grammars), uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
-        scanner = _scanner()
+        scanner = _scanner(name, shared)
         return pd.Series([mask(t, found) if isinstance(t, str) and (found := scanner.spans(t)[1]) else t for t in texts], dtype=object)
 
     out = docs.withColumn("text", masked(F.col("text")))
@@ -372,4 +450,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
