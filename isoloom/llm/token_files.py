@@ -1,10 +1,9 @@
 """Token-id files: independent zstandard frames, a document index and a trailing seek table.
 
-A file holds data frames (whole documents' ids as little-endian unsigned 32-bit integers, at most ``FRAME_IDS``
-to a frame unless one document is longer), then a skippable frame with the documents' ids and lengths, then a
+A file holds one data frame per document (its ids as little-endian unsigned 32-bit integers), then a skippable frame with the documents' ids and lengths, then a
 skippable frame in the public seekable layout: per data frame the compressed size, the size and the low half
 of the XXH64 of its content, then the number of frames, a descriptor and a magic number. A reader fetches the
-tail, then only the frames that hold the documents it wants, and checks each frame before use.
+tail, then only the frames of the documents it wants, and checks each frame before use.
 
 Documents are range-partitioned by doc_id, so files follow each other in ascending order and each is written by
 one task from a sorted stream. Files carry a fresh name per attempt and count only if the task's row in the
@@ -34,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import opened, scratch, stored, table
 
 END_ID = 0
-FRAME_IDS = 1 << 18
+#: Ids of a frame at most, unless one document has more: 1 gives every document a frame of its own.
+FRAME_IDS = 1
+#: Bytes that a reader fetches at once of neighbouring frames that it wants.
+FETCH = 4 << 20
 LEVEL = 3
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Descriptor: bit 7 says that the table has checksums.
@@ -186,7 +187,7 @@ class Writer:
         self.in_frame = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        if self.size and self.size + len(ids) > 4 * self.frame_ids:
+        if self.in_frame and self.size + len(ids) > 4 * self.frame_ids:
             self._flush()
         if doc_id is None:
             self.nulls.append(len(self.docs))
@@ -220,7 +221,7 @@ class Reader:
     """Random access: the tail first, then only the frames that are asked for."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self.zstd = source, zstandard.ZstdDecompressor()
         end = source.size()
         n, how, magic = struct.unpack("<IBI", self._at(end - 9, 9))
         if magic != SEEK_MAGIC or how != DESCRIPTOR:
@@ -232,7 +233,7 @@ class Reader:
         self.frames = np.frombuffer(self._at(table_at + 8, 12 * n), "<u4").reshape(n, 3).astype(np.int64)
         self.offset = np.r_[0, np.cumsum(self.frames[:, 0])]
         packed, check = struct.unpack("<II", self._at(table_at - 8, 8))
-        index = zstandard.ZstdDecompressor().decompress(self._at(table_at - 8 - packed, packed))
+        index = self.zstd.decompress(self._at(table_at - 8 - packed, packed))
         if _checksum(index) != check:
             raise ValueError("the document index is damaged")
         docs, parts, nulls = struct.unpack_from("<III", index)
@@ -246,37 +247,42 @@ class Reader:
         self.source.seek(offset)
         return self.source.read(size)
 
-    def frame(self, k: int) -> bytes:
+    def frame(self, k: int, packed: bytes | None = None) -> bytes:
+        """Content of a frame, checked; packed: its bytes in the file, if they were fetched already."""
         size, raw_size, check = (int(x) for x in self.frames[k])
-        raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.offset[k]), size), max_output_size=max(raw_size, 1)) if raw_size else b""
+        if packed is None:
+            packed = self._at(int(self.offset[k]), size)
+        raw = self.zstd.decompress(packed, max_output_size=max(raw_size, 1)) if raw_size else b""
         if len(raw) != raw_size or _checksum(raw) != check:
             raise ValueError(f"frame {k} is damaged")
         return raw
 
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
-        """(doc_id, ids) in file order; with ``wanted``, only frames that hold one of these ids are read."""
+        """(doc_id, ids) in file order; with ``wanted``, only frames that hold one of these ids are fetched."""
         keep = None if wanted is None else np.isin(self.doc_ids, np.fromiter(wanted, np.int64))
-        for k in range(len(self.frames)):
-            lo, hi = int(self.first[k]), int(self.first[k + 1])
-            if keep is not None and not keep[lo:hi].any():
+        hit = np.ones(len(self.frames), bool) if keep is None else np.logical_or.reduceat(np.r_[keep, False], self.first[:-1]) & (self.per_frame > 0)
+        k = 0
+        while k < len(self.frames):
+            if not hit[k]:
+                k += 1
                 continue
-            ids, at = np.frombuffer(self.frame(k), "<u4"), 0
-            for d in range(lo, hi):
-                n = int(self.lengths[d])
-                if keep is None or keep[d]:
-                    yield (None if d in self.nulls else int(self.doc_ids[d])), ids[at : at + n]
-                at += n
+            end = k + 1  # neighbours are fetched together
+            while end < len(self.frames) and hit[end] and self.offset[end + 1] - self.offset[k] <= FETCH:
+                end += 1
+            block, base = memoryview(self._at(int(self.offset[k]), int(self.offset[end] - self.offset[k]))), int(self.offset[k])
+            for f in range(k, end):
+                ids, at = np.frombuffer(self.frame(f, block[int(self.offset[f]) - base : int(self.offset[f + 1]) - base]), "<u4"), 0
+                for d in range(int(self.first[f]), int(self.first[f + 1])):
+                    n = int(self.lengths[d])
+                    if keep is None or keep[d]:
+                        yield (None if d in self.nulls else int(self.doc_ids[d])), ids[at : at + n]
+                    at += n
+            k = end
 
 
 # ---- files of a whole table ------------------------------------------------------------------------------
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    if folder.startswith("file:/") and not folder.startswith("file:///"):
-        folder = "file:///" + folder[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
-
-
 def write(docs: DataFrame, folder: str, tokenizer_path: str) -> list[tuple[str, int]]:
     """Writes the table's documents in ascending doc_id order; the files' names and id counts, in that order.
 
@@ -292,7 +298,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str) -> list[tuple[str,
                 part = b.slice(at, 512)
                 for doc_id, got in zip(part.column(0).to_pylist(), encoder(tokenizer_path).encode([t or "" for t in part.column(1).to_pylist()])):
                     if writer is None:
-                        system, path = _open(folder)
+                        system, path = opened(folder)
                         system.create_dir(path, recursive=True)
                         sink = system.open_output_stream(f"{path}/{name}", compression=None)
                         writer, first = Writer(sink), doc_id
@@ -317,7 +323,7 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                system, path = _open(folder)
+                system, path = opened(folder)
                 out: list[tuple] = []
                 with system.open_input_file(f"{path}/{name}") as f:
                     for doc_id, ids in Reader(f).documents():
