@@ -26,7 +26,6 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import free_name, put, scratch, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in the lexicon, at most, out of those that occur twice or more; its file stays below 2 MB.
@@ -232,31 +231,26 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.seen: dict[str, bytes] = {}
+        self.taken: Counter[str] = Counter()
 
-    def _known(self, piece: str) -> bytes | None:
-        """ids of a piece all of whose words the lexicon holds."""
-        if self.lexicon is None:
-            return None
-        out = []
-        for w in self.vocabulary.words(piece):
-            got = self.lexicon.ids(w.encode())
-            if got is None:
-                return None
-            out.append(got)
-        return b"".join(out)
+    def _word(self, word: str) -> bytes:
+        """ids of one word: from the lexicon, else merged by rank."""
+        got = self.lexicon.ids(word.encode()) if self.lexicon is not None else None
+        if got is not None:
+            self.taken["lexicon"] += 1
+            return got
+        self.taken["merged"] += 1
+        return np.array([t.id for t in self.vocabulary.library.model.tokenize(word)], "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """ids of new pieces: from remembered parts, then from the lexicon, the rest merged by rank in one batch."""
+        """ids of new pieces, word by word; those of parts before closing punctuation come from remembered ones."""
         seen, parts = self.seen, {}
         for p in pieces:
             base = p.rstrip(".,;:!?")
             parts[p] = (base, p[len(base) :]) if base != p and base.isalpha() and base.lower().isalpha() else (p,)
         atoms = {q for v in parts.values() for q in v if q not in seen}
-        got = {q: self._known(q) for q in atoms}
-        rest = [q for q, ids in got.items() if ids is None]
-        got |= dict(zip(rest, self.vocabulary.merged(rest)))
-        room = len(seen) + len(got) <= REMEMBERED
-        if room:
+        got = {q: b"".join(map(self._word, self.vocabulary.words(q))) for q in atoms}
+        if len(seen) + len(got) <= REMEMBERED:
             seen.update(got)
         made = {p: b"".join([got[q] if q in got else seen[q] for q in v]) for p, v in parts.items() if len(v) > 1}
         if len(seen) + len(made) <= COMPOSED:
@@ -295,6 +289,7 @@ class Codec:
             for h in holes:
                 ids[h] = fresh[pieces[h]]
             out[k] = b"".join(ids)
+        self.taken["texts"] += len(whole)
         for k, ids in zip(whole, self.vocabulary.merged([texts[k] for k in whole])):
             out[k] = ids
         return out
@@ -364,11 +359,8 @@ def build_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT) -> str:
     voc = vocabulary(path)
     data = compile_lexicon({r["word"].encode(): voc.merge(r["word"]) for r in top})
     name = f"lexicon-{uuid.uuid4().hex}.mat"  # a name may be given to a cluster once
-    folder = tempfile.mkdtemp(prefix="isoloom-")  # the driver serves it from here
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(data)
     spark = docs.sparkSession
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    spark.sparkContext.addFile(put(scratch(spark, "lexicon"), name, data))
     return name
 
 
@@ -394,11 +386,6 @@ def encode_columns(docs: DataFrame, path: str, lexicon: str, digest: bool = Fals
     """docs with ids (array<int>) and decoded (string; with ``digest`` its SHA-256) behind its columns, under names
     that clash with none. Rows leave in small batches, so a worker never holds more than ``TOGETHER`` rows' ids."""
 
-    def free(name: str) -> str:
-        while name.lower() in {c.lower() for c in docs.columns}:
-            name += "_"
-        return name
-
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +400,7 @@ def encode_columns(docs: DataFrame, path: str, lexicon: str, digest: bool = Fals
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(out, pa.string())], names=[*b.schema.names, ids_name, text_name])
 
-    ids_name, text_name = free("ids"), free("decoded")
+    ids_name, text_name = free_name(docs, "ids"), free_name(docs, "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(text_name, T.StringType())])
     return docs.mapInArrow(run, schema)
 
