@@ -16,7 +16,7 @@ similarity 0.8 exactly shares a band with probability 0.99995, more similar ones
 by the bands is still verified if both documents are in one component.
 
 Cases: null and empty texts have no shingles and link with nothing; rows with a null doc_id link with nothing
-and stay; rows that repeat a doc_id are one document, and if their texts differ the set with the smallest hash
+and stay, a row each without a component; rows that repeat a doc_id are one document, and if their texts differ the set with the smallest hash
 speaks for it; ties (similarity 0.8 exactly) link; an empty table gives no rows; only doc_id and text are read (``keep_one`` passes the other columns through).
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import columns, free_name, stored, table
 from .graph import components, local_roots
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -371,23 +371,26 @@ def groups(docs: DataFrame) -> DataFrame:
     known = known.where("copies > 1 OR links IS NOT NULL").select("k1", "k2", "n", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "class_id").alias("root"))
     out = feats.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2", "n"], "left")
     out = out.select("doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group (its smallest doc_id); all columns stay."""
-    found = stored(groups(docs).select("doc_id", "kept"), "kept")
+    found = stored(groups(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
     gone = found.where("NOT kept").select("doc_id")
-    left = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    again = stored(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), "repeated")
+    left = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*columns(docs))
+    again = stored(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     n = again.count()
     if not n:
         return left
     # only rows whose id repeats are dealt by id
-    once = left.join(_small(again, n), "doc_id", "left_anti").select(*docs.columns)
-    twice = left.join(_small(again, n), "doc_id", "left_semi").select(*docs.columns)
-    first = twice.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__k = 1")
-    return once.unionByName(first.select(*docs.columns))
+    once = left.join(_small(again, n), "doc_id", "left_anti").select(*columns(docs))
+    twice = left.join(_small(again, n), "doc_id", "left_semi").select(*columns(docs))
+    rank = free_name(docs, "rank")
+    first = twice.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(rank) == 1)
+    return once.unionByName(first.select(*columns(docs)))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
