@@ -12,7 +12,8 @@ Python touches the rows. At most ``SAMPLE`` positives and ``SAMPLE`` unlabelled
 driver. Held-out rows give neither labels nor unlabelled text.
 
 Cases: null and empty texts have all statistics 0 and get a score like any text; repeated rows are scored
-alike; without positives every score is the prior 1.0 (nothing is known to be bad); only doc_id and text are
+alike; an id labelled good and bad is not trusted as good; without positives every score is the prior 1.0 (nothing
+is known to be bad); only doc_id and text are
 read, so other columns may have any name.
 """
 
@@ -127,7 +128,7 @@ def learn(pos: np.ndarray, unl: np.ndarray, names: list[str]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Positives: up to ``sample`` labelled good; unlabelled: about as many documents chosen by a hash of the id."""
-    good = label_of(labels.where(F.col("quality") == 1), "quality", sample)
+    good = label_of(labels, "quality", sample, only=1)
     free = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
     chosen = F.broadcast(good.select("doc_id", F.lit(1).alias("kind")).unionByName(free.select("doc_id", F.lit(0).alias("kind"))))
     names = list(got := features())
