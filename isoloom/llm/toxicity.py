@@ -304,8 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             got = np.array(model.evidence(pdf["text"]), float).reshape(-1, 2)
             yield pd.DataFrame({"best": got[:, 0], "all": got[:, 1], "y": pdf["label"].to_numpy()})
 
-    got = rows.mapInPandas(weighed, "best double, all double, y int").orderBy("best", "all", "y").collect()  # at most ``sample`` rows of numbers
-    return finished(model, [(r["best"], r["all"]) for r in got], [r["y"] for r in got])
+    got = sorted(tuple(r) for r in rows.mapInPandas(weighed, "best double, all double, y int").collect())  # at most ``sample`` rows of numbers
+    return finished(model, [x[:2] for x in got], [x[2] for x in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
