@@ -2,15 +2,15 @@
 
 Vectors that are equal within a label form a class; its smallest vec_id stands for it. Each label's classes are
 dealt into shards of about ``SHARD`` by a hash. A task per shard writes two files to the shared folder: the shard's
-graph, and its vectors with their class numbers. Then every pair of shards of a label is a task of its own that opens
-one's graph and the other's vectors by path and asks the graph for all of them, so no vector travels through a shuffle
+graph, and its vectors with their class numbers. Then every pair of shards of a label is cut into tasks that open
+one's graph and the other's vectors by path and ask the graph for ``QUERIES`` of them at a time, so no vector travels through a shuffle
 more than once and a lost executor costs the pairs that it held.
 
 A query's beam doubles while its worst hit still links. A graph is audited when it is built: for a seeded sample of its
 nodes the shard is scanned, and the first beam doubles until ``AUDIT`` of their links (each node itself among them) are
 found. Each pair of shards audits itself again, with sampled queries and with some of those that did find links; if
-fewer than ``AUDIT`` of the scanned links were found, the beam doubles for all its queries. A beam as large as a quarter
-of the shard gives way to a scan, so this ends. Hits are verified by cosine in double precision. Links are counted where
+fewer than ``AUDIT`` of the scanned links were found, the beam doubles for all its queries. A beam as large as a
+thirty-second of the shard gives way to a scan, which costs less, so this ends. Hits are verified by cosine in double precision. Links are counted where
 they are found and emitted as a spanning forest per task; components give the groups.
 
 No class, label or link list of the corpus reaches the driver; a label that holds a third of all rows is spread
@@ -40,8 +40,10 @@ from .hnsw import Graph
 LEAST, SHARD = 0.93, 16_384
 #: First beam, share of the links that audits ask for, and queries in a sample.
 BEAM, AUDIT, AUDITED = 24, 0.995, 64
-#: Tasks of the pairs of shards, at most.
-TASKS = 20_000
+#: A beam of a WIDE-th of a shard costs more than a scan of it.
+WIDE = 32
+#: Queries of a task, and tasks, at most.
+QUERIES, TASKS = 2_048, 20_000
 #: float32 similarities this far below the limit are still verified.
 SLACK = 1e-4
 
@@ -76,7 +78,7 @@ def linked(graph: Graph, unit: np.ndarray, queries: np.ndarray, least: float = L
     def hits(start: int) -> tuple[np.ndarray, np.ndarray]:
         rows, width, out = np.arange(len(queries)), min(start, n), []
         while len(rows):
-            if 4 * width >= n:
+            if WIDE * width >= n:
                 out.append(scan(rows))
                 break
             wide = np.zeros(len(rows), bool)
@@ -101,7 +103,7 @@ def linked(graph: Graph, unit: np.ndarray, queries: np.ndarray, least: float = L
     while True:
         near = np.isin(q, sample)
         found = len(truth & set(zip(q[near].tolist(), node[near].tolist())))
-        if found >= audit * len(truth) or 4 * beam >= n:
+        if found >= audit * len(truth) or WIDE * beam >= n:
             return q, node
         beam *= 2
         q, node = hits(beam)
@@ -113,7 +115,7 @@ def first_beam(graph: Graph, unit: np.ndarray) -> int:
     q32 = unit[sample].astype(np.float32)
     near = [set(np.flatnonzero(s)) for s in q32 @ graph.x.T >= LEAST]
     total = sum(map(len, near))
-    while 4 * beam < len(unit):
+    while WIDE * beam < len(unit):
         ids, sims = graph.search(q32, beam)
         if sum(len(t & set(i[s >= LEAST].tolist())) if len(t) <= beam else len(t) for t, i, s in zip(near, ids, sims)) >= AUDIT * total:
             break
@@ -139,19 +141,19 @@ def groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     # two classes may share a repeated vec_id; a number of their own tells them apart
     classes = classes.withColumn("dim", F.size("embedding")).withColumn("node", F.xxhash64("k1", "k2"))
     classes = stored(classes, "vector-classes")
-    plan = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    many = plan.agg(F.coalesce(F.sum("shards"), F.lit(0)), F.coalesce(F.sum(F.col("shards").cast("long") * F.col("shards")), F.lit(0))).first()
+    plan = classes.groupBy("label", "dim").agg(F.count("*").alias("m")).withColumn("shards", F.ceil(F.col("m") / shard).cast("int"))
+    many = plan.agg(F.coalesce(F.sum("shards"), F.lit(0)), F.coalesce(F.sum(F.col("shards") * F.ceil(F.col("m") / QUERIES)), F.lit(0))).first()
     name, folder = ["label", "dim", "shard"], scratch(spark, "shards")
-    dealt = classes.join(plan, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int"))
+    dealt = classes.join(plan.drop("m"), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
         unit = _unit(np.stack(pdf["embedding"].to_numpy()))
         graph, own, g = Graph(unit), uuid.uuid4().hex, pdf.iloc[0]
         vectors = _packed(unit=unit, node=pdf["node"].to_numpy(np.int64), copies=pdf["copies"].to_numpy(np.int64))
-        return pd.DataFrame({"label": [g["label"]], "dim": [g["dim"]], "shard": [g["shard"]], "beam": [first_beam(graph, unit)], "graph": [put(folder, f"{own}.graph", graph.dumps())], "vectors": [put(folder, f"{own}.vectors", vectors)]})
+        return pd.DataFrame({"label": [g["label"]], "dim": [g["dim"]], "shard": [g["shard"]], "size": [len(unit)], "beam": [first_beam(graph, unit)], "graph": [put(folder, f"{own}.graph", graph.dumps())], "vectors": [put(folder, f"{own}.vectors", vectors)]})
 
-    made = dealt.select(*name, "node", "copies", "embedding").repartition(max(1, min(int(many[0]), TASKS)), *name).groupBy(*name).applyInPandas(build, "label long, dim int, shard int, beam int, graph string, vectors string")
+    made = dealt.select(*name, "node", "copies", "embedding").repartition(max(1, min(int(many[0]), TASKS)), *name).groupBy(*name).applyInPandas(build, "label long, dim int, shard int, size int, beam int, graph string, vectors string")
     made = stored(made, "shard-files")  # a row per shard
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,8 +163,9 @@ def groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
                 if held is None or held[0] != g.graph:
                     held = g.graph, Graph.loads(got(g.graph)), dict(np.load(io.BytesIO(got(g.vectors))))
                 asked = np.load(io.BytesIO(got(g.asked)))
-                nodes, copies, own = held[2]["node"], held[2]["copies"], asked["node"]
-                q, node = linked(held[1], held[2]["unit"], asked["unit"], beam=g.beam)
+                part = slice(g.block * QUERIES, (g.block + 1) * QUERIES)
+                nodes, copies, own = held[2]["node"], held[2]["copies"], asked["node"][part]
+                q, node = linked(held[1], held[2]["unit"], asked["unit"][part], beam=g.beam)
                 other = own[q] != nodes[node]
                 q, node = q[other], node[other]
                 links = np.bincount(q, weights=copies[node], minlength=len(own)).astype(np.int64)
@@ -173,9 +176,10 @@ def groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
                 yield pd.DataFrame({"a": own[links > 0], "b": own[links > 0], "links": links[links > 0]})
                 yield pd.DataFrame({"a": every[tied], "b": every[root[tied]], "links": np.zeros(len(tied), np.int64)})
 
-    pairs = made.join(made.select("label", "dim", F.col("shard").alias("block"), F.col("vectors").alias("asked")), ["label", "dim"])  # paths only
-    tasks = pairs.repartition(max(1, min(int(many[1]), TASKS)), *name, "block").sortWithinPartitions("graph")
-    found = tasks.select("graph", "vectors", "beam", "asked").mapInPandas(ask, "a long, b long, links long")
+    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / QUERIES).cast("int") - 1))
+    pairs = made.drop("size").join(made.select("label", "dim", F.col("vectors").alias("asked"), blocks.alias("block")), ["label", "dim"])  # paths only
+    tasks = pairs.repartition(max(1, min(int(many[1]), TASKS)), *name, "asked", "block").sortWithinPartitions("graph", "asked")
+    found = tasks.select("graph", "vectors", "beam", "asked", "block").mapInPandas(ask, "a long, b long, links long")
     found = stored(found, "vector-links")
     comp = components(found.select("a", "b"), "vector-groups")
     first = comp.join(classes.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("component"))
