@@ -9,27 +9,23 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MAX_ROUNDS = 60
-#: Nodes with more edges than ``HUB`` may be centres that are broadcast, ``CENTRES`` of them at most.
-HUB, CENTRES = 256, 10_000
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds; each is written to the shared folder, so lineage stays short
-    and a lost executor costs one round. Smallest neighbours come from partial aggregates, and hubs are joined by broadcast, so a hub's
-    edges are never gathered in one task. Self loops and repeated edges are allowed.
+    and a lost executor costs one round. Smallest neighbours come from partial aggregates, and the join with them is left
+    to Spark's skew handling, so a hub's edges are not gathered in one task. Self loops and repeated edges are allowed.
     """
 
-    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+    def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        # the centres of big stars, at most CENTRES by their degree, are broadcast; no task gets all edges of one
-        least = max(HUB, 2 * n // CENTRES)
-        hubs = F.broadcast(low.where(F.col("k") > least).select("u", "m"))
-        met = both.join(hubs, "u").select("u", "v", "m").unionByName(both.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("k") <= least).select("u", "m"), "u").select("u", "v", "m"))
+        # written apart, so that the join's two sides are plain shuffles and Spark splits a hub's edges over tasks
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-low")
+        met = both.join(low, "u")
         if large:
             return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         out = met.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -45,8 +41,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     if not last[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MAX_ROUNDS):
-        big = star(now, True, last[0])
-        now = stored(star(big.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False, last[0]), tag)
+        big = stored(star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{tag}-star")
+        now = stored(star(big, False), tag)
         seen = mark(now)
         if seen == last:
             break
