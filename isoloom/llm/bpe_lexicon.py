@@ -29,6 +29,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from unicodedata import is_normalized
 
 import numpy as np
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, put, scratch, stored, table
+from .common import free_name, freeing, put, scratch, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in the lexicon, at most, out of those that occur twice or more; its file stays below 2 MB.
 FREQUENT = 30_000
 #: Pieces a worker remembers, and the size up to which it also remembers those made of others.
-REMEMBERED, COMPOSED = 400_000, 100_000
+REMEMBERED, COMPOSED = 300_000, 80_000
 #: Texts that are encoded together, and different pieces that are counted before their words are passed on.
 TOGETHER, PIECES = 256, 150_000
 CONTROL = "\x1c\x1d\x1e\x1f"
@@ -172,19 +173,25 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.suffix = model["end_of_word_suffix"] or ""
         self.id_of: dict[str, int] = model["vocab"]
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {p: k for k, p in enumerate(pairs)}
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         size = max(max(self.id_of.values()), *self.special.values()) + 1 if self.special else max(self.id_of.values()) + 1
         self.symbols: list[bytes] = [b""] * size
         for s, i in [*self.id_of.items(), *self.special.items()]:
             self.symbols[i] = s.encode()
 
+    @cached_property
+    def rank(self) -> dict[tuple[str, str], int]:
+        """Place of each merge; only compiling a lexicon asks for it."""
+        with open(self.path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        return {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(merges)}
+
     def words(self, piece: str) -> list[str]:
         """Words of a piece of text, spelled in byte symbols: by equal plain rules where these are certain to give
         what the library gives, else by the library's own normaliser and splitter."""
@@ -342,7 +349,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         if pieces:
             yield counted()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(freeing(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT) -> str:
@@ -402,7 +409,7 @@ def encode_columns(docs: DataFrame, path: str, lexicon: str, digest: bool = Fals
 
     ids_name, text_name = free_name(docs, "ids"), free_name(docs, "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(text_name, T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)
 
 
 def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +114,25 @@ def got(path: str) -> bytes:
         return f.read()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept for the next stage and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over a partition's batches, that gives memory back when the partition ends."""
+
+    def over(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return over
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder once and read from there."""
     path = scratch(df.sparkSession, tag)

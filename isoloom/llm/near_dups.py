@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, free_name, stored, table
+from .common import columns, free_name, freeing, stored, table
 from .graph import components, local_roots
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -233,7 +233,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n int, sig binary")
+    return rows.mapInArrow(freeing(run), "doc_id long, k1 long, k2 long, n int, sig binary")
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         got = [shingles(t.as_py()) for t in b.column("text")]
         rest = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([set_hash(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=[*rest, "k1", "set"])
@@ -350,7 +350,7 @@ def groups(docs: DataFrame) -> DataFrame:
     full = rows.groupBy("bk").agg(F.count("*").alias("m")).where("m > 1")
     members = rows.join(full, "bk").join(reps.select("class_id", "sig"), "class_id")
     tasks = blocked(members, "bk", "m", "class_id", BLOCK).select("bk", "i", "j", "band", "side", "class_id", "sig")
-    edges = tasks.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j").mapInArrow(_bucket_edges, "a long, b long")
+    edges = tasks.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j").mapInArrow(freeing(_bucket_edges), "a long, b long")
     near = components(edges, "candidates")
 
     size = near.groupBy("root").agg(F.count("*").alias("m"))
@@ -358,11 +358,11 @@ def groups(docs: DataFrame) -> DataFrame:
     near = stored(near, "near-classes")
     ids = _small(near.select(F.col("node").alias("doc_id"), "root", "m", "copies", F.col("k1").alias("own")), near.count())
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    sets = texts.withColumnRenamed("doc_id", "class_id").mapInArrow(_sets, "class_id long, root long, m long, copies long, own long, k1 long, set binary")
+    sets = texts.withColumnRenamed("doc_id", "class_id").mapInArrow(freeing(_sets), "class_id long, root long, m long, copies long, own long, k1 long, set binary")
     if repeated:
         sets = sets.where("own = k1").dropDuplicates(["class_id"])
     tasks = blocked(sets, "root", "m", "class_id", EXACT_BLOCK).select("root", "i", "j", "side", "class_id", "copies", "set")
-    found = stored(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified, "a long, b long, links long"), "links")
+    found = stored(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(freeing(_verified), "a long, b long, links long"), "links")
 
     comp = components(found.select("a", "b"), "groups")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import freeing, give_back, stored, table
 
 # The base patterns; the least lengths are part of the last two.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -115,7 +115,7 @@ def labelled(docs: DataFrame) -> dict[str, list[str]]:
             got = {v for t in pdf["text"] for v in values(t)}
             yield pd.DataFrame(sorted(got), columns=["kind", "value"])
 
-    every = stored(rows.where(hint).select("text").mapInPandas(found, "kind string, value string").distinct(), "credentials")
+    every = stored(rows.where(hint).select("text").mapInPandas(freeing(found), "kind string, value string").distinct(), "credentials")
     out: dict[str, list[str]] = {}
     for kind in BASE_KINDS:
         got = every.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(PER_FORMAT).collect()
@@ -433,7 +433,7 @@ def scan(docs: DataFrame, grammars: dict[str, Automaton]) -> DataFrame:
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInPandas(freeing(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, grammars: dict[str, Automaton]) -> DataFrame:
@@ -443,6 +443,7 @@ def redact(docs: DataFrame, grammars: dict[str, Automaton]) -> DataFrame:
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         scanner = _scanner(name, shared)
+        give_back()
         return pd.Series([mask(t, found) if isinstance(t, str) and (found := scanner.spans(t)[1]) else t for t in texts], dtype=object)
 
     out = docs.withColumn("text", masked(F.col("text")))
