@@ -10,9 +10,9 @@ one task from a sorted stream. Files carry a fresh name per attempt and count on
 manifest does; a lost executor leaves an unreferenced file and nothing else. They are written through
 pyarrow's file systems below the folder named in spark.checkpoint.dir, which every executor can reach.
 
-Encoding works on pieces between blanks and remembers them: a blank between two other characters always starts
-a new pre-token of this vocabulary, so pieces are encoded independently; texts with a blank between two white
-spaces, or with a special token's string, go to the tokenizers library whole.
+Encoding works on pieces and remembers them. A blank between two other characters, a mark behind a letter and a lone
+line feed between words always start a new pre-token of this vocabulary, so pieces are encoded independently; texts
+with a blank between two white spaces, or with a special token's string, go to the tokenizers library whole.
 
 Cases: a null text counts as empty and gives the end id alone; null doc_ids come first; repeated rows are
 written as often as they come; an empty table writes no file and gives no rows; only doc_id and text are read.
@@ -21,7 +21,6 @@ written as often as they come; an empty table writes no file and gives no rows;
 from __future__ import annotations
 
 import os
-import re
 import struct
 import sys
 import uuid
@@ -31,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +48,15 @@ SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB
 #: Descriptor: bit 7 says that the table has checksums.
 DESCRIPTOR = 0x80
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces a worker remembers, and the size up to which it also remembers those made of others.
-REMEMBERED, COMPOSED = 600_000, 250_000
+#: Pieces a worker remembers, and code points that are cut and looked up at once.
+REMEMBERED, BATCH = 600_000, 4_000_000
 
 
-#: White space beside a blank, and white space beyond ASCII; fixed values.
-NEAR = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+#: White space beyond ASCII, as the vocabulary's pattern sees it; fixed values.
 WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = rf"[\x09-\x0d\x1c-\x20{WIDE}]"
+#: Letters and marks between which a pre-token always ends, whatever stands around them; fixed values.
+LETTER, MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -69,9 +71,10 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """ids of texts as bytes (little-endian unsigned 32-bit), as the tokenizers library gives them."""
+    """ids of texts as bytes (little-endian unsigned 32-bit), as the tokenizers library gives them.
 
-    ODD = re.compile(r"\s \s")
+    Texts are cut into pieces by Arrow, a batch at a time; only a batch's different pieces become Python strings.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,74 +89,67 @@ class Encoder:
             return []
         return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, piece: str) -> list[str]:
-        """A piece as smaller ones that are encoded independently: around a lone line feed, and letters before
-        closing punctuation. Others stay whole."""
-        out = [piece]
-        if "\n" in piece:
-            out, at = [], 0
-            while (k := piece.find("\n", at + 1)) > 0 and k + 1 < len(piece):
-                if piece[k - 1].isspace() or piece[k + 1].isspace():
-                    return [piece]
-                out += [piece[at:k], "\n"]
-                at = k + 1
-            out.append(piece[at:])
-        small = []
-        for p in out:
-            base = p.rstrip(".,;:!?")
-            if len(base) != len(p) and base[1:].isalpha() and (base[0] == " " or base[0].isalpha()):
-                small += [base, p[len(base) :]]
-            else:
-                small.append(p)
-        return small
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """ids of new pieces, from their parts; remembered while there is room."""
-        seen = self.seen
-        new = {p: self._parts(p) for p in pieces}
-        atoms = list({q for parts in new.values() for q in parts if q not in seen})
-        fresh = dict(zip(atoms, self._library(atoms)))
-        if len(seen) + len(fresh) <= REMEMBERED:
-            seen.update(fresh)
-        made = {p: b"".join([fresh[q] if q in fresh else seen[q] for q in parts]) for p, parts in new.items() if len(parts) > 1}
-        if len(seen) + len(made) <= COMPOSED:
-            seen.update(made)
-        return fresh | made
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """ids of different pieces; new ones are remembered while there is room."""
+        values = list(map(self.seen.get, pieces))
+        new = [p for p, v in zip(pieces, values) if v is None]
+        if not new:
+            return values
+        fresh = self._library(new)
+        self.seen.update(zip(new[: max(0, REMEMBERED - len(self.seen))], fresh))
+        rest = iter(fresh)
+        return [next(rest) if v is None else v for v in values]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        rows = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(rows, f"{SPACE} {SPACE}")
+        for s in ("\0", *self.special):
+            whole = pc.or_(whole, pc.match_substring(rows, s))
+        # a lone line feed between words, then marks behind letters, then blanks
+        cut = pc.replace_substring_regex(rows.filter(pc.invert(whole)), f"({LETTER}|{MARK})\n({LETTER})", "\\1\0\n\0\\2")
+        cut = pc.replace_substring_regex(cut, f"({LETTER})({MARK})", "\\1\0\\2")
+        parts = pc.split_pattern(pc.replace_substring(cut, " ", "\0 "), "\0")
+        pieces = parts.flatten().dictionary_encode()
+        values = self._values(pieces.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        first, piece = np.cumsum(size) - size, pieces.indices.to_numpy()
+        n = size[piece]
+        end = np.cumsum(n)
+        ids = pool[np.repeat(first[piece] - (end - n), n) + np.arange(n.sum())].tobytes()
+        bound = (4 * np.r_[0, end][parts.offsets.to_numpy()]).tolist()
+        whole = whole.to_pylist()
+        library, looked = iter(self._library([t for t, w in zip(texts, whole) if w])), iter(zip(bound, bound[1:]))
+        return [next(library) if w else ids[slice(*next(looked))] for w in whole]
+
+    def _segments(self, text: str) -> list[str]:
+        """A long text cut before blanks between other characters, where encoding starts anew."""
+        out, at = [], 0
+        if not any(s in text for s in self.special):
+            k = text.find(" ", BATCH)
+            while k > 0:
+                if text[k - 1].isspace() or text[k + 1 : k + 2].strip() == "":
+                    k = text.find(" ", k + 1)
+                    continue
+                out.append(text[at:k])
+                at, k = k, text.find(" ", k + BATCH)
+        return [*out, text[at:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole: list[int] = []
-        got: list[tuple[int, list[str], list]] = []
-        missing: set[str] = set()
-        find = self.seen.get
-        for k, t in enumerate(texts):
-            # cheap tests first: a blank between two white spaces needs a blank beside another white space
-            near = any(s in t for s in NEAR) or (not t.isascii() and any(c in t for c in WIDE))
-            if "\0" in t or any(s in t for s in self.special) or (near and self.ODD.search(t)):
-                whole.append(k)
+        out: list[bytes] = []
+        batch, room = [], BATCH
+        for t in texts:
+            if len(t) > BATCH:
+                out += self._batch(batch) if batch else []
+                out.append(b"".join([self._batch([s])[0] for s in self._segments(t)]))
+                batch, room = [], BATCH
                 continue
-            pieces = t.replace(" ", "\0 ").split("\0")
-            ids = list(map(find, pieces))
-            if None in ids:
-                holes, at = [], -1
-                try:
-                    while True:
-                        at = ids.index(None, at + 1)
-                        holes.append(at)
-                except ValueError:
-                    pass
-                missing.update([pieces[h] for h in holes])
-                got.append((k, pieces, [ids, holes]))
-            else:
-                out[k] = b"".join(ids)
-        fresh = self._learn(missing) if missing else {}
-        for k, pieces, (ids, holes) in got:
-            for h in holes:
-                ids[h] = fresh[pieces[h]]
-            out[k] = b"".join(ids)
-        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+            if len(t) > room:
+                out += self._batch(batch)
+                batch, room = [], BATCH
+            batch.append(t)
+            room -= len(t)
+        return out + (self._batch(batch) if batch else [])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -294,8 +290,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str) -> list[tuple[str,
         end = struct.pack("<I", END_ID)
         first, ids, name = None, 0, f"part-{uuid.uuid4().hex}.tok"
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 for doc_id, got in zip(part.column(0).to_pylist(), encoder(tokenizer_path).encode([t or "" for t in part.column(1).to_pylist()])):
                     if writer is None:
                         system, path = opened(folder)
