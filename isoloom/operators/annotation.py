@@ -181,6 +181,84 @@ def intergenic(gene: DataFrame, lengths: DataFrame, margin: int = 10_000, gap: i
     return I.setdiff_intervals(lengths.select("seq", F.lit(1).cast("long").alias("start"), F.col("length").alias("end")), zone, ["seq"])
 
 
-def introns_name(intron: DataFrame, kind: str) -> DataFrame:
-    """Display name of a measurable intron: kind/gene/transcript intron/strand/blocks/start/end/bases."""
-    return intron.withColumn("name", F.concat_ws("/", F.lit(kind), "gene", "intron_id", "strand", F.col("num_blocks"), F.col("start") - 1, "end", "inclbases", "exclbases"))
+def intron_names(site: DataFrame, stranded: bool) -> DataFrame:
+    """Adds name, dir/gene/intron/strand/blocks/start/end/bases/excluded/flag of each measured intron.
+
+    Stranded names are flagged known-exon or clean; unstranded ones (nd) list all of known-exon, anti-over and anti-near
+    that hold. site: (gene, intron_id, strand, start, end, num_blocks, inclbases, exclbases, known) and, unstranded,
+    anti_over and anti_near.
+    """
+    marks = {"known": "known-exon"} if stranded else {"known": "known-exon", "anti_over": "anti-over", "anti_near": "anti-near"}
+    flags = F.concat_ws("+", *[F.when(F.col(c), text) for c, text in marks.items()])
+    flag = F.when(flags == "", "clean").otherwise(flags)
+    return site.withColumn("name", F.concat_ws("/", F.lit("dir" if stranded else "nd"), "gene", "intron_id", "strand", "num_blocks", F.col("start") - 1, "end", "inclbases", "exclbases", flag))
+
+
+def measured_parts(intron: DataFrame, exons: DataFrame, widen: int = 5, regions: DataFrame | None = None) -> DataFrame:
+    """(locus, seq, strand, start, end, blocks): the parts of each trimmed intron outside the excluded zones, in order;
+    introns without any part are absent."""
+    site = intron.select("locus", "seq", "strand", "start", "end").distinct().withColumns({"start": F.col("start") + widen, "end": F.col("end") - widen}).where("start <= end")
+    hit = I.overlap_join(site, excluded_zones(exons, widen, regions)).groupBy("locus").agg(F.sort_array(F.collect_list(F.struct(F.col("b_start").alias("s"), F.col("b_end").alias("e")))).alias("cut"))
+    got = site.join(hit, "locus", "left")
+    none = F.array().cast("array<bigint>")
+    starts = F.concat(F.array("start"), F.coalesce(F.transform("cut", lambda x: x["e"] + 1), none))
+    ends = F.concat(F.coalesce(F.transform("cut", lambda x: x["s"] - 1), none), F.array("end"))
+    blocks = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda b: b["start"] <= b["end"])
+    return got.withColumn("blocks", blocks).where(F.size("blocks") > 0).drop("cut")
+
+
+def cover_table(stranded: DataFrame, unstranded: DataFrame) -> DataFrame:
+    """The measured parts of both passes as one table (seq, start, end, name, strand, blocks), from the first part's
+    start to the last one's end; rows: (name, seq, strand, blocks)."""
+    both = stranded.select("name", "seq", "strand", "blocks").unionByName(unstranded.select("name", "seq", "strand", "blocks"))
+    return both.select("seq", F.get("blocks", 0)["start"].alias("start"), F.element_at("blocks", -1)["end"].alias("end"), "name", "strand", "blocks")
+
+
+def roi_table(transcripts: DataFrame, intergenic_parts: DataFrame, non_polya: DataFrame | None = None) -> DataFrame:
+    """(name, seq, start, end) of ribosomal transcripts, regions without polyadenylation and intergenic stretches; the
+    name's first part is the class. transcripts: (tx, gene, gene_name, biotype, seq, strand, start, end)."""
+    rrna = transcripts.where(F.col("biotype").contains("rRNA"))
+    out = rrna.select(F.concat_ws("/", F.lit("rRNA"), "seq", F.col("start") - 1, "end", "strand", "tx", "biotype", "gene", "gene_name").alias("name"), "seq", "start", "end")
+    if non_polya is not None:
+        out = out.unionByName(non_polya.select(F.lit("NonPolyA").alias("name"), "seq", "start", "end"))
+    return out.unionByName(intergenic_parts.select(F.concat(F.lit("Intergenic/"), "seq").alias("name"), "seq", "start", "end"))
+
+
+def chromosome_table(lengths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(seq, length, alias): the alias is empty where a chromosome has none. aliases: (name, alias), names once."""
+    if aliases is None:
+        return lengths.select("seq", "length", F.lit("").alias("alias"))
+    known = aliases.select(F.col("name").alias("seq"), "alias")
+    return lengths.join(known, "seq", "left").select("seq", "length", F.coalesce("alias", F.lit("")).alias("alias"))
+
+
+#: Annotation rows that are neither coding parts nor other features.
+STRUCTURAL = ("gene", "transcript", "exon")
+
+
+def coding_rows(gtf: DataFrame) -> DataFrame:
+    return gtf.where("type = 'CDS'")
+
+
+def other_rows(gtf: DataFrame) -> DataFrame:
+    """Codons, untranslated parts and whatever else is not a gene, transcript, exon or coding part."""
+    return gtf.where(~F.col("type").isin(*STRUCTURAL, "CDS"))
+
+
+def view_reference(gtf: DataFrame) -> DataFrame:
+    """(seq, start, end, strand, type, tx): what a track of transcripts draws: exons, coding parts and other features."""
+    cols = ["seq", "start", "end", "strand", "type", "tx"]
+    return gtf.where("type = 'exon'").select(*cols).unionByName(coding_rows(gtf).select(*cols)).unionByName(other_rows(gtf).select(*cols))
+
+
+def with_transcript_attributes(intron: DataFrame, transcripts: DataFrame, proteins: DataFrame, exons: DataFrame) -> DataFrame:
+    """introns with transcript_support_level (its first word, NA without one), protein_id and ccds_id of their transcript.
+
+    transcripts: (tx, transcript_support_level), proteins: (tx, protein_id), exons: (tx, ccds_id); the last value in
+    order counts where a transcript has several, and an empty one counts as none.
+    """
+    got = intron
+    for df, c in ((transcripts, "transcript_support_level"), (proteins, "protein_id"), (exons, "ccds_id")):
+        got = R.update_join(got, df.select("tx", c).where(F.length(c) > 0), ["tx"], [c], [c])
+    level = F.regexp_extract("transcript_support_level", r"^(\S+)", 1)
+    return got.withColumn("transcript_support_level", F.coalesce(F.when(level != "", level), F.lit("NA")))

@@ -196,3 +196,14 @@ def row_metadata(events: DataFrame, summary: DataFrame, loci: DataFrame) -> Data
     flag = lambda c: F.when(~none, F.coalesce(F.col(f"{c}1a") & F.col(f"{c}1b"), F.lit(False)))
     false = lambda c: F.coalesce(c, F.lit(False))
     return out.withColumns({"always_first": flag("f"), "always_last": flag("l"), "nmd_direction": nmd_direction(false(F.col("inc_nmd")), false(F.col("exc_nmd")))}).drop("f1a", "f1b", "l1a", "l1b")
+
+
+def check_experiment(experiment: DataFrame) -> DataFrame:
+    """The experiment's rows (sample, path and maybe a coverage file), if samples are named once and all have a path."""
+    if len(experiment.columns) < 2:
+        raise ValueError("an experiment has at least two columns: sample and path")
+    got = experiment.toDF("sample", "path", *experiment.columns[2:])
+    bad = got.groupBy("sample").agg(F.count("*").alias("n"), F.count("path").alias("paths")).where("n > 1 OR paths = 0 OR sample IS NULL")
+    if (first := bad.first()) is not None:
+        raise ValueError(f"the sample {first['sample']} is repeated or has no path")
+    return got

@@ -126,6 +126,42 @@ def chrom_counts(frags: DataFrame) -> DataFrame:
     return frags.groupBy("seq").agg(F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("plus"), F.count("*").alias("total"))
 
 
+#: Bits of a junction in the reference.
+ON_MINUS, ON_PLUS, DECAY_ONLY = 1, 2, 4
+
+
+def junction_report(j: DataFrame, ref: DataFrame) -> DataFrame:
+    """(seq, start, end, strand, total, pos, neg, annotated, nmd) of all junctions seen or annotated.
+
+    strand: '-' where the reference has the junction on the minus strand (also if on both), '+', or '.' if it is not
+    annotated; nmd: only decaying transcripts have it. ref: (seq, start, end, strand, nmd_only).
+    """
+    bit = F.when(F.col("strand") == "-", ON_MINUS).when(F.col("strand") == "+", ON_PLUS).otherwise(0)
+    known = ref.groupBy("seq", "start", "end").agg(F.bit_or(bit.bitwiseOR(F.when(F.col("nmd_only"), DECAY_ONLY).otherwise(0))).alias("flag"))
+    got = j.join(known, ["seq", "start", "end"], "full").withColumn("flag", F.coalesce("flag", F.lit(0)))
+    has = lambda b: F.col("flag").bitwiseAND(b) != 0
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    strand = F.when(has(ON_MINUS), "-").when(has(ON_PLUS), "+").otherwise(".")
+    return got.select("seq", "start", "end", strand.alias("strand"), zero("total"), zero("pos"), zero("neg"), (F.col("flag") != 0).alias("annotated"), has(DECAY_ONLY).alias("nmd"))
+
+
+def junction_qc(report: DataFrame) -> DataFrame:
+    """One row: reads over annotated junctions, over others, and over those of decaying transcripts alone."""
+    reads = lambda test: F.coalesce(F.sum(F.when(test, F.col("total"))), F.lit(0))
+    return report.agg(reads(F.col("annotated")).alias("annotated"), reads(~F.col("annotated")).alias("unannotated"), reads(F.col("nmd")).alias("nmd"))
+
+
+def read_classes(roi: DataFrame, chrom: DataFrame) -> DataFrame:
+    """One row of fragments by class: regions by the first part of their name, chromosomes by how theirs begins (M or MT,
+    ERCC). roi: ``roi_counts`` with one row per region; chrom: ``chrom_counts``."""
+    n = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0))
+    both = F.col("neg") + F.col("plus")
+    kinds = {"intergenic": "Intergenic", "rrna": "rRNA", "non_polya": "NonPolyA"}
+    a = roi.agg(*[n(F.col("name").startswith(t), both).alias(c) for c, t in kinds.items()])
+    b = chrom.agg(n(F.col("seq").startswith("M"), F.col("total")).alias("mitochondrial"), n(F.col("seq").startswith("ERCC"), F.col("total")).alias("ercc"))
+    return a.join(F.broadcast(b))  # one row each
+
+
 def directionality(j: DataFrame, ref: DataFrame, reads: int = 8, ratio: int = 4) -> DataFrame:
     """One row: junctions that agree with, oppose, or show no direction, scores, and the library's strand (-1, 0, 1).
 

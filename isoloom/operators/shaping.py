@@ -85,37 +85,62 @@ def two_sample_t(assay: DataFrame, value: str, nom: str, denom: str) -> DataFram
     return g.select("event_id", t.alias("t"), df.cast("long").alias("df"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, for arrays."""
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1 / away(1 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 300):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            c = 1 + num / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-13:
+            d, c = 1 / away(1 + num * d), away(1 + num / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-13):
             break
     return h
 
 
+#: Coefficients of Lanczos' series for the logarithm of the gamma function (g = 7, nine terms); fixed values.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x - 1
+    s = LANCZOS[0] + sum(c / (y + k) for k, c in enumerate(LANCZOS[1:], 1))
+    t = y + 7.5
+    return 0.5 * math.log(2 * math.pi) + (y + 0.5) * np.log(t) - t + np.log(s)
+
+
+def t_p_array(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p values of Student's t; NaN without a statistic or degrees of freedom."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    out = np.full(t.shape, np.nan)
+    ok = ~np.isnan(t) & (df > 0)
+    q = df[ok] / (df[ok] + t[ok] * t[ok])
+    p = np.where(q <= 0, 0.0, 1.0)
+    in_ = (q > 0) & (q < 1)
+    x, a, b = q[in_], df[ok][in_] / 2, 0.5
+    half = np.full(a.shape, b)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(half) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    value = np.empty_like(x)
+    value[low] = front[low] * _beta_fraction(a[low], half[low], x[low]) / a[low]
+    value[~low] = 1 - front[~low] * _beta_fraction(half[~low], a[~low], 1 - x[~low]) / b
+    p[in_] = value
+    out[ok] = p
+    return out
+
+
 def t_p_value(t: float, df: float) -> float:
     """Two-sided p of Student's t."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    return float(t_p_array(np.array([t]), np.array([df]))[0])
 
 
 def t_p_values(t: Column, df: Column) -> Column:
-    """Two-sided p values; null without a statistic."""
+    """Two-sided p values, a batch at a time; null without a statistic."""
 
     @F.pandas_udf("double")
     def values(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([np.nan if pd.isna(x) or pd.isna(n) or n <= 0 else t_p_value(float(x), float(n)) for x, n in zip(t, df)])
+        return pd.Series(t_p_array(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)))
 
-    return values(t, df)
+    return values(t.cast("double"), df.cast("double"))

@@ -7,14 +7,12 @@ all events' log variances.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shaping import bh_adjust, t_p_values
+from .shaping import bh_adjust, diagonal, t_p_values
 
 
 def _digamma(x: float) -> float:
@@ -86,32 +84,23 @@ def linear_contrast(assay: DataFrame, value: str, nom: str, denom: str, batch: s
 def beta_binomial_test(assay: DataFrame, nom: str, denom: str) -> DataFrame:
     """(event_id, lfc, deviance, p, p_adj): quasi-likelihood ratio of the included share between two conditions.
 
-    Counts get 1 added to the included and 2 to all; the deviance over the fitted dispersion is referred to t**2.
+    Counts get 1 added to the included and 2 to all; the deviance over the fitted dispersion is referred to t**2. Both
+    conditions and three samples are needed, else all but event_id are null. All sums are aggregates per event.
     """
-    a = assay.where(F.col("condition").isin(nom, denom)).select("event_id", "condition", (F.col("included") + 1).alias("y"), (F.col("included") + F.col("excluded") + 2).alias("m"))
-    rows = a.groupBy("event_id").agg(F.collect_list(F.struct("condition", "y", "m")).alias("r"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def fit(r) -> tuple[float | None, float | None, float | None]:
-            c, y, m = np.array([x["condition"] == nom for x in r]), np.array([x["y"] for x in r], float), np.array([x["m"] for x in r], float)
-            if c.all() or not c.any() or len(c) < 3:
-                return None, None, None
-
-            def deviance(p: np.ndarray) -> float:
-                part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / e), 0)
-                return float(2 * (part(y, m * p) + part(m - y, m * (1 - p))).sum())
-
-            one = np.full(len(y), y.sum() / m.sum())
-            p1, p0 = y[c].sum() / m[c].sum(), y[~c].sum() / m[~c].sum()
-            two = np.where(c, p1, p0)
-            spread = max(1.0, float(((y - m * two) ** 2 / (m * two * (1 - two))).sum() / (len(y) - 2)))
-            return math.log2(p1 / (1 - p1) / (p0 / (1 - p0))), max(0.0, deviance(one) - deviance(two)) / spread, float(len(y) - 2)
-
-        for pdf in batches:
-            got = [fit(r) for r in pdf["r"]]
-            yield pd.DataFrame({"event_id": pdf["event_id"], "lfc": [x[0] for x in got], "deviance": [x[1] for x in got], "df": [x[2] for x in got]})
-
-    got = rows.mapInPandas(run, "event_id long, lfc double, deviance double, df double")
+    c = F.col
+    a = assay.where(c("condition").isin(nom, denom)).select("event_id", "condition", (c("included") + 1).cast("double").alias("y"), (c("included") + c("excluded") + 2).cast("double").alias("m"))
+    side = lambda cond, x: F.sum(F.when(c("condition") == cond, x))
+    g = a.groupBy("event_id").agg(F.count("y").alias("n"), *[side(cond, x).alias(f"{k}{i}") for i, cond in ((1, nom), (0, denom)) for k, x in (("y", c("y")), ("m", c("m")), ("r", c("y") * c("y") / c("m")))])
+    for i in (0, 1):
+        g = g.withColumn(f"p{i}", F.try_divide(f"y{i}", f"m{i}"))
+    g = g.withColumn("p", F.try_divide(c("y0") + c("y1"), c("m0") + c("m1")))
+    # the parts of the deviances that do not depend on the shares cancel out
+    gain = sum(c(f"y{i}") * F.log(c(f"p{i}") / c("p")) + (c(f"m{i}") - c(f"y{i}")) * F.log((1 - c(f"p{i}")) / (1 - c("p"))) for i in (0, 1))
+    pearson = sum(F.try_divide(c(f"r{i}") - 2 * c(f"p{i}") * c(f"y{i}") + c(f"p{i}") * c(f"p{i}") * c(f"m{i}"), c(f"p{i}") * (1 - c(f"p{i}"))) for i in (0, 1))
+    spread = F.greatest(F.lit(1.0), F.try_divide(pearson, c("n") - 2))
+    fine = (c("n") >= 3) & c("y0").isNotNull() & c("y1").isNotNull()
+    lfc = F.log2(c("p1") / (1 - c("p1")) / (c("p0") / (1 - c("p0"))))
+    got = g.select("event_id", F.when(fine, lfc).alias("lfc"), F.when(fine, F.greatest(F.lit(0.0), 2 * gain) / spread).alias("deviance"), F.when(fine, (c("n") - 2).cast("double")).alias("df"))
     return bh_adjust(got.withColumn("p", t_p_values(F.sqrt("deviance"), F.col("df")))).select("event_id", "lfc", "deviance", "p", "p_adj")
 
 
@@ -150,3 +139,35 @@ def negative_binomial_test(assay: DataFrame, value: str, nom: str, denom: str) -
     z = F.try_divide(F.log((F.col("m1") + 0.5) / (F.col("m2") + 0.5)), F.sqrt(se2))
     g = g.withColumn("lfc", F.log2((F.col("m1") + 0.5) / (F.col("m2") + 0.5))).withColumn("p", t_p_values(z, F.lit(1e6)))
     return bh_adjust(g).select("event_id", "lfc", "dispersion", "p", "p_adj")
+
+
+def check_contrast(conditions: Mapping[str, Sequence], factor: str, nom: str, denom: str, batches: Sequence[str] = ()) -> None:
+    """Raises unless the factor and the batches are different columns of the samples' table and both levels occur.
+
+    conditions: column name -> its values, one per sample.
+    """
+    if not (factor and nom and denom):
+        raise ValueError("a factor and two of its levels are needed")
+    for c in (factor, *batches):
+        if c not in conditions:
+            raise ValueError(f"the samples have no column {c}")
+    for level in (nom, denom):
+        if level not in conditions[factor]:
+            raise ValueError(f"no sample has {factor} = {level}")
+    if len({factor, *batches}) != 1 + len(batches):
+        raise ValueError("the factor and the batches must be different columns")
+
+
+def testable(events: DataFrame, anti_over: bool = True, anti_near: bool = False) -> DataFrame:
+    """Events whose name tells of no known exon, no overlapping gene of the other strand and, if asked, none nearby."""
+    marks = ["known-exon", *(["anti-over"] if anti_over else []), *(["anti-near"] if anti_near else [])]
+    for m in marks:
+        events = events.where(~F.coalesce(F.col("event_name"), F.lit("")).contains(m))
+    return events
+
+
+def with_results(results: DataFrame, row_data: DataFrame, assay: DataFrame, nom: str, denom: str) -> DataFrame:
+    """Test results with their events' name, type, region and decay direction before them and both mean shares."""
+    about = row_data.select("event_id", "event_name", "event_type", "region", "nmd_direction")
+    mean = diagonal(assay, nom, denom).select("event_id", F.col("nom").alias(f"avg_psi_{nom}"), F.col("denom").alias(f"avg_psi_{denom}"))
+    return results.join(about, "event_id", "left").join(mean, "event_id", "left").select(*about.columns, *mean.columns[1:], *[c for c in results.columns if c != "event_id"])

@@ -85,3 +85,75 @@ def transcript_layout(spans: DataFrame) -> DataFrame:
         return pdf[["seq", "tx", "start", "end", "level"]]
 
     return with_islands(spans, ["seq"]).groupBy("seq", "island").applyInPandas(lay, "seq string, tx long, start long, end long, level int")
+
+
+def sample_tracks(runs: DataFrame, seq: str, start: int, end: int, by: str = "sample") -> DataFrame:
+    """(sample, bin, position, depth): mean depth of each sample in the bins of a region; bases without a run count as 0.
+
+    runs: (sample, seq, start, end, depth), disjoint per sample. Runs are cut at bin borders, so no row per base is made.
+    """
+    n = end - start + 1
+    width = bin_width(start, end)
+    last = max(1, math.ceil((n + 1) / width) - 1)
+    inside = runs.where((F.col("seq") == seq) & (F.col("start") <= end) & (F.col("end") >= start))
+    a, b = F.greatest("start", F.lit(start)) - start + 1, F.least("end", F.lit(end)) - start + 1
+    cut = inside.select(by, "depth", a.alias("a"), b.alias("b"), F.explode(F.sequence(bin_of(a, n, width).cast("long"), bin_of(b, n, width).cast("long"))).alias("bin"))
+    # the first base of bin k is the least i whose bin is k
+    first = lambda k: F.when(k > last, F.lit(n + 1)).otherwise(F.ceil((k - 1) * F.lit(n) / last) + 1).cast("long")
+    k = F.col("bin")
+    part = F.greatest(F.lit(0), F.least("b", first(k + 1) - 1) - F.greatest("a", first(k)) + 1)
+    got = cut.groupBy(by, "bin").agg(F.sum(part * F.col("depth")).alias("s"))
+    grid = inside.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long"))))
+    mean = F.coalesce("s", F.lit(0)) / (first(k + 1) - first(k))
+    return grid.join(got, [by, "bin"], "left").select(by, "bin", (F.lit(start) + (first(k) + first(k + 1) - 3) / 2).alias("position"), mean.alias("depth"))
+
+
+def event_highlight(events: DataFrame, intron: DataFrame, exons: DataFrame) -> DataFrame:
+    """(event_id, isoform, tx, type, start, end): what a drawing of each event marks.
+
+    Introns equal to one of an isoform's junctions, in any transcript; and, of the transcripts that have all junctions
+    of the isoform, the exons that start or end beside one. Isoform 1 is the included side (two junctions for MXE and
+    SE), 2 the other; retained introns have one isoform and no marked exons.
+    events: (event_id, event_type, event1a, event2a, event1b, event2b).
+    """
+    k = F.col("event_type")
+    part = lambda iso, e, test: F.when(test & F.col(e).isNotNull(), F.struct(F.lit(iso).alias("isoform"), F.col(e).alias("locus")))
+    plain = ~k.isin("IR", "RI")
+    parts = F.array_compact(F.array(part(1, "event1a", F.lit(True)), part(1, "event2a", k.isin("MXE", "SE")), part(2, "event1b", plain), part(2, "event2b", k == "MXE")))
+    want = events.select("event_id", plain.alias("plain"), F.explode(parts).alias("p")).select("event_id", "plain", "p.isoform", "p.locus")
+    of = ["event_id", "isoform"]
+    met = want.join(intron.select("locus", "tx", "start", "end"), "locus")
+    size = want.groupBy(*of).agg(F.count_distinct("locus").alias("parts"))
+    beside = F.array_union(F.collect_set(F.col("start") - 1), F.collect_set(F.col("end") + 1))
+    whole = met.where("plain").groupBy(*of, "tx").agg(F.count_distinct("locus").alias("has"), beside.alias("beside")).join(size, of).where("has = parts")
+    marked = whole.join(exons.select("tx", "start", "end"), "tx").where(F.array_contains("beside", F.col("start")) | F.array_contains("beside", F.col("end")))
+    cols = [*of, "tx", "type", "start", "end"]
+    return met.withColumn("type", F.lit("intron")).select(*cols).unionByName(marked.withColumn("type", F.lit("exon")).select(*cols)).distinct()
+
+
+#: Fixed value: tracks that one view holds.
+MOST_TRACKS = 4
+
+
+def check_view(genes: dict[str, int], tracks: list[str], samples: list[str], gene: str | None = None, region: tuple[str, int, int] | None = None, lengths: dict[str, int] | None = None) -> None:
+    """Raises unless a view names one gene or one region inside a chromosome, and one to four tracks that exist.
+
+    genes: how many genes have a name; samples: the tracks that there are.
+    """
+    if not 1 <= len(tracks) <= MOST_TRACKS:
+        raise ValueError(f"a view has 1 to {MOST_TRACKS} tracks")
+    if unknown := [t for t in tracks if t not in samples]:
+        raise ValueError(f"no such tracks: {', '.join(unknown)}")
+    if (gene is None) == (region is None):
+        raise ValueError("a view is of one gene or of one region")
+    if gene is not None:
+        if gene not in genes:
+            raise ValueError(f"no gene is named {gene}")
+        if genes[gene] > 1:
+            raise ValueError(f"{genes[gene]} genes are named {gene}; give the gene's id")
+    if region is not None:
+        seq, start, end = region
+        if lengths is not None and seq not in lengths:
+            raise ValueError(f"no chromosome is named {seq}")
+        if not 1 <= start <= end or (lengths is not None and end > lengths[seq]):
+            raise ValueError("the region does not lie inside its chromosome")

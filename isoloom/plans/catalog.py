@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("kernel_queries", "annotation_queries", "quantify_queries", "assay_queries", "extra_queries", "pipeline_queries")
+PARTS = ("kernel_queries", "annotation_queries", "quantify_queries", "assay_queries", "extra_queries", "pipeline_queries", "reference_queries")
 
 
 def queries() -> dict:

@@ -17,6 +17,8 @@ from ..operators import relational as R
 
 #: Loci of an island that one task settles, and groups of islands that go to tasks.
 ISLAND, TASKS = 200_000, 512
+#: The assays that a model holds.
+ASSAYS = ("included", "excluded", "depth", "coverage", "min_depth", "up_inc", "down_inc", "up_exc", "down_exc")
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,27 @@ class EventModel:
     def with_assay(self, name: str, value) -> "EventModel":
         return replace(self, assay=self.assay.withColumn(name, value))
 
+    def checked(self) -> "EventModel":
+        """self, if its tables fit together; raises else. Needed are the assays, one assay row per event and sample, and
+        events and samples that the tables beside them have."""
+        if lacking := [c for c in ASSAYS if c not in self.assay.columns]:
+            raise ValueError(f"the model lacks the assays {', '.join(lacking)}")
+        if not self.assay.groupBy("event_id", "sample").count().where("count > 1").isEmpty():
+            raise ValueError("an event has two rows for one sample")
+        for df, key in ((self.row_data, "event_id"), (self.col_data, "sample")):
+            if df is not None and not self.assay.join(df.select(key), key, "left_anti").isEmpty():
+                raise ValueError(f"the assays hold a {key} that its table lacks")
+        return self
+
+    def cleaned(self) -> "EventModel":
+        """Samples' columns as tests need them: flags as text, columns without any value gone (never sample)."""
+        c = self.col_data
+        if c is None:
+            return self
+        has = c.agg(*[F.count(x).alias(x) for x in c.columns]).first()
+        cols = [F.when(F.col(x), "TRUE").when(~F.col(x), "FALSE").alias(x) if t == "boolean" else F.col(x) for x, t in c.dtypes if x == "sample" or has[x]]
+        return replace(self, col_data=c.select(*cols))
+
     def filtered(self, filters: Sequence[FL.EventFilter] | None = None, casettes: DataFrame | None = None) -> "EventModel":
         """The events that pass all filters; without ``casettes`` the middle exons of MXE events come from row_data."""
         if casettes is None and self.row_data is not None and "event2b" in self.row_data.columns:

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Fixed value: the end-of-file block.
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-SCHEMA = "read_name string, flag int, seq string, ref_id int, pos long, mapq int, cigar string, next_ref_id int, next_pos long, tlen int, bases string"
+SCHEMA = "read_name string, flag int, seq string, ref_id int, pos long, mapq int, cigar string, next_ref_id int, next_pos long, tlen int, bases string, bin int, qual string, tags map<string,string>"
 
 
 def _open(path: str):
@@ -82,13 +82,43 @@ def header(f) -> tuple[list[tuple[str, int]], int]:
     return out, at
 
 
+#: Bytes and struct codes of the numeric tag types.
+NUMBERS = {"c": (1, "b"), "C": (1, "B"), "s": (2, "h"), "S": (2, "H"), "i": (4, "i"), "I": (4, "I"), "f": (4, "f")}
+
+
+def read_tags(b: bytes, at: int) -> dict[str, str]:
+    """Tags of a record as text, each with its type in front ("i:5", "Z:text", "Bs:1,2"); the first of a name counts."""
+    out: dict[str, str] = {}
+    while at + 3 <= len(b):
+        name, kind, at = b[at : at + 2].decode("ascii"), chr(b[at + 2]), at + 3
+        if kind == "A":
+            value, at = chr(b[at]), at + 1
+        elif kind in NUMBERS:
+            n, code = NUMBERS[kind]
+            value, at = str(struct.unpack_from(f"<{code}", b, at)[0]), at + n
+        elif kind in "ZH":
+            end = b.index(0, at)
+            value, at = b[at:end].decode(), end + 1
+        elif kind == "B":
+            sub, count, at = chr(b[at]), struct.unpack_from("<I", b, at + 1)[0], at + 5
+            n, code = NUMBERS[sub]
+            value, kind, at = ",".join(map(str, struct.unpack_from(f"<{count}{code}", b, at))), "B" + sub, at + n * count
+        else:
+            raise ValueError(f"the tag {name} has an unknown type {kind!r}")
+        out.setdefault(name, f"{kind}:{value}")
+    return out
+
+
 def record(b: bytes, names: list[str]) -> tuple:
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, nref, npos, tlen = struct.unpack_from("<iiBBHHHiiii", b, 0)
+    ref, pos, n_name, mapq, bin_, n_cigar, flag, n_seq, nref, npos, tlen = struct.unpack_from("<iiBBHHHiiii", b, 0)
     at = 32 + n_name
     cigar = "".join(f"{c >> 4}{OPS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", b, at))
     at += 4 * n_cigar
     seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in b[at : at + (n_seq + 1) // 2])[:n_seq]
-    return (b[32 : 31 + n_name].decode(), flag, names[ref] if ref >= 0 else None, ref, pos + 1, mapq, cigar, nref, npos + 1, tlen, seq)
+    at += (n_seq + 1) // 2
+    raw = b[at : at + n_seq]
+    qual = "*" if not raw or raw[0] == 255 else bytes(min(q, 93) + 33 for q in raw).decode("ascii")
+    return (b[32 : 31 + n_name].decode(), flag, names[ref] if ref >= 0 else None, ref, pos + 1, mapq, cigar, nref, npos + 1, tlen, seq, bin_, qual, read_tags(b, at + n_seq))
 
 
 class Range(InputPartition):
@@ -142,7 +172,7 @@ class BamReader(DataSourceReader):
             names = [n for n, _ in header(f)[0]]
             data, skip = b"", part.skip
             for _, more in blocks(f, part.start, part.end):
-                data += more[skip:]
+                data = data + more[skip:] if data else more[skip:]  # what is left over is shorter than a record
                 skip, at = 0, 0
                 while at + 4 <= len(data):
                     n = struct.unpack_from("<I", data, at)[0]

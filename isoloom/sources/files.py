@@ -96,6 +96,62 @@ def to_bedgraph(runs: DataFrame) -> DataFrame:
     return runs.select(F.concat_ws("\t", "seq", F.col("start") - 1, "end", "depth").alias("value"))
 
 
+#: Fixed value: the colour of an exported part.
+COLOUR = "255,0,0"
+
+
+def to_bed12(parts: DataFrame) -> DataFrame:
+    """Lines of a 12-column BED table; parts: (seq, start, end, name, strand, blocks), 1-based and closed."""
+    size = F.array_join(F.transform("blocks", lambda b: (b["end"] - b["start"] + 1).cast("string")), ",")
+    at = F.array_join(F.transform("blocks", lambda b: (b["start"] - F.col("start")).cast("string")), ",")
+    return parts.select(F.concat_ws("\t", "seq", F.col("start") - 1, "end", "name", F.lit(0), "strand", F.col("start") - 1, "end", F.lit(COLOUR), F.size("blocks"), size, at).alias("value"))
+
+
+def from_bed12(lines: DataFrame) -> DataFrame:
+    """(seq, start, end, name, strand, blocks) of BED12 lines (value); a row whose blocks do not fit its ends raises."""
+    p = lines.where(F.length(F.trim("value")) > 0).select(F.split("value", "\t").alias("p"))
+    number = lambda k: F.transform(F.filter(F.split(F.get("p", k), ","), lambda x: x != ""), lambda x: x.cast("long"))
+    start, end = F.get("p", 1).cast("long") + 1, F.get("p", 2).cast("long")
+    blocks = F.zip_with(number(11), number(10), lambda at, n: F.struct((start + at).alias("start"), (start + at + n - 1).alias("end")))
+    got = p.select(F.get("p", 0).alias("seq"), start.alias("start"), end.alias("end"), F.get("p", 3).alias("name"), F.get("p", 5).alias("strand"), blocks.alias("blocks"), F.get("p", 9).cast("int").alias("n"), F.array_join("p", " ").alias("line"))
+    fits = (F.size("blocks") == F.col("n")) & (F.get("blocks", 0)["start"] == F.col("start")) & (F.element_at("blocks", -1)["end"] == F.col("end"))
+    fine = F.when(F.coalesce(fits, F.lit(False)), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("not a BED12 row: "), "line")))
+    return got.select(fine.alias("seq"), "start", "end", "name", "strand", "blocks")
+
+
+#: Sections of a reference file, in written order; the last may be absent.
+SECTIONS = ("ref-cover.bed", "ref-read-continues.ref", "ref-ROI.bed", "ref-sj.ref", "ref-chrs.ref")
+
+
+def write_reference(tables: dict[str, DataFrame], path: str) -> None:
+    """One folder per section, each with text lines (value) split over files, and a list of them: what a single file with
+    section marks holds, without one writer for all of it. All sections but the chromosomes' aliases are needed."""
+    if lacking := [s for s in SECTIONS[:-1] if s not in tables]:
+        raise ValueError(f"the reference lacks {', '.join(lacking)}")
+    save_model({s: tables[s].select("value") for s in SECTIONS if s in tables}, path, {"kind": "reference"})
+
+
+def read_reference(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Lines (value) by section, of a folder written by ``write_reference``; raises if a needed one is missing."""
+    got = load_model(spark, path)
+    if lacking := [s for s in SECTIONS[:-1] if s not in got]:
+        raise ValueError(f"the reference lacks {', '.join(lacking)}")
+    return got
+
+
+def read_reference_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Lines (value) by section of one file with marks: '# name' begins a section, '# EOF' ends the file. Sections may
+    come in any order; a file without its end or a needed section raises. A line's section is the last mark before it in
+    the file, whose lines are read as one row a section."""
+    parts = spark.read.text(path, lineSep="\n# ").select(F.regexp_replace("value", r"^# ", "").alias("b"))
+    split = parts.select(F.trim(F.regexp_extract("b", r"^([^\r\n]*)", 1)).alias("section"), F.regexp_replace("b", r"^[^\r\n]*\r?\n?", "").alias("body"))
+    names = {r["section"] for r in split.select("section").distinct().collect()}
+    if lacking := [s for s in (*SECTIONS[:-1], "EOF") if s not in names]:
+        raise ValueError(f"the reference lacks {', '.join(lacking)}")
+    lines = lambda s: split.where(F.col("section") == s).select(F.explode(F.split("body", r"\r?\n")).alias("value")).where(F.length("value") > 0)
+    return {s: lines(s) for s in SECTIONS if s in names}
+
+
 def read_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a multi-section report: blocks between blank lines, each with a header; keyed by the header's first
     column. Reports are small (a row per junction of one sample); each block's cells are padded to its header."""
