@@ -186,6 +186,22 @@ def test_frames_give_back_documents_and_notice_damage():
         list(token_files.Reader(pa.BufferReader(bytes(broken))).documents())
 
 
+@pytest.mark.parametrize("batch", [40, 4_000_000])
+def test_encoder_matches_the_library_on_odd_texts(monkeypatch, batch):
+    """Marks, line feeds, blanks and special strings in any order, in one batch and cut into segments."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "BATCH", batch)
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    r = np.random.default_rng(5)
+    parts = ["a", "É", "ß", "\u024f", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!", "'", "'s", "1", "23", "\u3000", "\xa0", "\x85", "中", "$", "<|endoftext|>", "\0", "-", "]", "\\", "the", "\r\n", "\u01c5", "×", "\x1c", '"', "e\u0301"]
+    texts = ["".join(r.choice(parts, r.integers(0, 60))) for _ in range(3000)] + ["", " "]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert token_files.Encoder(path).encode(texts) == want
+    assert token_files.Encoder(path).encode([]) == []
+
+
 def test_token_files_match_the_library(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
