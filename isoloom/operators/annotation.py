@@ -60,8 +60,11 @@ def island_gaps(islands: DataFrame) -> DataFrame:
 
 def introns(exons: DataFrame) -> DataFrame:
     """Gaps between a transcript's exons, numbered in reading direction, with locus and intron_id."""
-    one = exons.groupBy("tx").agg(*[F.first(c).alias(c) for c in ("gene", "seq", "strand", "biotype", "tsl")])
-    got = I.group_gaps(exons, ["tx"]).join(one, "tx")
+    by = Window.partitionBy("tx").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__e")
+    of = [F.first(c).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("gene", "seq", "strand", "biotype", "tsl")]
+    got = exons.where("tx IS NOT NULL").select("tx", "start", "end", *of, before).where(F.col("start") > F.col("__e") + 1)
+    got = got.select("tx", (F.col("__e") + 1).alias("start"), (F.col("start") - 1).alias("end"), "gene", "seq", "strand", "biotype", "tsl")
     got = R.strand_renumber(R.row_ids(got, ["tx"], ["start", "end"]), ["tx"])
     got = got.withColumn("n_all", F.count("*").over(Window.partitionBy("tx")))
     got = got.withColumn("locus", locus(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")))
@@ -247,8 +250,8 @@ def other_rows(gtf: DataFrame) -> DataFrame:
 
 def view_reference(gtf: DataFrame) -> DataFrame:
     """(seq, start, end, strand, type, tx): what a track of transcripts draws: exons, coding parts and other features."""
-    cols = ["seq", "start", "end", "strand", "type", "tx"]
-    return gtf.where("type = 'exon'").select(*cols).unionByName(coding_rows(gtf).select(*cols)).unionByName(other_rows(gtf).select(*cols))
+    k = F.col("type")
+    return gtf.where((k == "exon") | (k == "CDS") | ~k.isin(*STRUCTURAL, "CDS")).select("seq", "start", "end", "strand", "type", "tx")
 
 
 def with_transcript_attributes(intron: DataFrame, transcripts: DataFrame, proteins: DataFrame, exons: DataFrame) -> DataFrame:

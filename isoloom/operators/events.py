@@ -20,9 +20,8 @@ def skip_coords(intron: DataFrame) -> DataFrame:
 
 def skipped_exons(intron: DataFrame) -> DataFrame:
     """SE: (event1a, event2a, event1b): two introns around an exon and the real intron that skips it."""
-    sk = skip_coords(intron).where("skip IS NOT NULL")
-    real = intron.select(F.col("locus").alias("skip")).distinct()
-    return sk.join(real, "skip", "left_semi").select(F.col("locus").alias("event1a"), F.col("next").alias("event2a"), F.col("skip").alias("event1b")).distinct()
+    sk = skip_coords(intron).where("skip IS NOT NULL").select(F.col("locus").alias("event1a"), F.col("next").alias("event2a"), F.col("skip").alias("event1b")).distinct()
+    return R.semi_join(sk, intron.select(F.col("locus").alias("event1b")).distinct(), ["event1b"]).select("event1a", "event2a", "event1b")
 
 
 def mutually_exclusive(intron: DataFrame) -> DataFrame:

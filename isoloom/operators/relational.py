@@ -18,6 +18,24 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a table's files whose rows one task takes where they are dealt by a key.
+TASK_BYTES = 4 << 20
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def tasks(*tables: DataFrame, each: int = TASK_BYTES) -> int:
+    """Tasks over which tables read from files are dealt: as many as their bytes need, so that no task's share grows."""
+    size = max(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // each))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df settled, and broadcast if it has few rows."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def row_ids(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], name: str = "n") -> DataFrame:
     """1, 2, ... in the given order inside each key."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
+
 #: Letters a to z mapped onto bases.
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 #: Event types in their stored order.
@@ -48,9 +50,16 @@ RG = "rg AS (SELECT row_id, seq, strand, s + 5 AS s, e + 25 AS e FROM iv)"
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX: one exon per (l_orderkey, l_linenumber) with its gene, transcript, biotype and support level."""
-    li = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(1000 * F.col("l_partkey") + F.col("l_suppkey")).alias("k"))
-    t = li.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """TX: one exon per (l_orderkey, l_linenumber) with its gene, transcript, biotype and support level.
+
+    Rows are dealt by transcript once, over as many tasks as the tables need; numbering, gaps and skips by transcript
+    need no further shuffle.
+    """
+    li, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    n = R.tasks(li, o)
+    li = li.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(1000 * F.col("l_partkey") + F.col("l_suppkey")).alias("k"))
+    o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition(n, "o_orderkey")
+    t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     gene = F.col("o_custkey") % 40
     start = 2000 * gene + 100 * F.col("l_linenumber") + 10 * (F.floor(F.col("k") / 1000) % 3)
     return t.select(
