@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collate as C
 from ..operators import filters as FL
+from ..operators import relational as R
 from ..operators import shaping as S
 from . import views as V
 
@@ -102,7 +103,9 @@ def _sample(c: str) -> F.Column:
 def _ev(s, d) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.element_at(F.array(*[F.lit(t) for t in V.EVENT_TYPES]), (k % 8 + 1).cast("int"))
-    return V.load(s, d, "part").select(k.alias("event_id"), kind.alias("event_type"), F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), *[(k * m % 300).alias(f"event{p}") for p, m in (("1a", 1), ("2a", 7), ("1b", 13), ("2b", 29))])
+    part = V.load(s, d, "part")
+    # each event becomes a row per sample, so tasks take fewer of its bytes
+    return part.repartition(R.tasks(part, each=R.TASK_BYTES // 4), "p_partkey").select(k.alias("event_id"), kind.alias("event_type"), F.when(k % 3 == 0, "-").otherwise("+").alias("strand"), *[(k * m % 300).alias(f"event{p}") for p, m in (("1a", 1), ("2a", 7), ("1b", 13), ("2b", 29))])
 
 
 def _introns(s, d) -> DataFrame:
@@ -139,7 +142,7 @@ tt AS (SELECT event_id, event_type, q.sample, CAST(coalesce(CASE WHEN jg.strand
 def _totals(s, d) -> DataFrame:
     k, kind = F.col("event_id"), F.col("event_type")
     ev = _ev(s, d).select("event_id", "strand", F.when(kind != "AFE", (k % 9).cast("string")).alias("jg_up"), F.when(kind != "ALE", (k * 5 % 9).cast("string")).alias("jg_down"))
-    return C.island_totals(ev, C.splice_over(_sj(s, d)))
+    return C.island_totals(ev, R.settled(C.splice_over(R.settled(_sj(s, d)))))  # a row per junction and sample
 
 
 @query("island_totals", f"WITH {SJ}, {SIDES}, {OVER}, {EV}, {TOTALS} SELECT event_id, sample, total_up, total_down FROM tt")
