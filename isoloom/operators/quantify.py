@@ -100,13 +100,17 @@ def junction_sides(j: DataFrame) -> DataFrame:
     return left.unionByName(j.groupBy("seq", F.col("end").alias("at")).agg(F.sum("total").alias("total")).withColumn("side", F.lit("right"))).select("side", "seq", "at", "total")
 
 
+def _by_direction() -> list[Column]:
+    return [F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("plus")]
+
+
 def span_counts(frags: DataFrame, points: DataFrame, left: int = 5, right: int = 4) -> DataFrame:
     """(seq, pos, neg, plus): blocks longer than left + right that reach ``left`` bases before a point and past it."""
     blocks = frags.select("seq", "direction", F.explode("blocks").alias("b")).select("seq", "direction", F.col("b.start").alias("bs"), F.col("b.end").alias("be")).where(F.col("be") - F.col("bs") + 1 > left + right)
-    zone = blocks.select("seq", "direction", (F.col("bs") + left - 1).alias("start"), (F.col("be") - 1).alias("end"))
+    zone = blocks.groupBy("seq", (F.col("bs") + left - 1).alias("start"), (F.col("be") - 1).alias("end")).agg(*_by_direction())
     at = points.select("seq", F.col("pos").alias("start"), F.col("pos").alias("end")).distinct()
     hit = I.overlap_join(zone, at)
-    n = hit.groupBy("seq", F.col("b_start").alias("pos")).agg(F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("plus"))
+    n = hit.groupBy("seq", F.col("b_start").alias("pos")).agg(F.sum("neg").alias("neg"), F.sum("plus").alias("plus"))
     out = at.select("seq", F.col("start").alias("pos")).join(n, ["seq", "pos"], "left")
     return out.select("seq", "pos", F.coalesce("neg", F.lit(0)).alias("neg"), F.coalesce("plus", F.lit(0)).alias("plus"))
 
@@ -117,8 +121,11 @@ def fragment_spans(frags: DataFrame) -> DataFrame:
 
 def roi_counts(frags: DataFrame, roi: DataFrame) -> DataFrame:
     """(name, neg, plus): fragments that lie inside a region; roi: (name, seq, start, end)."""
-    hit = I.overlap_join(fragment_spans(frags), roi, how="within")
-    n = hit.groupBy(F.col("b_name").alias("name")).agg(F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("plus"))
+    # spans and regions of the same bounds count once, however many fragments and names they have
+    spans = fragment_spans(frags).groupBy("seq", "start", "end").agg(*_by_direction())
+    at = ["seq", "start", "end"]
+    hit = I.overlap_join(spans, roi.select(*at).distinct(), how="within").groupBy(*[F.col(f"b_{c}").alias(c) for c in at])
+    n = roi.join(hit.agg(F.sum("neg").alias("neg"), F.sum("plus").alias("plus")), at).groupBy("name").agg(F.sum("neg").alias("neg"), F.sum("plus").alias("plus"))
     return roi.select("name").join(n, "name", "left").select("name", F.coalesce("neg", F.lit(0)).alias("neg"), F.coalesce("plus", F.lit(0)).alias("plus"))
 
 
@@ -235,11 +242,7 @@ def measure_introns(frags: DataFrame, introns: DataFrame, blocks: DataFrame | No
 
 def _region_hist(runs: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, depth, n) over all parts of an id."""
-    met = I.overlap_join(parts, runs)
-    got = met.groupBy("id", F.col("b_depth").alias("depth")).agg(F.sum(F.least("end", "b_end") - F.greatest("start", "b_start") + 1).alias("n"))
-    width = parts.groupBy("id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("w")).join(got.groupBy("id").agg(F.sum("n").alias("h")), "id", "left")
-    rest = width.select("id", F.lit(0).cast("long").alias("depth"), (F.col("w") - F.coalesce("h", F.lit(0))).alias("n")).where("n > 0")
-    return got.unionByName(rest).groupBy("id", "depth").agg(F.sum("n").alias("n"))
+    return I.depth_pieces(runs, parts, "id").select("id", F.inline("hist")).groupBy("id", "depth").agg(F.sum("n").alias("n"))
 
 
 def burden(measured: DataFrame, kind: Column) -> DataFrame:
