@@ -6,9 +6,10 @@ import math
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import relational as R
 from .intervals import with_islands
 from .shaping import t_p_value, t_p_values
 
@@ -120,15 +121,20 @@ def event_highlight(events: DataFrame, intron: DataFrame, exons: DataFrame) -> D
     part = lambda iso, e, test: F.when(test & F.col(e).isNotNull(), F.struct(F.lit(iso).alias("isoform"), F.col(e).alias("locus")))
     plain = ~k.isin("IR", "RI")
     parts = F.array_compact(F.array(part(1, "event1a", F.lit(True)), part(1, "event2a", k.isin("MXE", "SE")), part(2, "event1b", plain), part(2, "event2b", k == "MXE")))
-    want = events.select("event_id", plain.alias("plain"), F.explode(parts).alias("p")).select("event_id", "plain", "p.isoform", "p.locus")
-    of = ["event_id", "isoform"]
-    met = want.join(intron.select("locus", "tx", "start", "end"), "locus")
-    size = want.groupBy(*of).agg(F.count_distinct("locus").alias("parts"))
-    beside = F.array_union(F.collect_set(F.col("start") - 1), F.collect_set(F.col("end") + 1))
-    whole = met.where("plain").groupBy(*of, "tx").agg(F.count_distinct("locus").alias("has"), beside.alias("beside")).join(size, of).where("has = parts")
-    marked = whole.join(exons.select("tx", "start", "end"), "tx").where(F.array_contains("beside", F.col("start")) | F.array_contains("beside", F.col("end")))
-    cols = [*of, "tx", "type", "start", "end"]
-    return met.withColumn("type", F.lit("intron")).select(*cols).unionByName(marked.withColumn("type", F.lit("exon")).select(*cols)).distinct()
+    # a row per event; numbers instead of names below, and few enough rows to send to the transcripts, which stay in place
+    names = R.settled(events.select("event_id").distinct().withColumn("__k", F.monotonically_increasing_id()))
+    want = events.join(names, "event_id").select("__k", plain.alias("plain"), F.explode(parts).alias("p")).select("__k", "plain", "p.isoform", "p.locus").distinct()
+    of = ["__k", "isoform"]
+    want, names = R.small(want.withColumn("parts", F.count("*").over(Window.partitionBy(*of)))), R.small(names)
+    met = intron.select("locus", "tx", "start", "end").distinct().join(want, "locus")
+    # an isoform has two junctions at most, so the least and the greatest are all of them
+    ends = {"start": F.col("start") - 1, "end": F.col("end") + 1}
+    beside = [f(v).alias(f"{f.__name__}_{c}") for c, v in ends.items() for f in (F.min, F.max)]
+    whole = met.where("plain").groupBy("tx", *of, "parts").agg(F.count("*").alias("has"), *beside).where("has = parts")
+    marks = ["min_start", "max_start", "min_end", "max_end"]
+    marked = whole.join(exons.select("tx", "start", "end").distinct(), "tx").where(F.col("start").isin(*[F.col(m) for m in marks]) | F.col("end").isin(*[F.col(m) for m in marks]))
+    rows = lambda df, kind: df.join(names, "__k").select("event_id", "isoform", "tx", F.lit(kind).alias("type"), "start", "end")
+    return rows(met, "intron").unionByName(rows(marked, "exon"))
 
 
 #: Fixed value: tracks that one view holds.
