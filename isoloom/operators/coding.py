@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sequence as S
 from .intervals import running
 from .sequence import first_stop, reverse_complement, translate_codons
 
@@ -97,14 +98,18 @@ def synthetic_reads(genome: DataFrame, name: str = "seqnames", read_len: int = 7
     Windows are numbered over all sequences in name order, kept ones apart; both numbers come from counts per
     sequence, summed in two levels, so no sequence waits for another. ``name`` is a number.
     """
-    n = F.greatest(F.ceil((F.length("seq") - read_len) / stride), F.lit(0)).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    all_ = F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col("seq"), i * stride + 1, F.lit(read_len)).alias("s")))
+    per = 64
+    cut = S.pieces(genome.select(name, "seq", F.length("seq").alias("__n")), "seq", per * stride, per * stride - stride + read_len + 1)
+    # a window begins at every stride that has more than read_len bases before the end
+    n = F.least(F.lit(per), F.greatest(F.ceil((F.col("__n") - F.col("at") - read_len) / stride), F.lit(0))).cast("int")
+    cut = cut.withColumn("n", n).where("n > 0")
+    all_ = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("at") / stride + i).cast("int").alias("i"), F.substring(F.col("piece"), i * stride + 1, F.lit(read_len)).alias("s")))
     kept = F.filter(all_, lambda w: F.length(F.translate(w["s"], "ACGT", "")) * 2 < read_len)
-    g = genome.select(name, n.alias("n"), kept.alias("kept"), F.lit(0).alias("__k"))
-    # a task holds the windows of few sequences; only their counts meet in one place
-    g = running(g, ["__k"], [name], name, {"before": F.col("n"), "kept_before": F.size("kept")}, inclusive=False, chunk=64)
-    g = g.select(name, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("kept_before", F.lit(0)).alias("kept_before"), F.posexplode("kept").alias("j", "w"))
+    plain = F.length(F.translate("piece", "ACGT", "")) == 0
+    g = cut.select(name, "at", "piece", "n", F.when(plain, F.col("n")).otherwise(F.size(kept)).alias("kept_n"), F.lit(0).alias("__k"))
+    # the text goes along once; a task holds the pieces of few sequences, and only their counts meet in one place
+    g = running(g, ["__k"], [name, "at"], name, {"before": F.col("n"), "kept_before": F.col("kept_n")}, inclusive=False, chunk=64)
+    g = g.select(name, (F.coalesce("before", F.lit(0)) - F.col("at") / stride).cast("long").alias("before"), F.coalesce("kept_before", F.lit(0)).alias("kept_before"), F.posexplode_outer(kept).alias("j", "w")).where("w IS NOT NULL")
     r = F.col("before") + F.col("w.i")
     base = F.substring("w.s", error_pos + 1, 1)
     new = F.lit("N")

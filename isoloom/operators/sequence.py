@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The standard genetic code, bases in the order TCAG for each place.
@@ -39,3 +39,12 @@ def phase_trim(seq: Column, phase: Column) -> Column:
     cut = F.pmod(3 - phase, F.lit(3))
     rest = F.substring(seq, (cut + 1).cast("int"), F.length(seq))
     return F.substring(rest, F.lit(1), (F.length(rest) - F.pmod(F.length(rest), F.lit(3))).cast("int"))
+
+
+def pieces(df: DataFrame, seq: str, step: int, width: int) -> DataFrame:
+    """A row per ``step`` bases of each sequence, instead of it: at (bases before) and piece, up to ``width`` bases from
+    there on. One pass over a sequence; places inside a piece are found by its own length, not the sequence's. Pieces
+    shorter than ``width - step + 1`` begin no window of that many bases and are left out."""
+    cut = F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{1,{width}}})).{{1,{step}}}"), F.lit(1))
+    got = df.select(*[c for c in df.columns if c != seq], F.posexplode_outer(cut).alias("__i", "piece"))
+    return got.where(F.length("piece") > width - step).withColumn("at", F.col("__i") * step).drop("__i")

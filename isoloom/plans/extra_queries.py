@@ -43,11 +43,10 @@ _IN = "('GTAG', 'GCAG', 'ATAC', 'ATAG')"
 SELECT doc_id, k, CASE WHEN x IN {_IN} THEN '+' ELSE '-' END AS strand, CASE WHEN x IN {_IN} THEN x ELSE {_RC('x')} END AS motif FROM j WHERE x IN {_IN} OR {_RC('x')} IN {_IN}""")
 def novel_junction_strand(s, d):
     """Every stretch of 40 bases of each sequence as a junction without a strand."""
-    at = F.sequence(F.lit(0), F.length("seq") - 40)
-    two = F.transform(at, lambda k: F.struct(k.cast("long").alias("k"), motif(F.col("seq"), k + 1, k + 40, F.lit("+")).alias("x")))
-    m = V.sequences(s, d).where(F.length("seq") >= 40).select("doc_id", F.explode(two).alias("m"))
-    strand, text = C.novel_strand(F.col("m.x"))
-    return m.select("doc_id", "m.k", strand.alias("strand"), text.alias("motif")).where("strand IS NOT NULL")
+    m = S.pieces(V.sequences(s, d), "seq", 128, 167).select("doc_id", "at", "piece", F.explode_outer(F.sequence(F.lit(0), F.least(F.lit(127), F.length("piece") - 40))).alias("k"))
+    m = m.select("doc_id", (F.col("at") + F.col("k")).cast("long").alias("k"), motif(F.col("piece"), F.col("k") + 1, F.col("k") + 40, F.lit("+")).alias("x"))
+    strand, text = C.novel_strand(F.col("x"))
+    return m.select("doc_id", "k", strand.alias("strand"), text.alias("motif")).where("strand IS NOT NULL")
 
 
 def _quarters(s: SparkSession, d: str) -> DataFrame:
