@@ -96,21 +96,24 @@ def _prune_locally(rows: DataFrame, columns: list[str], psi: str) -> DataFrame:
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = np.zeros(len(pdf), dtype=bool)
-        for _, g in pdf.reset_index(drop=True).groupby(of, sort=False):
-            g = g.sort_values(psi, ascending=False)
-            value, start, end, at = g[psi].to_numpy(), g["start"].to_numpy(), g["end"].to_numpy(), g.index.to_numpy()
-            starts, ends, k = [], [], 0  # disjoint stretches that winners cover, in order
-            while k < len(g):
-                n = k
-                while n < len(g) and value[n] == value[k]:  # ties win together
-                    n += 1
-                won = [i for i in range(k, n) if not ((j := bisect_right(starts, end[i])) and ends[j - 1] >= start[i])]
-                for i in won:
-                    lo, hi = bisect_left(ends, start[i]), bisect_right(starts, end[i])
-                    s, e = min([start[i], *starts[lo:hi]]), max([end[i], *ends[lo:hi]])
-                    starts[lo:hi], ends[lo:hi] = [s], [e]
-                    keep[at[i]] = True
-                k = n
+        code = pdf.groupby(of, sort=False).ngroup().to_numpy()
+        order = np.lexsort((-pdf[psi].to_numpy(), code))  # islands one after another, by falling PSI, without a frame each
+        code, value, start, end = (x[order].tolist() for x in (code, pdf[psi].to_numpy(), pdf["start"].to_numpy(), pdf["end"].to_numpy()))
+        k, won_at, island = 0, [], None
+        while k < len(code):
+            if code[k] != island:
+                island, starts, ends = code[k], [], []  # disjoint stretches that winners cover, in order
+            n = k
+            while n < len(code) and code[n] == island and value[n] == value[k]:  # ties win together
+                n += 1
+            won = [i for i in range(k, n) if not ((j := bisect_right(starts, end[i])) and ends[j - 1] >= start[i])]
+            for i in won:
+                lo, hi = bisect_left(ends, start[i]), bisect_right(starts, end[i])
+                s, e = min([start[i], *starts[lo:hi]]), max([end[i], *ends[lo:hi]])
+                starts[lo:hi], ends[lo:hi] = [s], [e]
+            won_at += won
+            k = n
+        keep[order[won_at]] = True
         return pdf.loc[keep, columns]
 
     many = F.pmod(F.xxhash64(*of), F.lit(TASKS)).alias("__task")
@@ -126,8 +129,8 @@ def prune_overlaps(loci: DataFrame, psi: str = "mean_psi", island: int = ISLAND)
     columns, left, kept = loci.columns, loci.where(F.col(psi).isNotNull()), None
     while True:
         got = I.with_islands(left)
-        size = got.groupBy("seq", "strand", "island").agg(F.count("*").alias("__size"), F.min("start").alias("__lo"))
-        got = R.settled(got.join(size, ["seq", "strand", "island"]).drop("island"))
+        size = got.groupBy("seq", "strand", "island").agg(F.count("*").alias("__size"))
+        got = R.settled(got.join(size, ["seq", "strand", "island"]).withColumnRenamed("island", "__lo"))
         done = got.where("__size = 1").select(*columns).unionByName(_prune_locally(got.where(F.col("__size").between(2, island)), columns, psi))
         kept = done if kept is None else kept.unionByName(done)
         big = got.where(F.col("__size") > island).select(*columns)
