@@ -242,7 +242,7 @@ def measure_introns(frags: DataFrame, introns: DataFrame, blocks: DataFrame | No
 
 def _region_hist(runs: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, depth, n) over all parts of an id."""
-    return I.depth_pieces(runs, parts, "id").select("id", F.inline("hist")).groupBy("id", "depth").agg(F.sum("n").alias("n"))
+    return I.depth_pieces(runs, parts, "id").select("id", F.inline_outer("hist")).groupBy("id", "depth").agg(F.sum("n").alias("n"))
 
 
 def burden(measured: DataFrame, kind: Column) -> DataFrame:
