@@ -58,19 +58,51 @@ def island_gaps(islands: DataFrame) -> DataFrame:
     return R.strand_renumber(R.row_ids(gaps, keys, ["start"], "intron_number"), keys, "intron_number")
 
 
-def introns(exons: DataFrame) -> DataFrame:
-    """Gaps between a transcript's exons, numbered in reading direction, with locus and intron_id."""
+def _numbered(exons: DataFrame) -> DataFrame:
+    """Gaps between a transcript's exons, numbered in reading direction, with next: the start and end of the next gap in
+    that direction. Two windows of one order: gaps, and what follows from the gaps."""
     by = Window.partitionBy("tx").orderBy("start", "end")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__e")
-    of = [F.first(c).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("gene", "seq", "strand", "biotype", "tsl")]
+    of = [F.first(c).over(every).alias(c) for c in ("gene", "seq", "strand", "biotype", "tsl")]
     got = exons.where("tx IS NOT NULL").select("tx", "start", "end", *of, before).where(F.col("start") > F.col("__e") + 1)
-    got = got.select("tx", (F.col("__e") + 1).alias("start"), (F.col("start") - 1).alias("end"), "gene", "seq", "strand", "biotype", "tsl")
-    got = R.strand_renumber(R.row_ids(got, ["tx"], ["start", "end"]), ["tx"])
-    got = got.withColumn("n_all", F.count("*").over(Window.partitionBy("tx")))
+    cols = ["tx", "start", "end", "gene", "seq", "strand", "biotype", "tsl"]
+    got = got.select("tx", (F.col("__e") + 1).alias("start"), (F.col("start") - 1).alias("end"), *cols[3:])
+    at = F.struct("start", "end")
+    got = got.select(*cols, F.row_number().over(by).alias("__k"), F.count("*").over(every).alias("n_all"), F.lag(at).over(by).alias("__a"), F.lead(at).over(by).alias("__b"))
+    minus = F.col("strand") == "-"
+    n = F.when(minus, (F.col("n_all") + 1 - F.col("__k")).cast("int")).otherwise(F.col("__k"))
+    return got.select(*cols, n.alias("n"), "n_all", F.when(minus, F.col("__a")).otherwise(F.col("__b")).alias("next"))
+
+
+def introns(exons: DataFrame) -> DataFrame:
+    """Gaps between a transcript's exons, numbered in reading direction, with locus and intron_id."""
+    got = _numbered(exons).drop("next")
     got = got.withColumn("locus", locus(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")))
     return got.withColumn("intron_id", F.concat_ws("_", F.col("tx").cast("string"), F.concat(F.lit("Intron"), F.col("n").cast("string"))))
 
 
+def intron_steps(exons: DataFrame, coding: list[str], decay: str) -> DataFrame:
+    """Introns and their next one in reading direction, each pair once however many transcripts have it: seq, strand,
+    start, end, locus, next and skip (as ``events.skip_coords`` adds them), first and last (a transcript begins or ends
+    with it), nmd_only (all that have it are of the decay biotype) and best (``events.ranked_transcript``'s choice: tsl,
+    code, tx, n).
+    """
+    from . import events as E
+
+    got = _numbered(exons).groupBy("seq", "strand", "start", "end", F.col("next.start").alias("__s"), F.col("next.end").alias("__e")).agg(
+        F.max(F.col("n") == 1).alias("first"), F.max(F.col("n") == F.col("n_all")).alias("last"), F.every(F.col("biotype") == decay).alias("nmd_only"),
+        F.min(F.struct("tsl", E.coding_rank(coding).alias("code"), "tx", "n")).alias("best"),
+    )
+    name = lambda start, end: locus(F.col("seq"), start, end, F.col("strand"))
+    s, e = F.col("__s"), F.col("__e")
+    has_next = s.isNotNull()
+    return got.select(
+        "seq", "strand", "start", "end", name(F.col("start"), F.col("end")).alias("locus"), F.when(has_next, name(s, e)).alias("next"),
+        F.when(has_next, name(F.least("start", s), F.greatest("end", e))).alias("skip"), "first", "last", "nmd_only", "best",
+    )
+
+
 def _sites(intron: DataFrame) -> DataFrame:
     """(locus, seq, strand, side, start, end): the two bases around each splice site."""
     site = intron.select("locus", "seq", "strand", "start", "end").distinct()

@@ -1,7 +1,8 @@
 """Read quantification over two-block fragments and, for general fragments, arrays of blocks.
 
 Alignments (read_name, flag, seq, pos, cigar) become fragments by ``cigar_blocks`` and ``pair_fragments``; the other
-operators take rows (seq, direction, blocks: array<struct<start, end>>), 1-based and closed.
+operators take rows (seq, direction, blocks: array<struct<start, end>>), 1-based and closed. Those of junctions, spans
+and introns also take ``equal_fragments``'s rows, which stand for times fragments each.
 """
 
 from __future__ import annotations
@@ -86,12 +87,29 @@ def pair_fragments(aln: DataFrame) -> DataFrame:
     return g.select("read_name", a["seq"].alias("seq"), direction(a["flag"]).alias("direction"), "kind", reads.alias("reads"))
 
 
+def equal_fragments(frags: DataFrame) -> DataFrame:
+    """Equal rows once, with times: how often each is there."""
+    return frags if "times" in frags.columns else frags.groupBy(*frags.columns).agg(F.count("*").alias("times"))
+
+
+def _with_times(frags: DataFrame, *cols: str) -> list[str]:
+    return [*cols, "times"] if "times" in frags.columns else list(cols)
+
+
+def _reads(rows: DataFrame) -> list[Column]:
+    """Fragments of rows by direction and in all: neg, pos and total."""
+    if "times" not in rows.columns:
+        return [F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("pos"), F.count("*").alias("total")]
+    n = lambda d: F.sum(F.when(F.col("direction") == d, F.col("times")).otherwise(F.lit(0).cast("long")))
+    return [n("-").alias("neg"), n("+").alias("pos"), F.sum("times").alias("total")]
+
+
 def junction_counts(frags: DataFrame, least: int = 5) -> DataFrame:
     """(seq, start, end, neg, pos, total): gaps between neighbouring blocks of at least ``least`` bases each."""
-    j = frags.select("seq", "direction", F.explode(F.transform(F.filter(F.transform("blocks", lambda x, i: F.struct(x.alias("l"), F.get("blocks", i + 1).alias("r"))), lambda x: x["r"].isNotNull()), lambda x: x)).alias("p"))
+    j = frags.select(*_with_times(frags, "seq", "direction"), F.explode(F.transform(F.filter(F.transform("blocks", lambda x, i: F.struct(x.alias("l"), F.get("blocks", i + 1).alias("r"))), lambda x: x["r"].isNotNull()), lambda x: x)).alias("p"))
     wide = lambda x: x["end"] - x["start"] + 1 >= least
     j = j.where(wide(F.col("p.l")) & wide(F.col("p.r")) & (F.col("p.r.start") > F.col("p.l.end") + 1))
-    return j.groupBy("seq", (F.col("p.l.end") + 1).alias("start"), (F.col("p.r.start") - 1).alias("end")).agg(F.count_if(F.col("direction") == "-").alias("neg"), F.count_if(F.col("direction") == "+").alias("pos"), F.count("*").alias("total"))
+    return j.groupBy("seq", (F.col("p.l.end") + 1).alias("start"), (F.col("p.r.start") - 1).alias("end")).agg(*_reads(j))
 
 
 def junction_sides(j: DataFrame) -> DataFrame:
@@ -106,8 +124,8 @@ def _by_direction() -> list[Column]:
 
 def span_counts(frags: DataFrame, points: DataFrame, left: int = 5, right: int = 4) -> DataFrame:
     """(seq, pos, neg, plus): blocks longer than left + right that reach ``left`` bases before a point and past it."""
-    blocks = frags.select("seq", "direction", F.explode("blocks").alias("b")).select("seq", "direction", F.col("b.start").alias("bs"), F.col("b.end").alias("be")).where(F.col("be") - F.col("bs") + 1 > left + right)
-    zone = blocks.groupBy("seq", (F.col("bs") + left - 1).alias("start"), (F.col("be") - 1).alias("end")).agg(*_by_direction())
+    blocks = frags.select(*_with_times(frags, "seq", "direction"), F.explode("blocks").alias("b")).select(*_with_times(frags, "seq", "direction"), F.col("b.start").alias("bs"), F.col("b.end").alias("be")).where(F.col("be") - F.col("bs") + 1 > left + right)
+    zone = blocks.groupBy("seq", (F.col("bs") + left - 1).alias("start"), (F.col("be") - 1).alias("end")).agg(*_reads(blocks)[:2]).withColumnRenamed("pos", "plus")
     at = points.select("seq", F.col("pos").alias("start"), F.col("pos").alias("end")).distinct()
     hit = I.overlap_join(zone, at)
     n = hit.groupBy("seq", F.col("b_start").alias("pos")).agg(F.sum("neg").alias("neg"), F.sum("plus").alias("plus"))
@@ -217,7 +235,8 @@ def measure_introns(frags: DataFrame, introns: DataFrame, blocks: DataFrame | No
     star = F.lit("*").alias("strand")
     if blocks is None:
         blocks = introns.select("id", "seq", "start", "end")
-    runs = I.coverage_runs(frags.select("seq", F.explode("blocks").alias("b")).select("seq", star, "b.*"))
+    held = frags.select(*_with_times(frags, "seq"), F.explode("blocks").alias("b")).select(*_with_times(frags, "seq"), star, "b.*")
+    runs = I.coverage_runs(held, times="times" if "times" in held.columns else None)
     edges = introns.select("seq", F.explode(F.array(F.struct(F.concat("id", F.lit("|first")).alias("id"), (F.col("start") + EDGE_SKIP).alias("start"), (F.col("start") + EDGE_SKIP + EDGE - 1).alias("end")), F.struct(F.concat("id", F.lit("|last")).alias("id"), (F.col("end") - EDGE_SKIP - EDGE + 1).alias("start"), (F.col("end") - EDGE_SKIP).alias("end")))).alias("x")).select("x.id", "seq", "x.start", "x.end")
     parts = blocks.select("id", "seq", "start", "end").unionByName(edges).withColumn("strand", F.lit("*"))
     h = R.settled(_region_hist(runs, parts))  # a row per intron and depth

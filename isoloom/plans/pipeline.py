@@ -24,7 +24,8 @@ PARTS = ("event1a", "event2a", "event1b", "event2b")
 
 
 def event_table(intron: DataFrame, flanks: DataFrame, exons: DataFrame, measurable: DataFrame) -> DataFrame:
-    """All events: event_type, the four introns (null where a type has fewer) and the region of each.
+    """All events: event_type, the four introns (null where a type has fewer) and the region of each. intron:
+    ``annotation.introns`` or ``intron_steps``.
 
     The region is the skipping junction of SE, the common span of MXE, the intron of RI (measurable ones inside an exon)
     and the longer intron of the other types. flanks: (locus, up, down); measurable: (locus).
@@ -58,32 +59,37 @@ def with_islands_of(events: DataFrame, flanks: DataFrame, intron: DataFrame) ->
 
 
 def build_reference(exons: DataFrame, coding: Sequence[str], decay: str, retained: str = "intron", regions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """genes, islands, introns, flanks, measurable, junctions, points and events of an annotation."""
-    intron = R.settled(A.introns(exons))
+    """genes, islands, introns (of every transcript, not kept), sites (the distinct ones), flanks, measurable, junctions,
+    points and events of an annotation.
+
+    Transcripts are read twice, for what their introns and their exons differ in; all else follows from these two.
+    """
+    intron = R.settled(A.intron_steps(exons, list(coding), decay))
+    rows = A.introns(exons)
+    exons = R.settled(exons.select("gene", "seq", "strand", "start", "end", "biotype").distinct())
     islands = A.exon_islands(exons, retained)
     flanks = R.settled(A.rescue_islands(A.flanking_islands(intron, islands), intron, islands))
     usable = intron if regions is None else A.outside_regions(intron, regions)
     measurable = R.settled(A.measurable_blocks(usable, exons.where(~F.coalesce(F.col("biotype").rlike(retained), F.lit(False))), regions=regions))
-    events = with_islands_of(event_table(intron, flanks, exons, measurable), flanks, intron)
+    events = R.settled(with_islands_of(event_table(intron, flanks, exons, measurable), flanks, intron))
     rank = E.ranked_transcript(intron, list(coding))
     name = lambda x, e: rank.select(F.col("locus").alias(e), F.col("tx").alias(f"tx_{x}"), F.col("n").alias(f"n_{x}"))
     named = events.join(name("a", "event1a"), "event1a", "left").join(name("b", "event1b"), "event1b", "left")
-    parts = [E.event_names(named.where(F.col("event_type") == k), k) for k in ORDER]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.withColumn("event_id", F.xxhash64("event_type", *[F.coalesce(c, F.lit("")) for c in PARTS]))
-    return {"genes": A.genes(exons), "islands": islands, "introns": intron, "flanks": flanks, "measurable": measurable, "junctions": A.reference_junctions(intron, decay), "points": A.span_points(intron), "events": R.settled(every)}
+    every = E.event_names(named).withColumn("event_id", F.xxhash64("event_type", *[F.coalesce(c, F.lit("")) for c in PARTS]))
+    sites = R.settled(intron.select("seq", "start", "end", "strand", "locus").distinct())
+    junctions = intron.groupBy("seq", "start", "end", "strand").agg(F.every("nmd_only").alias("nmd_only"))
+    return {"genes": A.genes(exons), "islands": islands, "introns": rows, "sites": sites, "flanks": flanks, "measurable": measurable, "junctions": junctions, "points": A.span_points(sites), "events": R.settled(every)}
 
 
 def quantify(frags: DataFrame, ref: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """junctions (sample, seq, start, end, neg, pos, total) and introns (the report of every measurable intron in every
-    sample); frags: (sample, seq, direction, blocks)."""
+    sample); frags: (sample, seq, direction, blocks), of which equal ones are counted first."""
     own = F.concat_ws("|", "sample", "seq")
-    keyed = frags.select(own.alias("seq"), "direction", "blocks")
+    frags = frags if "times" in frags.columns else R.settled(Q.equal_fragments(frags.select("sample", "seq", "direction", "blocks")))
+    keyed = frags.select(own.alias("seq"), "direction", "blocks", "times")
     apart = lambda df: df.select(F.substring_index("seq", "|", 1).alias("sample"), F.expr("substring(seq, instr(seq, '|') + 1)").alias("seq"), *[c for c in df.columns if c != "seq"])
     samples = frags.agg(F.sort_array(F.collect_set("sample"))).scalar()
-    site = R.semi_join(ref["introns"], ref["measurable"], ["locus"]).select("locus", "seq", "strand", "start", "end").distinct()
+    site = R.semi_join(ref["sites"], ref["measurable"], ["locus"])
     site = site.withColumn("sample", F.explode(samples)).select(F.concat_ws("|", "sample", "locus").alias("id"), "locus", "strand", own.alias("seq"), "start", "end")
     return {"junctions": apart(Q.junction_counts(keyed)), "introns": apart(Q.measure_introns(keyed, site))}
 
@@ -92,16 +98,12 @@ def collate(ref: dict[str, DataFrame], counts: dict[str, DataFrame], conditions:
     """Assay rows (event_id, event_type, sample, condition, included ... down_exc) of all events and measured introns;
     conditions: (sample, condition)."""
     c = F.col
-    loci = ref["introns"].select("seq", "start", "end", "strand", "locus").distinct()
-    j = R.settled(counts["junctions"].join(loci, ["seq", "start", "end"]).join(ref["flanks"], "locus", "left").select("sample", "locus", "seq", "start", "end", "strand", c("total").alias("count"), c("up").alias("jg_up"), c("down").alias("jg_down")))
+    j = R.settled(counts["junctions"].join(ref["sites"], ["seq", "start", "end"]).join(ref["flanks"], "locus", "left").select("sample", "locus", "seq", "start", "end", "strand", c("total").alias("count"), c("up").alias("jg_up"), c("down").alias("jg_down")))
     so = R.settled(C.splice_over(j))
     ir = counts["introns"].join(so.select("sample", "locus", "so_l", "so_r"), ["sample", "locus"], "left").withColumns({"so_l": F.coalesce("so_l", F.lit(0)), "so_r": F.coalesce("so_r", F.lit(0))})
     ir = R.settled(ir.withColumns(C.intron_stats(c("depth"), c("coverage"), c("so_l"), c("so_r"))))
     ev = ref["events"]
-    n = C.event_counts(ev, j.select("sample", "locus", "count"), ir.select("sample", "locus", "strand", "depth", c("span_left").alias("left"), c("span_right").alias("right")))
-    totals = R.settled(C.island_totals(ev, so))
-    depth = C.event_depths(ev, ir.select("sample", "locus", "total_depth"), totals)
-    got = n.join(totals, ["event_id", "sample"]).join(depth, ["event_id", "sample"])
+    got = C.event_measures(ev, j.select("sample", "locus", "count"), ir.select("sample", "locus", "strand", "depth", c("span_left").alias("left"), c("span_right").alias("right"), "total_depth"), so)
     k, parts = c("event_type"), [c(f"n{p}").cast("double") for p in ("1a", "2a", "1b", "2b")]
     up, down = C.participation(k, *parts)
     both, ri, mxe = k.isin("MXE", "SE"), k == "RI", k == "MXE"
@@ -116,12 +118,12 @@ def collate(ref: dict[str, DataFrame], counts: dict[str, DataFrame], conditions:
         "coverage", c("depth").alias("min_depth"), F.when(minus, c("span_right")).otherwise(c("span_left")).cast("double").alias("up_inc"), F.when(minus, c("span_left")).otherwise(c("span_right")).cast("double").alias("down_inc"),
         F.lit(None).cast("double").alias("up_exc"), F.lit(None).cast("double").alias("down_exc"),
     )
-    return splice.unionByName(kept).join(conditions, "sample", "left")
+    return splice.unionByName(kept).join(R.small(conditions), "sample", "left")  # a row per sample
 
 
 def make_model(ref: dict[str, DataFrame], assay: DataFrame, conditions: DataFrame) -> EventModel:
     """The model of the collated rows: events with their introns beside them, samples with their conditions."""
     ev = ref["events"].select("event_id", "event_type", "event_name", "region", *PARTS)
-    ir = R.semi_join(ref["introns"], ref["measurable"], ["locus"]).select("locus").distinct()
+    ir = R.semi_join(ref["sites"], ref["measurable"], ["locus"]).select("locus")
     ir = ir.select(F.xxhash64(F.lit("IR"), "locus").alias("event_id"), F.lit("IR").alias("event_type"), F.concat(F.lit("IR:"), "locus").alias("event_name"), F.col("locus").alias("region"), F.col("locus").alias("event1a"))
     return EventModel(assay, ev.unionByName(ir, allowMissingColumns=True), conditions)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import quantify as Q
+from ..operators import relational as R
 from . import annotation_queries as AQ
 from . import pipeline as P
 from . import views as V
@@ -28,9 +30,10 @@ def reference(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def samples(s: SparkSession, d: str) -> DataFrame:
+    """Fragments of six samples, equal ones once."""
     fr = V.fragments(s, d)
     block = lambda k: F.struct(F.col(f"s{k}").alias("start"), F.col(f"e{k}").alias("end"))
-    return fr.select(F.concat(F.lit("S"), (F.col("e2") % 6).cast("string")).alias("sample"), "seq", "direction", F.array(block(1), block(2)).alias("blocks"))
+    return R.settled(Q.equal_fragments(fr.select(F.concat(F.lit("S"), (F.col("e2") % 6).cast("string")).alias("sample"), "seq", "direction", F.array(block(1), block(2)).alias("blocks"))))
 
 
 def conditions(frags: DataFrame) -> DataFrame:
